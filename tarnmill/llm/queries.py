@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnmill.llm import bpe
-from tarnmill.llm.common import table
+from tarnmill.llm import bpe, ctph, warc
+from tarnmill.llm.common import new_path, partitions, table
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -20,8 +20,22 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.digests(bpe.encode_documents(docs, vocabulary))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record, and what reading the archives back gives."""
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return ctph.fingerprint_neighbours(table(spark, sf_dir, "documents"), partitions(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op6_warc": op6_warc,
+    "op10_ctph": op10_ctph,
 }
 
 ORACLES: dict[str, str] = {}
