@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnmill.llm import bpe, ctph, warc
+from tarnmill.llm import bpe, ctph, langid, pii, secrets, toxicity, warc
 from tarnmill.llm.common import new_path, partitions, table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the strong kinds, their digest, and all spans with linked weak parts."""
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("places")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """BPE ids and round trip of every document, as digests."""
     if vocabulary is None:
@@ -27,14 +32,33 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data, and what was put in."""
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.predict(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text."""
     return ctph.fingerprint_neighbours(table(spark, sf_dir, "documents"), partitions(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
     "op6_warc": op6_warc,
+    "op7_langid": op7_langid,
+    "op8_pii": op8_pii,
+    "op9_toxicity": op9_toxicity,
     "op10_ctph": op10_ctph,
 }
 
