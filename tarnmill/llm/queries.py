@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnmill.llm import bpe, ctph, decontaminate, langid, pii, secrets, toxicity, warc
+from tarnmill.llm import bpe, ctph, decontaminate, jaccard, langid, pii, secrets, toxicity, warc
 from tarnmill.llm.common import new_path, partitions, table
 
 
@@ -25,6 +25,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.digests(bpe.encode_documents(docs, vocabulary))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingles are alike by nine tenths."""
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
     return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -60,6 +65,7 @@ def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
+    "op3_jaccard": op3_jaccard,
     "op4_decontaminate": op4_decontaminate,
     "op6_warc": op6_warc,
     "op7_langid": op7_langid,
