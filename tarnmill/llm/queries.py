@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnmill.llm import bpe, ctph, decontaminate, jaccard, langid, pii, secrets, toxicity, warc
+from tarnmill.llm import bpe, ctph, ctw, decontaminate, jaccard, langid, pii, secrets, toxicity, warc
 from tarnmill.llm.common import new_path, partitions, table
 
 
@@ -35,6 +35,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document, by token frequencies and by context trees."""
+    return ctw.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record, and what reading the archives back gives."""
     path = new_path(spark, "warc")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_jaccard": op3_jaccard,
     "op4_decontaminate": op4_decontaminate,
+    "op5_ctw": op5_ctw,
     "op6_warc": op6_warc,
     "op7_langid": op7_langid,
     "op8_pii": op8_pii,
