@@ -1,0 +1,413 @@
+"""The engine's own queries over the test tables, and the SQL that gives the same rows.
+
+The tables' texts hold no fences, fillers or tool calls, so queries build such inputs from them, and so does the SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tarnmill.functions import compress, dom, rewrite, text, tokens, tools
+from tarnmill.operators import adapters, history, memory
+from tarnmill.plans import catalog
+from tarnmill.plans.optimize import Config, cumulative, optimize
+from tarnmill.streaming import response
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").cast("int").alias("msg_idx"), "role", "text")
+
+
+TOK = "case when coalesce(length(text), 0) = 0 then 0 else greatest(1, length(text) // 4) end + 4"
+MSGS = f"m as (select cast(conv_id as varchar) request_id, cast(turn as int) msg_idx, role, text, cast({TOK} as bigint) tok from conversations)"
+
+
+@query(f"with {MSGS} select request_id, msg_idx, tok from m")
+def token_count_by_message(spark, sf_dir):
+    return tokens.per_message(turns(spark, sf_dir)).select("request_id", "msg_idx", "tok")
+
+
+@query(f"with {MSGS} select request_id, cast(sum(tok) as bigint) as tok, count(*) as n from m group by all")
+def token_count_by_conversation(spark, sf_dir):
+    return tokens.per_message(turns(spark, sf_dir)).groupBy("request_id").agg(F.sum("tok").alias("tok"), F.count("*").alias("n"))
+
+
+PREFIX = "p as (select *, cast(coalesce(sum(tok) over (partition by request_id order by msg_idx rows between unbounded preceding and 1 preceding), 0) as bigint) as prefix, cast(sum(tok) over (partition by request_id) as bigint) as total, count(*) over (partition by request_id) as n, row_number() over (partition by request_id order by msg_idx) - 1 as place from m)"
+
+
+@query(f"with {MSGS}, {PREFIX} select request_id, msg_idx, prefix, total, n from p")
+def token_prefix_sums(spark, sf_dir):
+    return tokens.prefix_sums(tokens.per_message(turns(spark, sf_dir))).select("request_id", "msg_idx", "prefix", "total", "n")
+
+
+BUDGET, KEEP = 400, 2
+#: Ends of pairs by place: a use of `a` or `b`, then its result two places on.
+EVENTS = "e as (select request_id, msg_idx, case when msg_idx % 4 < 2 then 'tool_use' else 'tool_result' end as type, request_id || '-' || (msg_idx // 4) || '-' || (msg_idx % 2) as tool_id from m)"
+PAIRS = "x as (select *, lag(type) over w as before, lag(msg_idx) over w as use_idx from e window w as (partition by request_id, tool_id order by msg_idx)), pairs as (select request_id, tool_id, use_idx, msg_idx as res_idx from x where type = 'tool_result' and before = 'tool_use')"
+DROP = """g as (select request_id, max(n) as n, max(total) as total, min(place) filter (valid and place >= 1 and place <= n - {keep} and total - prefix <= {budget}) as least, max(place) filter (valid and place >= 1 and place <= n - {keep}) as most from v group by request_id),
+d as (select request_id, n, total, case when total <= {budget} or n <= {keep} then 0 else coalesce(least, most, 0) end as dropped from g)
+select d.request_id, d.n, d.total, cast(dropped as bigint) as dropped, d.total - prefix as tokens_after from d join v on d.request_id = v.request_id and v.place = d.dropped"""
+
+
+def tool_events(spark, sf_dir):
+    i = F.col("msg_idx")
+    t = turns(spark, sf_dir)
+    return t.select("request_id", "msg_idx", F.lit(0).alias("blk_idx"), F.when(i % 4 < 2, "tool_use").otherwise("tool_result").alias("type"), F.concat_ws("-", "request_id", F.floor(i / 4).cast("string"), (i % 2).cast("string")).alias("tool_id"))
+
+
+@query(f"with {MSGS}, {PREFIX}, v as (select *, true as valid from p), {DROP.format(keep=KEEP, budget=BUDGET)}")
+def budget_drop(spark, sf_dir):
+    return history.budget_report(tokens.per_message(turns(spark, sf_dir)), BUDGET, KEEP)
+
+
+@query(f"with {MSGS}, {EVENTS}, {PAIRS} select * from pairs")
+def pair_match(spark, sf_dir):
+    return history.pairs(tool_events(spark, sf_dir))
+
+
+VALID = "v as (select *, not exists (select 1 from pairs q where q.request_id = p.request_id and p.msg_idx > q.use_idx and p.msg_idx <= q.res_idx) as valid from p)"
+
+
+@query(f"with {MSGS}, {EVENTS}, {PAIRS}, {PREFIX}, {VALID} select request_id, msg_idx, valid from v")
+def valid_drop_points(spark, sf_dir):
+    return history.drop_points(turns(spark, sf_dir), history.pairs(tool_events(spark, sf_dir))).select("request_id", "msg_idx", "valid")
+
+
+@query(f"with {MSGS}, {EVENTS}, {PAIRS}, {PREFIX}, {VALID}, {DROP.format(keep=KEEP, budget=BUDGET)}")
+def budget_drop_pair_safe(spark, sf_dir):
+    return history.budget_report(tokens.per_message(turns(spark, sf_dir)), BUDGET, KEEP, history.pairs(tool_events(spark, sf_dir)))
+
+
+@query("with d as (select *, count(*) over w as c, max(doc_id) over w as last from documents where text is not null window w as (partition by lang, text)) select doc_id, length(text) >= 200 and c > 1 and doc_id < last as stubbed, sha256(case when length(text) >= 200 and c > 1 and doc_id < last then '[identical to a later tool_result; omitted ' || length(text) || ' chars]' else text end) as content from d")
+def dedup_stub(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text is not null").select(F.col("lang").alias("request_id"), F.col("doc_id").alias("msg_idx"), F.lit(0).alias("blk_idx"), F.col("text").alias("tr_text"))
+    return history.dedup(d).select(F.col("msg_idx").alias("doc_id"), "stubbed", F.sha2(F.col("tr_text").cast("binary"), 256).alias("content"))
+
+
+CUT = "regexp_extract(left(text, 240), '(?s)^(.{40,}?[.!?。！？])\\s', 1)"
+DISTILL = f"trim(case when {CUT} <> '' then {CUT} else rtrim(left(text, 240), E' \\n\\t\\r') end, E' \\n\\t\\r') || chr(10) || chr(10) || '[distilled from ' || length(text) || ' chars]'"
+
+
+@query(f"with {MSGS}, {PREFIX} select request_id, msg_idx, place < n - 2 and length(text) > 360 as distilled, case when place < n - 2 and length(text) > 360 then {DISTILL} else text end as text from p")
+def distill_old_turns(spark, sf_dir):
+    return history.distill_old(turns(spark, sf_dir), keep_last=2).select("request_id", "msg_idx", "distilled", "text")
+
+
+def messy(c: Column) -> Column:
+    return F.concat(F.lit("  Actually, I think "), c, F.lit("!!!! \n\n\n\n\nit  seems \t fine   \n\n\ndone...  \n"))
+
+
+MESSY = "'  Actually, I think ' || text || E'!!!! \\n\\n\\n\\n\\nit  seems \\t fine   \\n\\n\\ndone...  \\n'"
+BLANKS = "regexp_replace(regexp_replace({0}, '\\n{{3,}}', E'\\n\\n', 'g'), '(?m)[ \\t]+$', '', 'g')"
+SQL_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+def over_documents(name: str, f: Callable[[Column], Column], expression: str) -> None:
+    def run(spark, sf_dir):
+        return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", f(F.col("text")).alias("text"))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"select doc_id, {expression} as text from documents where text is not null"
+
+
+over_documents("minify_whitespace", lambda c: text.minify_text(messy(c)), f"regexp_replace({BLANKS.format(MESSY)}, '^\\n+|\\n+$', '', 'g')")
+LOW = MESSY
+for _p in (rf"(?i)\b(?:{text.HEDGES})\b", r"[!?.]{3,}", r"\n{4,}", r"^\s+|\s+$"):
+    LOW = f"regexp_replace({LOW}, '{_p}', '', 'g')"
+over_documents("strip_low_value", lambda c: text.strip_low_value(messy(c)), SQL_STRIP.format(LOW))
+COLLAPSE = "regexp_replace(regexp_replace({0}, '\\n{{3,}}', E'\\n\\n', 'g'), '[ \\t]{{2,}}', ' ', 'g')"
+over_documents("collapse_whitespace", lambda c: text.collapse_whitespace(messy(c)), SQL_STRIP.format(COLLAPSE.format(MESSY)))
+FENCED = "```py\nx = 1\n\n\n\ny  =  2   \n```\n"
+over_documents(
+    "minify_fenced", lambda c: text.minify_text(F.concat(messy(c), F.lit(FENCED), messy(c))),
+    f"regexp_replace({BLANKS.format(MESSY)} || E'{FENCED.replace(chr(10), chr(92) + 'n')}' || {BLANKS.format(MESSY)}, '^\\n+|\\n+$', '', 'g')",
+)
+over_documents(
+    "fence_segments", lambda c: F.concat_ws("|", *(F.element_at(F.transform(text.segments(F.concat(messy(c), F.lit(FENCED), c)), lambda s: F.concat(s["fence"].cast("string"), F.length(s["text"]).cast("string"))), k) for k in (1, 2, 3))),
+    f"'false' || length({MESSY}) || '|true{len(FENCED)}|false' || length(text)",
+)
+SENT = "string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+over_documents("truncate_verbose", lambda c: text.truncate_verbose(c), f"case when length(text) <= 500 then text when len({SENT}) <= 3 then left(text, 500) || '...' else {SENT}[1] || ' ' || {SENT}[2] || ' ... ' || {SENT}[len({SENT})] end")
+over_documents("minify_prompt", lambda c: rewrite.minify_prompt(messy(c)), f"regexp_replace({SQL_STRIP.format(f"regexp_replace({MESSY}, '\\s+', ' ', 'g')")}, '[,;:!?]{{2,}}', '', 'g')")
+BANNERS = "=====\n=====\nRules\n-----\n-----\n-----\nend\n====="
+SYS = f"'  Basically ' || text || E'\\n{BANNERS.replace(chr(10), chr(92) + 'n')}'"
+SYSLOW = SYS
+for _p in (rf"(?i)\b(?:{text.HEDGES})\b", r"[!?.]{3,}", r"\n{4,}", r"^\s+|\s+$"):
+    SYSLOW = f"regexp_replace({SYSLOW}, '{_p}', '', 'g')"
+SYSLINES = f"string_split({SQL_STRIP.format(COLLAPSE.format(SQL_STRIP.format(SYSLOW)))}, chr(10))"
+over_documents(
+    "system_minify", lambda c: text.minify_system(F.concat(F.lit("  Basically "), c, F.lit("\n" + BANNERS))),
+    f"{SQL_STRIP.format(f"array_to_string(list_transform(list_filter(list_transform(range(1, len({SYSLINES}) + 1), lambda i: {{'a': {SYSLINES}[i], 'b': case when i > 1 then {SYSLINES}[i - 1] end}}), lambda s: not (regexp_matches(trim(s.a), '{text.BANNER}') and s.a is not distinct from s.b)), lambda s: s.a), chr(10))")}",
+)
+ORACLES["system_minify"] = f"with l as (select doc_id, {SYSLINES} as l from documents where text is not null), u as (select doc_id, unnest(l) as a, generate_subscripts(l, 1) as i from l), k as (select *, lag(a) over (partition by doc_id order by i) as b from u) select doc_id, {SQL_STRIP.format('''string_agg(a, chr(10) order by i)''')} as text from k where not (regexp_matches(trim(a), '{text.BANNER}') and a is not distinct from b) group by doc_id"
+
+HINTED = {0: " security breach", 1: " osint scan", 2: " revenue forecast", 3: " refactor the code", 4: " audit of policy", 5: ""}
+
+
+def hinted(c: Column) -> Column:
+    return F.concat(c, F.create_map(*(F.lit(x) for p in HINTED.items() for x in p))[(F.col("doc_id") % 6).cast("int")])
+
+
+HINTED_SQL = "lower(text || case doc_id % 6 " + " ".join(f"when {k} then '{v}'" for k, v in HINTED.items()) + " end)"
+SCORES = ", ".join(f"{' + '.join(f'cast(contains(t, {chr(39)}{w}{chr(39)}) as int)' for w in words)} as {d}" for d, words in rewrite.DOMAINS.items())
+DOMAIN_SQL = f"with t as (select doc_id, {HINTED_SQL} as t from documents where text is not null), s as (select doc_id, {SCORES} from t), b as (select *, greatest({', '.join(rewrite.DOMAINS)}) as best from s), c as (select doc_id, case when best = 0 then 'general' {' '.join(f'when {d} = best then {chr(39)}{d}{chr(39)}' for d in rewrite.DOMAINS)} end as domain from b)"
+
+
+@query(f"{DOMAIN_SQL} select doc_id, domain from c")
+def classify_domain(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", rewrite.classify_domain(hinted(F.col("text"))).alias("domain"))
+
+
+HINT_SQL = " ".join(f"when '{d}' then '{h}'" for d, h in rewrite.HINTS.items())
+
+
+@query(f"{DOMAIN_SQL} select doc_id, 'Role: auditor. Style: terse. Domain (' || domain || '): ' || case domain {HINT_SQL} end || ' Rules: a; b {rewrite.ENDING}' as system from c")
+def build_system(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", rewrite.build_system(rewrite.classify_domain(hinted(F.col("text"))), "auditor", rules=("a", "b")).alias("system"))
+
+
+def prompts(spark, sf_dir):
+    return turns(spark, sf_dir).where("text is not null").select("request_id", "msg_idx", F.concat(F.lit("Can you please help me with this ?? "), "text", F.lit("\nthank you, in order to fix the the code.")).alias("prompt"))
+
+
+def over_prompts(name: str, f: Callable[[Column], Column]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: prompts(spark, sf_dir).select("request_id", "msg_idx", f(F.col("prompt")).alias("out"))
+
+
+over_prompts("reframe", rewrite.reframe)
+for _mode in rewrite.BUDGETS:
+    over_prompts(f"shrink_{_mode}", lambda c, m=_mode: rewrite.shrink(c, m))
+QUERIES["frame"] = lambda spark, sf_dir: prompts(spark, sf_dir).select("request_id", "msg_idx", rewrite.frame(F.col("prompt")).alias("f")).select("request_id", "msg_idx", "f.*")
+
+
+def event_lines(spark, sf_dir):
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "event_type", F.lit(" "), F.col("event_id").cast("string"))
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
+
+
+LINES = "t as (select user_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' ' || event_id, chr(10) order by event_id) as t, list(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' ' || event_id order by event_id) as l from events group by user_id)"
+
+
+@query(f"with {LINES}, b as (select user_id, t, case when len(l) >= 20 and length(t) >= 200 then 'log ' || len(l) || ' lines:' || chr(10) || array_to_string(l[1:5], chr(10)) || chr(10) || '...' || chr(10) || array_to_string(l[len(l) - 4:], chr(10)) end as body from t) select user_id, '[compressed] ' || strlen(t) || 'B -> ' || strlen(body) || 'B; ' || body as out from b")
+def compress_log(spark, sf_dir):
+    t = event_lines(spark, sf_dir)
+    return t.select("user_id", F.when(F.length("t") >= compress.LEAST, compress.wrap(F.col("t"), compress.log(F.col("t")))).alias("out"))
+
+
+@query("with t as (select p_size, list('-rw-r--r-- 1 u g ' || p_size || ' Jan 1 12:00 ' || replace(p_name, ' ', '_') order by p_partkey) as l, list(replace(p_name, ' ', '_') order by p_partkey) as names from part group by p_size), b as (select p_size, array_to_string(l, chr(10)) as t, case when len(l) >= 8 then 'dir listing: ' || array_to_string(names[1:60], ', ') || case when len(names) > 60 then ' ... (+' || (len(names) - 60) || ' more)' else '' end end as body from t) select p_size, case when length(t) >= 200 then '[compressed] ' || strlen(t) || 'B -> ' || strlen(body) || 'B; ' || body end as out from b")
+def compress_listing(spark, sf_dir):
+    line = F.concat(F.lit("-rw-r--r-- 1 u g "), F.col("p_size").cast("string"), F.lit(" Jan 1 12:00 "), F.replace("p_name", F.lit(" "), F.lit("_")))
+    t = read(spark, sf_dir, "part").groupBy("p_size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
+    return t.select("p_size", compress.compress_text(F.col("t")).alias("out"))
+
+
+CODE = "import os\n\n# comment\n// other\n#!keep\ndef f(x):\n    return x\n\nclass A:\n    pass\nif x:\n    y = 1   \n"
+CODE_SQL = "E'" + CODE.replace("\n", "\\n") + "' || replace(text, chr(13), ' ')"
+
+
+@query(f"with t as (select doc_id, {CODE_SQL} as t from documents where text is not null), u as (select doc_id, t, unnest(string_split(regexp_replace(t, '\\n$', ''), chr(10))) as a, generate_subscripts(string_split(regexp_replace(t, '\\n$', ''), chr(10)), 1) as i from t), k as (select *, row_number() over (partition by doc_id order by i) as r from u where trim(a, E' \\t\\n\\r\\f') <> '' and (not regexp_matches(ltrim(a), '^(//|#)') or regexp_matches(ltrim(a), '^(#!|#pragma)'))), b as (select doc_id, any_value(t) as t, 'source:' || chr(10) || string_agg(left(regexp_replace(a, '\\s+$', ''), 160), chr(10) order by i) as body from k where r <= 60 group by doc_id) select doc_id, case when length(t) >= 200 then '[compressed] ' || strlen(t) || 'B -> ' || strlen(body) || 'B; ' || body end as out from b")
+def compress_source(spark, sf_dir):
+    t = F.concat(F.lit(CODE), F.replace("text", F.lit("\r"), F.lit(" ")))
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.when(F.length(t) >= compress.LEAST, compress.wrap(t, compress.source(t))).alias("out"))
+
+
+@query("with t as (select user_id, E'[\\n' || string_agg('        {\"id\":    ' || event_id || ',    \"type\":    \"' || event_type || '\"}', E',\\n' order by event_id) || E'\\n]' as t, '[' || string_agg('{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}', ',' order by event_id) || ']' as c from events group by user_id) select user_id, case when length(t) >= 200 and length(c) < 0.85 * length(t) then '[compressed] ' || strlen(t) || 'B -> ' || strlen('json: ' || left(c, 4000)) || 'B; json: ' || left(c, 4000) end as out from t")
+def compress_json(spark, sf_dir):
+    row = F.concat(F.lit('        {"id":    '), F.col("event_id").cast("string"), F.lit(',    "type":    "'), "event_type", F.lit('"}'))
+    t = read(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit("[\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", row.alias("r")))), lambda x: x["r"]), ",\n"), F.lit("\n]")).alias("t"))
+    return t.select("user_id", compress.compress_text(F.col("t"), compress.compact_json("t")).alias("out"))
+
+
+@query("select doc_id, '[compressed] ' || strlen('commit ' || doc_id || E'\\nAuthor: a\\nDate: d\\n\\n@@ -1 +1 @@\\n+' || text) || 'B -> ' || strlen('git: commit ' || doc_id || ' | Author: a | Date: d | @@ -1 +1 @@ | +' || regexp_replace(left(text, 119), '\\s+$', '')) || 'B; git: commit ' || doc_id || ' | Author: a | Date: d | @@ -1 +1 @@ | +' || regexp_replace(left(text, 119), '\\s+$', '') as out from (select doc_id, regexp_replace(text, '\\s+', ' ', 'g') as text from documents where length(text) >= 300)")
+def compress_git(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where(F.length("text") >= 300).select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    t = F.concat(F.lit("commit "), F.col("doc_id").cast("string"), F.lit("\nAuthor: a\nDate: d\n\n@@ -1 +1 @@\n+"), "text")
+    body = F.regexp_replace(compress.version_control(t), r"\s+$", "")
+    return d.select("doc_id", compress.wrap(t, body).alias("out"))
+
+
+def dom_sql(c: str) -> str:
+    for tag in dom.TAGS:
+        for p in (f"(?is)<{tag}[^>]*>.*?</{tag}>", f"(?i)<{tag}[^>]*/>", f"(?i)<{tag}[^>]*>"):
+            c = f"regexp_replace({c}, '{p}', '', 'g')"
+    for part in dom.PARTS:
+        c = f"regexp_replace({c}, '(?is)<{part}[^>]*>.*?</{part}>', '', 'g')"
+    c = f"regexp_replace({c}, '\\s+(?:data|aria)-[a-zA-Z_-]+=\"[^\"]*\"', '', 'g')"
+    for name in dom.ATTRIBUTES:
+        c = f"regexp_replace({c}, '\\s+{name}=\"[^\"]*\"', '', 'g')"
+    for tags, new in ((dom.BREAKS, "chr(10)"), (dom.SPACES, "' '")):
+        for tag in tags:
+            c = f"regexp_replace({c}, '(?i)</?{tag}[^>]*>', {new}, 'g')"
+    for e, x in dom.ENTITIES.items():
+        c = f"replace({c}, '{e}', '{x}')"
+    return SQL_STRIP.format(COLLAPSE.format(c))
+
+
+@query(f"with p as (select page_id, {dom_sql('html')} as t from pages where html is not null) select page_id, case when length(t) > 8000 then left(t, 4000) || E'\\n... [truncated] ...\\n' || right(t, 2000) else t end as t from p")
+def html_prune(spark, sf_dir):
+    return read(spark, sf_dir, "pages").where("html is not null").select("page_id", dom.prune(F.col("html")).alias("t"))
+
+
+@query("select page_id, length(html) > 4096 and regexp_matches(html, '(?i)<(?:html|!doctype|body|div|script)\\b') as gate from pages where html is not null")
+def html_gate(spark, sf_dir):
+    return read(spark, sf_dir, "pages").where("html is not null").select("page_id", dom.looks_like_page(F.col("html")).alias("gate"))
+
+
+RETRIEVE = "w as (select item_id as query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) as word from benchmark), v as (select conv_id * 100 + turn as entry_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) as word from conversations)"
+
+
+@query(f"with {RETRIEVE}, s as (select query_id, entry_id, count(*) as score from w join v using (word) group by all), r as (select *, row_number() over (partition by query_id order by score desc, entry_id) as rank from s) select query_id, entry_id, score, rank from r where rank <= 10")
+def retrieve_topk(spark, sf_dir):
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    e = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("entry_id"), F.col("text").alias("content"))
+    return memory.retrieve(q, e)
+
+
+def entries(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") % 10).alias("ctx_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("entry_idx"), "role", F.col("text").alias("content"))
+
+
+VERBOSE = "case when length(text) <= 200 then text when len({0}) <= 3 then left(text, 200) || '...' else {0}[1] || ' ' || {0}[2] || ' ... ' || {0}[len({0})] end".format(SENT)
+
+
+@query(f"""with e as (select conv_id % 10 as ctx_id, conv_id * 100 + turn as entry_idx, role, text, {VERBOSE} as short from conversations where text is not null),
+o as (select *, row_number() over (partition by ctx_id order by entry_idx) as place, count(*) over (partition by ctx_id) as n from e),
+s as (select *, case when lag(role) over (partition by ctx_id order by entry_idx) = role then 1 else 0 end as same from o where place <= n - 20),
+i as (select *, sum(same) over (partition by ctx_id order by entry_idx) as island from s),
+p as (select *, (row_number() over (partition by ctx_id, island order by entry_idx) - 1) // 2 as pair from i),
+g as (select ctx_id, min(entry_idx) as entry_idx, list(role order by entry_idx) as r, list(short order by entry_idx) as c from p group by ctx_id, island, pair)
+select ctx_id, entry_idx, 'summary' as role, case when len(r) = 1 then '[' || r[1] || ': ' || left(c[1], 150) || '...]' else '[' || r[1] || ': ' || left(c[1], 100) || '... → ' || r[2] || ': ' || left(c[2], 100) || '...]' end as content from g
+union all select ctx_id, entry_idx, role, text from o where place > n - 20""")
+def summarize_turns(spark, sf_dir):
+    return memory.summarize(entries(spark, sf_dir))
+
+
+@query()
+def prune_context(spark, sf_dir):
+    kv = F.array(F.struct(F.lit("id").alias("k"), F.col("doc_id").cast("string").alias("v")), F.struct(F.lit("source").alias("k"), F.col("source").alias("v")), F.struct(F.lit("note").alias("k"), F.coalesce("text", F.lit("")).alias("v")))
+    cold = read(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("ctx_id"), F.col("lang").alias("category"), F.col("doc_id").alias("entry_idx"), kv.alias("kv"), F.lit(None).cast("string").alias("value"))
+    return memory.prune_context(cold, entries(spark, sf_dir))
+
+
+def flat_messages(spark, sf_dir):
+    """Conversations as flat roles: every fourth turn is a tool's, assistants call tools."""
+    t = turns(spark, sf_dir)
+    role = F.when(F.col("msg_idx") % 4 == 3, "tool").otherwise(F.col("role"))
+    calls = F.when(role == "assistant", F.concat(F.lit('[{"id":"c'), F.col("msg_idx").cast("string"), F.lit('","function":{"name":"f","arguments":"{\\"k\\":1}"}}]')))
+    return t.select("request_id", "msg_idx", role.alias("role"), F.lit("str").alias("kind"), F.coalesce("text", F.lit("")).alias("content"), calls.alias("tool_calls"), F.concat(F.lit("c"), (F.col("msg_idx") - 1).cast("string")).alias("tool_call_id"), F.lit(None).cast("string").alias("raw_json"))
+
+
+FLAT = "f as (select cast(conv_id as varchar) as request_id, cast(turn as int) as msg_idx, case when turn % 4 = 3 then 'tool' else role end as role, coalesce(text, '') as text from conversations), h as (select *, case when role = 'tool' and lag(role) over (partition by request_id order by msg_idx) = 'tool' then 0 else 1 end as start from f where role <> 'system'), c as (select request_id, role, text, msg_idx as old, cast(sum(start) over (partition by request_id order by msg_idx) - 1 as int) as msg_idx from h), b as (select request_id, msg_idx, cast(row_number() over (partition by request_id, msg_idx order by old) - 1 as int) as blk_idx, 'user' as role, 'tool_result' as type, text, 'c' || (old - 1) as tool_id from c where role = 'tool' union all select request_id, msg_idx, 0, 'assistant', 'text', text, null from c where role = 'assistant' and text <> '' union all select request_id, msg_idx, 1, 'assistant', 'tool_use', null, 'c' || old from c where role = 'assistant' union all select request_id, msg_idx, -1, 'user', 'str', text, null from c where role = 'user')"
+
+
+@query(f"with {FLAT} select request_id, msg_idx, cast(blk_idx as int) as blk_idx, role, type, text, tool_id from b")
+def adapters_to_canonical(spark, sf_dir):
+    blocks, _ = adapters.to_canonical(flat_messages(spark, sf_dir))
+    return blocks.select("request_id", "msg_idx", "blk_idx", "role", "type", F.coalesce("text", "tr_text").alias("text"), "tool_id")
+
+
+@query("with m as (select cast(conv_id as varchar) as request_id, turn, case when turn % 4 = 3 then 'tool' else role end as role, coalesce(text, '') as text from conversations), s as (select request_id, -1 as turn, 'system' as role, string_agg(text, chr(10) || chr(10) order by turn) as content, 0 as n_calls from m where role = 'system' and text <> '' group by request_id), a as (select request_id, turn, role, case when role = 'assistant' and text = '' then null else text end as content, case when role = 'assistant' then 1 else 0 end as n_calls from m where role <> 'system' union all select * from s) select request_id, cast(row_number() over (partition by request_id order by turn) - 1 as int) as msg_idx, role, content, cast(n_calls as int) as n_calls from a")
+def adapters_from_canonical(spark, sf_dir):
+    blocks, systems = adapters.to_canonical(flat_messages(spark, sf_dir))
+    return adapters.from_canonical(blocks, systems).select("request_id", "msg_idx", "role", "content", F.coalesce(F.size("tool_calls"), F.lit(0)).alias("n_calls"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then 0 else event_id % 100 end as prompt, case when event_id % 3 = 0 then 0 else user_id end as completion from events")
+def usage_extract(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    body = F.when(F.col("event_id") % 3 == 0, F.lit("event: ping\ndata: {}\n")).otherwise(F.concat(F.lit('event: x\ndata: {"usage":{}}\ndata: {"usage":{"prompt_tokens":'), (F.col("event_id") % 100).cast("string"), F.lit(',"completion_tokens":'), F.col("user_id").cast("string"), F.lit("}}\ndata: [DONE]\n")))
+    return e.select("event_id", response.usage(body).alias("u")).select("event_id", "u.prompt", "u.completion")
+
+
+@query("select count(*) as runs, cast(sum(event_id) as bigint) as tokens_in, cast(sum(event_id - event_id % 7) as bigint) as tokens_out, cast(sum(event_id % 7) as bigint) as saved, round(sum(event_id % 7) / sum(event_id), 4) as ratio from events")
+def stats_rollup(spark, sf_dir):
+    return cumulative(read(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("event_id").alias("tokens_in"), (F.col("event_id") - F.col("event_id") % 7).alias("tokens_out")))
+
+
+@query("select event_id, cast(sum(event_id % 7) over (partition by user_id order by event_id rows between 59 preceding and current row) as bigint) as saved_last_60 from events")
+def last_60(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-59, 0)
+    return read(spark, sf_dir, "events").select("event_id", F.sum(F.col("event_id") % 7).over(w).alias("saved_last_60"))
+
+
+@query("select event_id as request_id, greatest(value - 1, 0) as read_s, greatest(1 - value + 2, 0) as optimize_s, 0.5 as first_byte_s, 0.25 as stream_s, 2.75 + 0 as total_s from (select event_id, cast(2 as double) as value from events)")
+def latency(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    lit = lambda x: F.lit(float(x))
+    return response.latencies(e.select(F.col("event_id").alias("request_id"), lit(0).alias("t0"), lit(1).alias("t1"), lit(2).alias("t2"), lit(2.5).alias("t3"), lit(2.75).alias("t4")))
+
+
+@query()
+def stream_filter(spark, sf_dir):
+    t = turns(spark, sf_dir).where("text is not null")
+    pieces = F.array(F.lit("Su"), F.lit("re!\n"), F.substring("text", 1, 50), F.substring("text", 51, 50), F.lit("STO"), F.lit("P it"))
+    each = t.select(F.concat_ws("-", "request_id", F.col("msg_idx").cast("string")).alias("stream_id"), F.posexplode(pieces).alias("seq", "piece"))
+    frames = each.select("stream_id", F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), F.to_json(F.struct(F.struct(F.col("piece").alias("text")).alias("delta")))).alias("frame"))
+    return response.filter_frames(frames, response.Levers(stops=("STOP",)))
+
+
+#: The sizes of example models, by tier.
+MODELS = [(1, "dense 3B", 4.0, 2.0, 57344, 131072), (2, "MoE 8B-A1B", 4.0, 2.6, 8192, 131072), (3, "dense 8B", 8.0, 4.7, 65536, 131072), (4, "MoE 8B-A1B", 8.0, 5.2, 8192, 131072), (5, "dense 8B", 16.0, 8.0, 20480, 262144), (6, "MoE 35B-A3B", 16.0, 12.74, 5120, 262144), (7, "dense 70B", 16.0, 40.0, 81920, 131072)]
+MODEL_SQL = "m(model_id, name, vram_gb, size_gb, kv_bytes, native_ctx) as (values " + ", ".join(f"({a}, '{b}', {c}::double, {d}::double, {e}, {f})" for a, b, c, d, e, f in MODELS) + ")"
+SIZED = f"{MODEL_SQL}, k as (select unnest({catalog.CONTEXTS}) as ctx), u as (select unnest({catalog.BATCHES}) as ub), w as (select *, size_gb * 1.05 as w, vram_gb - size_gb * 1.05 - (0.4 + {{free}}) as free from m), f as (select model_id, max_by(struct_pack(ctx := ctx, ub := ub), ctx * 10000 + ub) as best from w, k, u where ctx <= native_ctx and ctx * kv_bytes / 1073741824.0 + ub * 0.00084 <= free group by model_id), r as (select w.*, case when free > 0 then coalesce(best.ctx, 16384) else 8192 end as ctx, case when free > 0 then coalesce(best.ub, 512) else 512 end as ub, free > 0 as offload from w left join f using (model_id))"
+
+
+@query(f"with {SIZED.format(free=1.0)} select model_id, cast(ctx as int) as ctx, cast(ub as int) as ub, offload from r")
+def recommend(spark, sf_dir):
+    return catalog.recommend(catalog.models(spark, MODELS)).select("model_id", "ctx", "ub", "offload")
+
+
+@query(f"with {MODEL_SQL} select model_id, name, cast(vram_gb as double) as vram_gb from m where vram_gb = 8")
+def presets(spark, sf_dir):
+    return catalog.models(spark, MODELS).where("vram_gb = 8").select("model_id", "name", "vram_gb")
+
+
+@query(f"with {SIZED.format(free=0.3)}, e as (select *, cast(floor(ctx / (1 - 85.4 / 100)) as bigint) as effective_ctx from r), b as (select *, row_number() over (partition by vram_gb order by effective_ctx desc, model_id) as n from e) select vram_gb as tier_gb, model_id, effective_ctx from b where n = 1")
+def context_presets(spark, sf_dir):
+    sized = catalog.recommend(catalog.models(spark, MODELS), 0.3).withColumn("effective_ctx", catalog.effective_context(F.col("ctx"), F.lit(85.4))).withColumn("tier_gb", F.col("vram_gb"))
+    return catalog.best_for_tier(sized).select("tier_gb", "model_id", "effective_ctx")
+
+
+@query()
+def tool_minify(spark, sf_dir):
+    t = read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("Use this tool to find parts. "), F.repeat("p_name", F.lit(12)), F.lit("\n\n\n\n```sh\na\n```\nmore\n```sh\nb\n```\n")).alias("description"), F.lit('{"type":"object","title":"T","properties":{"a":{"type":"string","examples":["x"]}},"$comment":"c"}').alias("schema_json"), "p_partkey")
+    return tools.minify_tools(t)
+
+
+def conversation_blocks(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return turns(spark, sf_dir).select("request_id", "msg_idx", F.lit(-1).alias("blk_idx"), "role", F.lit("str").alias("type"), "text", *(none.alias(c) for c in ("tool_id", "tool_name", "input_json", "tr_text", "raw_json")))
+
+
+SLIM = "regexp_replace({0}, '^\\n+|\\n+$', '', 'g')".format(BLANKS.format("text"))
+
+
+@query(f"""with {MSGS}, a as (select request_id, msg_idx, tok, {SLIM} as text, row_number() over (partition by request_id order by msg_idx) - 1 as place, count(*) over (partition by request_id) as n from m),
+s as (select request_id, msg_idx, tok as tok_in, place, n, case when n >= 2 and place < n - 2 and length(text) > 360 then {DISTILL} else text end as text, n >= 2 and place < n - 2 and length(text) > 360 as old from a),
+t as (select *, cast({TOK} as bigint) as tok from s), p as (select *, cast(coalesce(sum(tok) over (partition by request_id order by msg_idx rows between unbounded preceding and 1 preceding), 0) as bigint) as prefix, cast(sum(tok) over (partition by request_id) as bigint) as total from t), v as (select *, true as valid from p),
+g as (select request_id, max(n) as n, max(total) as total, cast(sum(tok_in) as bigint) as tokens_in, count(*) filter (old) as distill_count, min(place) filter (place >= 1 and place <= n - 2 and total - prefix <= 400) as least, max(place) filter (place >= 1 and place <= n - 2) as most from v group by request_id),
+d as (select *, case when total <= 400 or n <= 2 then 0 else coalesce(least, most, 0) end as dropped from g)
+select d.request_id, tokens_in, d.total - prefix as tokens_out, distill_count, cast(dropped as bigint) as budget_dropped from d join v on d.request_id = v.request_id and v.place = d.dropped""")
+def optimize_requests(spark, sf_dir):
+    _, stats = optimize(conversation_blocks(spark, sf_dir), Config(token_budget=BUDGET, keep_last=KEEP))
+    return stats.select("request_id", "tokens_in", "tokens_out", "distill_count", "budget_dropped")
