@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tarnmill.functions.text import gsub, strip
+from tarnmill.functions.text import gsub, let, strip
 
 #: Keywords of each domain, in the order that decides ties.
 DOMAINS = {
@@ -55,7 +55,7 @@ def sentences(c: Column) -> Column:
 
 
 def ended(c: Column) -> Column:
-    return F.when((c != "") & ~c.rlike(r"[.!?]\z"), F.concat(c, F.lit("."))).otherwise(c)
+    return let(c, lambda x: F.when((x != "") & ~x.rlike(r"[.!?]\z"), F.concat(x, F.lit("."))).otherwise(x))
 
 
 def reframe(c: Column) -> Column:
@@ -73,8 +73,7 @@ def reframe(c: Column) -> Column:
         lambda a: a["out"],
     )
     out = strip(gsub(F.array_join(kept, " "), r"(?U)\s+", " "))
-    first = F.substring(out, 1, 1)
-    return ended(F.when(out == "", out).otherwise(F.concat(F.when(first == F.lower(first), F.upper(first)).otherwise(first), F.substring(out, F.lit(2), F.length(out)))))
+    return ended(let(out, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))))
 
 
 def words(c: Column) -> Column:
@@ -84,23 +83,25 @@ def words(c: Column) -> Column:
 def shrink(c: Column, mode: str = "balanced", budget: int | None = None) -> Column:
     """The sentences that rank highest, up to the first that exceeds the budget of words, in their old order."""
     most = budget if budget and budget > 0 else BUDGETS.get(mode, 50)
-    cleaned = sentences(reframe(c))
-    candidates = F.when(F.size(cleaned) > 0, cleaned).otherwise(sentences(c))
-    asked = F.filter(words(c), lambda w: F.length(w) > 3)
+    pieces = "array<struct<i:int,text:string>>"
 
-    def ranked(s: Column, i: Column) -> Column:
-        w = words(s)
-        score = F.size(F.filter(w, lambda x: F.array_contains(asked, x))) * 2 + F.size(w)
-        return F.struct((-score).alias("score"), i.alias("i"), s.alias("text"), F.size(F.split(strip(s), r"(?U)\s+")).alias("size"))
-
-    order = F.array_sort(F.transform(candidates, ranked))
-    taken = F.aggregate(
-        order, F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<struct<i:int,text:string>>").alias("out")),
-        lambda a, x: F.when(a["full"] | ((a["used"] + x["size"] > most) & (F.size(a["out"]) > 0)), F.struct(a["used"].alias("used"), F.lit(True).alias("full"), a["out"].alias("out"))).otherwise(
-            F.struct((a["used"] + x["size"]).alias("used"), F.lit(False).alias("full"), F.array_append(a["out"], F.struct(x["i"].alias("i"), x["text"].alias("text"))).alias("out"))),
-        lambda a: F.array_join(F.transform(F.array_sort(a["out"]), lambda x: x["text"]), " "),
-    )
-    return F.when((c == "") | (F.size(candidates) == 0), c).otherwise(ended(strip(taken)))
+    def choose(candidates: Column, asked: Column) -> Column:
+        def ranked(s: Column, i: Column) -> Column:
+            score = let(words(s), lambda w: F.size(F.filter(w, lambda x: F.array_contains(asked, x))) * 2 + F.size(w))
+            return F.struct((-score).alias("score"), i.alias("i"), s.alias("text"), F.size(F.split(strip(s), r"(?U)\s+")).alias("size"))
+
+        def take(a: Column, x: Column) -> Column:
+            full = a["full"] | ((a["used"] + x["size"] > most) & (F.size(a["out"]) > 0))
+            more = F.array_append(a["out"], F.struct(x["i"].alias("i"), x["text"].alias("text")))
+            return F.struct((a["used"] + x["size"]).alias("used"), full.alias("full"), F.when(full, a["out"]).otherwise(more).alias("out"))
+
+        start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast(pieces).alias("out"))
+        taken = F.aggregate(F.array_sort(F.transform(candidates, ranked)), start, take, lambda a: F.array_join(F.transform(F.array_sort(a["out"]), lambda x: x["text"]), " "))
+        return F.when(F.size(candidates) == 0, c).otherwise(ended(strip(taken)))
+
+    asked = F.filter(words(c), lambda w: F.length(w) > 3)
+    found = let(sentences(reframe(c)), lambda s: F.when(F.size(s) > 0, s).otherwise(sentences(c)))
+    return F.when(c == "", c).otherwise(let(asked, lambda q: let(found, lambda s: choose(s, q))))
 
 
 def minify_prompt(c: Column) -> Column:
@@ -115,6 +116,6 @@ def build_system(domain: Column, role: str = "generalist", style: str = "terse",
 
 def frame(c: Column, mode: str = "balanced", budget: int | None = None, system: str = "", **how) -> Column:
     """tight, system and domain of a prompt."""
-    domain = classify_domain(c)
-    composed = build_system(domain, **how)
-    return F.struct(minify_prompt(shrink(reframe(c), mode, budget)).alias("tight"), (F.concat(F.lit(system + "\n\n"), composed) if system else composed).alias("system"), domain.alias("domain"))
+    composed = lambda d: F.concat(F.lit(system + "\n\n"), build_system(d, **how)) if system else build_system(d, **how)
+    tight = let(reframe(c), lambda x: minify_prompt(shrink(x, mode, budget)))
+    return let(classify_domain(c), lambda d: F.struct(tight.alias("tight"), composed(d).alias("system"), d.alias("domain")))

@@ -20,6 +20,11 @@ BANNER = r"^[=\-─│*_~#]+$"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 
 
+def let(c: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def gsub(c: Column, pattern: str, new: str = "") -> Column:
     return F.regexp_replace(c, pattern, new)
 
@@ -97,6 +102,7 @@ def distill(c: Column, most: int = 240, note: str = "[distilled from %d chars]",
             F.concat(a["out"], F.when(s["fence"], fence).otherwise(chunk)).alias("out"), F.when(s["fence"], a["left"]).otherwise(a["left"] - F.length(chunk)).alias("left"), (a["seen"] | s["fence"]).alias("seen"),
         )
 
-    kept = strip(F.aggregate(segments(c), start, step, lambda a: a["out"]))
-    noted = F.concat(kept, F.lit("\n\n"), F.format_string(note, F.length(c)))
-    return F.when(F.length(c) <= least, c).when(F.length(kept) < F.length(c), noted).otherwise(kept)
+    def noted(kept: Column) -> Column:
+        return F.when(F.length(kept) < F.length(c), F.concat(kept, F.lit("\n\n"), F.format_string(note, F.length(c)))).otherwise(kept)
+
+    return F.when(F.length(c) <= least, c).otherwise(let(strip(F.aggregate(segments(c), start, step, lambda a: a["out"])), noted))
