@@ -195,6 +195,8 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encode distinct new words into the cache, as little-endian 32-bit ids."""
+        if not words:
+            return
         words = list(words)
         letters = [w.encode().decode("latin-1").translate(self.to_letters) for w in words]
         ids = [[self.proposals[w]] if w in self.proposals else self.greedy(w) for w in letters]
