@@ -16,30 +16,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import forget, materialise
+from tarnmill.llm.common import materialise
 
 KEY = "a key of the deployment's own"
-#: Up to so many retried entities go with the plan as a map; more are joined.
-MAPPED = 10_000
 ROUNDS, SALTS = 12, 16
 
 #: Fixed patterns, tried in this order at each place.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
-IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
+IBAN = r"(?=[A-Z]{2}\d)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
 TITLES = "Mr|Mrs|Ms|Miss|Mme|Mlle|Monsieur|Madame|Herr|Frau|Señor|Señora|Sr|Sra|г-н|г-жа|господин|госпожа|κύριος|κυρία"
-PERSON = rf"(?<=(?<!\p{{L}})(?:{TITLES})\.? )\p{{Lu}}[\p{{Ll}}'’-]++(?: \p{{Lu}}[\p{{Ll}}'’-]++){{0,2}}"
+TITLE = rf"(?=[FHMSгκ])(?<!\p{{L}})(?:{TITLES})\.? "
+PERSON = rf"{TITLE}\p{{Lu}}[\p{{Ll}}'’-]++(?: \p{{Lu}}[\p{{Ll}}'’-]++){{0,2}}"
 TYPES = {"email": EMAIL, "ip": IP, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
+#: What every entity has, and few texts have: tested first, as it is cheap.
+SIGN = rf"[0-9@]|{TITLE}"
 
 #: Letters by script and sort; a letter becomes another of its row, at a place that the key decides.
 ROWS = ["bcdfghjklmnpqrstvwxz", "aeiouy", "бвгджзклмнпрстфхцчшщ", "аеиоуыэюя", "βγδζθκλμνξπρστφχψ", "αεηιουω"]
 PLAIN = ("áàâäãåéèêëíìîïóòôöõúùûüýÿñçßά έήίόύώё", "aaaaaaeeeeiiiiooooouuuuyyncsα εηιουωе")
 
 
+def has_any(text: Column) -> Column:
+    return F.coalesce(text.rlike(SIGN) & text.rlike(ANY), F.lit(False))
+
+
 def type_of(found: Column) -> Column:
     whole = [(name, rf"^(?:{p})$") for name, p in TYPES.items() if name != "person"]
     kind = F.when(found.rlike(whole[0][1]), whole[0][0])
@@ -49,113 +54,100 @@ def type_of(found: Column) -> Column:
 
 
 def canonical(kind: Column, found: Column) -> Column:
-    return F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(found, r"\D", "")).when(kind == "iban", F.replace(found, F.lit(" "), F.lit(""))).otherwise(F.lower(found))
+    return F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(found, r"\D", "")).when(kind == "iban", F.replace(found, F.lit(" "), F.lit(""))).when(kind == "person", F.lower(F.regexp_replace(found, f"^{TITLE}", ""))).otherwise(F.lower(found))
+
 
+# The expressions below are SQL text: built from columns they would take longer to put together than to run.
 
-def letter(c: Column, n: Column) -> Column:
+
+def letter(c: str, n: str) -> str:
     """Another letter of c's script, sort and case; what is no letter of a known script stays."""
-    low = F.lower(F.translate(F.lower(c), *PLAIN))
-    new = low
-    for row in ROWS:
-        new = F.when(F.lit(row).contains(low) & (low != ""), F.substring(F.lit(row), n % len(row) + 1, F.lit(1))).otherwise(new)
-    return F.when(c != F.lower(c), F.upper(new)).otherwise(new)
+    low = f"translate(lower({c}), '{PLAIN[0]}', '{PLAIN[1]}')"
+    new = f"CASE WHEN {low} = '' THEN ''" + "".join(f" WHEN contains('{row}', {low}) THEN substring('{row}', {n} % {len(row)} + 1, 1)" for row in ROWS) + f" ELSE {low} END"
+    return f"if({c} = lower({c}), {new}, upper({new}))"
 
 
-def replaced(shape: Column, form: Column, kind: Column, tries: Column, key: str, keep_first: Column, keep_last: Column, of: Column | None = None) -> Column:
-    """shape with its letters and digits replaced, all but so many at its ends. The j-th is decided by the key, the
-    type, the canonical form and j."""
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.shiftright(F.length(shape), 6)), lambda b: F.sha2(F.concat_ws("\u0001", F.lit(key), kind, of if of is not None else form, tries.cast("string"), b.cast("string")), 512)), "")
-    total = F.length(F.regexp_replace(shape, r"[^\p{L}\p{N}]", ""))
+def stream(kind: str, form: str, key: str) -> str:
+    """Keyed hexadecimal digits, four for each of 32 letters, and as many more as a long entity needs."""
+    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
+    return f"array_join(transform(sequence(0, shiftright(length({form}), 5)), b -> sha2(concat_ws('\\u0001', '{quoted}', {kind}, {form}, cast(tries as string), cast(b as string)), 512)), '')"
 
-    def one(c: Column, i: Column) -> Column:
-        j = F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        n = F.conv(F.substring(stream, j * 2 + 1, F.lit(4)), 16, 10).cast("int")
-        new = F.when(c.rlike("[0-9]"), (n % 10).cast("string")).otherwise(letter(c, n))
-        return F.when(~c.rlike(r"[\p{L}\p{N}]") | (j < keep_first) | (j >= total - keep_last), c).otherwise(new)
 
-    return F.when(F.length(shape) == 0, shape).otherwise(F.array_join(F.transform(F.split(shape, ""), one), ""))
+def replaced(shape: str, digits: str, keep_first: str = "0", keep_last: str = "0") -> str:
+    """shape with its letters and digits replaced, the j-th by the j-th four digits, all but so many at its ends."""
+    plain, n = r"rlike(c, r'[\p{L}\p{N}]')", f"cast(conv(substring({digits}, a.j * 4 + 1, 4), 16, 10) as int)"
+    new = f"CASE WHEN a.j < {keep_first} OR a.j >= size(filter(split({shape}, ''), c -> {plain})) - {keep_last} THEN c WHEN c BETWEEN '0' AND '9' THEN cast({n} % 10 as string) ELSE {letter('c', n)} END"
+    step = f"if({plain}, named_struct('j', a.j + 1, 'out', concat(a.out, {new})), named_struct('j', a.j, 'out', concat(a.out, c)))"
+    return f"if({shape} = '', '', aggregate(split({shape}, ''), named_struct('j', 0, 'out', ''), (a, c) -> {step}, a -> a.out))"
 
 
-def luhn_sum(digits: Column) -> Column:
+def luhn_sum(digits: str) -> str:
     """The weighted digit sum of the check-digit rule; the last digit has weight one."""
-    n = F.length(digits)
-    doubled = F.transform(F.split(digits, ""), lambda d, i: F.when((n - i) % 2 == 0, d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)).otherwise(d.cast("int")))
-    return F.aggregate(doubled, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-
-
-def surrogate(kind: Column, found: Column, tries: Column, key: str = KEY) -> Column:
-    """The replacement of one occurrence."""
-    form = canonical(kind, found)
-    zero = F.lit(0)
-    every = replaced(found, form, kind, tries, key, zero, zero)
-    # Mail: the local part and inner labels are replaced; the label before the last becomes the reserved one.
-    local, domain = F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
-    inner = F.regexp_extract(domain, r"^((?:[^.]+\.)*)[^.]+\.[^.]+$", 1)
-    mail = F.concat(replaced(local, form, kind, tries, key, zero, zero), F.lit("@"), replaced(inner, F.concat(form, F.lit("@")), kind, tries, key, zero, zero), F.lit("example."), F.substring_index(domain, ".", -1))
-    # Network addresses: each number by the key, from 1 to 254.
-    hashed = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, form, tries.cast("string")), 256)
-    address = F.concat_ws(".", *((F.conv(F.substring(hashed, 1 + 4 * k, 4), 16, 10).cast("int") % 254 + 1).cast("string") for k in range(4)))
-    # Cards: the first digit stays; the last one satisfies the check if the original's did.
-    drawn = replaced(found, form, kind, tries, key, F.lit(1), zero)
-    digits = F.regexp_replace(drawn, r"\D", "")
-    rest = luhn_sum(F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), F.lit("0"))) % 10
-    card = F.when(luhn_sum(form) % 10 == 0, F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), ((10 - rest) % 10).cast("string"))).otherwise(drawn)
-    phone = replaced(found, form, kind, tries, key, F.length(F.regexp_extract(found, r"^\+(\d{1,3})(?=[ .-])", 1)), zero)
+    each = f"transform(split({digits}, ''), (d, i) -> coalesce(try_cast(d as int), 0) * if((length({digits}) - i) % 2 = 0, 2, 1) - if((length({digits}) - i) % 2 = 0 AND d > '4', 9, 0))"
+    return f"aggregate({each}, 0, (a, x) -> a + x)"
+
+
+def with_surrogates(e: DataFrame, key: str) -> DataFrame:
+    """Rows kind, form, found, tries with their surrogate: column by column, so that each step is worked out once."""
+    names = e.columns
+    add = lambda d, **more: d.selectExpr("*", *(f"{sql} AS {c}" for c, sql in more.items()))
+    e = add(
+        e, _hex=stream("kind", "form", key), _title=f"if(kind = 'person', regexp_extract(found, r'^({TITLE})', 1), '')", _domain="if(kind = 'email', substring_index(found, '@', -1), '')",
+        _shape="CASE WHEN kind = 'email' THEN substring_index(found, '@', 1) WHEN kind IN ('ip', 'person') THEN '' ELSE found END",
+        _first=r"CASE kind WHEN 'card' THEN 1 WHEN 'iban' THEN 2 WHEN 'phone' THEN length(regexp_extract(found, r'^\+(\d{1,3})(?=[ .-])', 1)) ELSE 0 END",
+    )
+    e = add(e, _new=replaced("_shape", "_hex", "_first"), _inner=r"regexp_extract(_domain, r'^((?:[^.]+\.)*)[^.]+\.[^.]+$', 1)", _back="reverse(_hex)", _name=f"regexp_replace(found, r'^{TITLE}', '')")
+    e = add(e, _digits=r"regexp_replace(_new, r'\D', '')")
+    e = add(e, _rest=luhn_sum("concat(substring(_digits, 1, length(_digits) - 1), '0')") + " % 10", _good=luhn_sum("form") + " % 10 = 0")
+    # Mail: inner labels of the domain are replaced, the label before the last becomes the reserved one.
+    mail = f"concat(_new, '@', {replaced('_inner', '_back')}, 'example.', substring_index(_domain, '.', -1))"
+    # Network addresses: each number from 1 to 254.
+    address = "concat_ws('.', " + ", ".join(f"cast(cast(conv(substring(_hex, {1 + 4 * k}, 4), 16, 10) as int) % 254 + 1 as string)" for k in range(4)) + ")"
+    # Cards: the last digit satisfies the check if the original's did.
+    card = "if(_good, concat(substring(_new, 1, length(_new) - 1), cast((10 - _rest) % 10 as string)), _new)"
     # Names: each word by itself, so that a surname alone is still the same; the last letter stays.
-    words = F.transform(F.split(found, " "), lambda w: replaced(w, F.lower(w), F.lit("person"), tries, key, zero, F.lit(1)))
-    person = F.concat(F.array_join(words, " "), F.when(tries >= ROUNDS // 2, F.concat(F.lit("-"), F.initcap(F.translate(F.substring(hashed, 1, 6), "0123456789abcdef", ROWS[0][:16])))).otherwise(""))
-    return F.when(kind == "email", mail).when(kind == "ip", address).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", replaced(found, form, kind, tries, key, F.lit(2), zero)).when(kind == "ssn", every).otherwise(person)
-
-
-def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct entities of all texts: kind, form, and found, the occurrence that stands for it."""
-    e = docs.where(F.col(text).rlike(ANY)).select(F.explode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("found"))
-    e = e.groupBy("found").count().drop("count")  # copies meet before the types are worked out
-    return e.withColumn("kind", type_of(F.col("found"))).withColumn("form", canonical(F.col("kind"), F.col("found"))).groupBy("kind", "form").agg(F.min("found").alias("found"))
-
-
-def retried(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """kind, form, tries of the entities whose first surrogate is taken, as a written table."""
-    all_of_them = materialise(entities(docs, text), "entities")
-    now = all_of_them.withColumn("tries", F.lit(0))
+    words = f"array_join(transform(transform(split(_name, ' '), w -> named_struct('w', w, 'h', {stream('kind', 'lower(w)', key)})), x -> {replaced('x.w', 'x.h', '0', '1')}), ' ')"
+    more = f"if(tries >= {ROUNDS // 2}, concat('-', initcap(translate(substring(_hex, 1, 6), '0123456789abcdef', '{ROWS[0][:16]}'))), '')"
+    new = f"CASE kind WHEN 'email' THEN {mail} WHEN 'ip' THEN {address} WHEN 'card' THEN {card} WHEN 'person' THEN concat(_title, {words}, {more}) ELSE _new END"
+    return add(e, surrogate=new).select(*names, "surrogate")
+
+
+def settled(occurrences: DataFrame, key: str = KEY) -> DataFrame:
+    """kind, form, tries of every entity, as a written table: how often each had to try until no surrogate was taken."""
+    found = occurrences.groupBy("found").count().drop("count")  # copies meet before types are worked out
+    typed = found.withColumn("kind", type_of(F.col("found"))).withColumn("form", canonical(F.col("kind"), F.col("found")))
+    now = materialise(typed.groupBy("kind", "form").agg(F.min("found").alias("found")).withColumn("tries", F.lit(0)), "entities")
+    taken = now.select("kind", F.col("form").alias("new"))
     for _ in range(ROUNDS):
-        made = now.withColumn("new", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("found"), F.col("tries"), key)))
+        # Written out before the joins: the optimizer would carry these long expressions through every constraint.
+        made = materialise(with_surrogates(now, key).withColumn("new", canonical(F.col("kind"), F.col("surrogate"))), "made")
         # Of those that share a surrogate, the first stays: the others, and all that are somebody's real value, try again.
         shared = made.groupBy("kind", "new").agg(F.min(F.struct("tries", "form")).alias("first"), F.count("*").alias("n")).where("n > 1")
         clash = made.join(shared, ["kind", "new"]).where(F.struct("tries", "form") != F.col("first")).select("kind", "form")
-        real = made.join(all_of_them.select("kind", F.col("form").alias("new")), ["kind", "new"], "left_semi").select("kind", "form")
+        real = made.join(taken, ["kind", "new"], "left_semi").select("kind", "form")
         again = materialise(clash.unionByName(real).distinct(), "again")
         if again.isEmpty():
             break
-        now = materialise(now.join(again.withColumn("more", F.lit(1)), ["kind", "form"], "left").withColumn("tries", F.col("tries") + F.coalesce("more", F.lit(0))).drop("more"), "tries")
-    return now.where("tries > 0").select("kind", "form", "tries")
+        now = materialise(now.join(again.withColumn("more", F.lit(1)), ["kind", "form"], "left").withColumn("tries", F.col("tries") + F.coalesce("more", F.lit(0))).drop("more"), "entities")
+    return now.select("kind", "form", "tries")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text", mapped: int = MAPPED) -> DataFrame:
-    """docs with surrogates in the text, and the column pii: kind, the surrogate put in, for each entity in order."""
-    again = retried(docs, key, text)
+def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+    """docs with surrogates in the text, and the column pii: kind, the surrogate put in, for each entity in order.
+    Rows without an entity aren't shuffled. The others' entities are: distinct ones are worked out once, and go back to
+    the rows by a join that is salted, as one entity may be in a third of all rows."""
     kept = [c for c in docs.columns if c not in (text, "pii")]
-    has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in kept]
+    has = has_any(F.col(text))
+    pii = "array<struct<kind:string,surrogate:string>>"
+    hit = docs.where(has).withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if c != "pii")))
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    typed = F.transform(found, lambda f: F.struct(type_of(f).alias("kind"), f.alias("found")))
-    hit = docs.where(has).withColumn("_found", typed)
-    n = again.limit(mapped + 1).count()
-    name = lambda kind, form: F.concat_ws("\u0001", kind, form)
-    if n == 0:
-        hit, tries = hit, lambda f: F.lit(0)
-    elif n <= mapped:
-        one = again.agg(F.map_from_entries(F.collect_list(F.struct(name(F.col("kind"), F.col("form")), "tries"))).alias("_tries"))
-        hit, tries = hit.crossJoin(F.broadcast(one)), lambda f: F.coalesce(F.element_at("_tries", name(f["kind"], canonical(f["kind"], f["found"]))), F.lit(0))
-    else:
-        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-        hit = hit.withColumn("_row", F.xxhash64(row))
-        salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        each = hit.select("_row", F.explode(F.array_distinct("_found")).alias("f")).distinct().select("_row", "f.kind", canonical(F.col("f.kind"), F.col("f.found")).alias("form"), F.pmod("_row", F.lit(SALTS)).cast("int").alias("salt"))
-        of_row = each.join(salted, ["kind", "form", "salt"]).groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct(name(F.col("kind"), F.col("form")), "tries"))).alias("_tries"))
-        hit, tries = hit.join(of_row, "_row", "left"), lambda f: F.coalesce(F.element_at("_tries", name(f["kind"], canonical(f["kind"], f["found"]))), F.lit(0))
-    put = F.transform("_found", lambda f: F.struct(f["kind"].alias("kind"), surrogate(f["kind"], f["found"], tries(f), key).alias("surrogate")))
-    hit = hit.withColumn("pii", put)
+    occurrences = materialise(hit.select("_row", F.explode(F.array_distinct(found)).alias("found")), "occurrences")
+    each = occurrences.groupBy("found").count().drop("count").withColumn("kind", type_of(F.col("found"))).withColumn("form", canonical(F.col("kind"), F.col("found")))
+    made = materialise(with_surrogates(materialise(each, "each").join(settled(occurrences, key), ["kind", "form"]), key).select("found", "kind", "surrogate"), "made")
+    salted = made.select("found", F.struct("kind", "surrogate").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    back = occurrences.distinct().withColumn("salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(salted, ["found", "salt"])
+    of_row = back.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("found", "s"))).alias("_made"))
+    joined = hit.join(of_row, "_row").withColumn("pii", F.transform(found, lambda f: F.element_at("_made", f)).cast(pii))
     new = F.array_join(F.zip_with(F.split(text, ANY, -1), "pii", lambda gap, p: F.concat(gap, F.coalesce(p["surrogate"], F.lit("")))), "")
-    none = F.array().cast("array<struct<kind:string,surrogate:string>>")
-    columns = [F.col(f"`{c}`") for c in kept]
-    return docs.where(~has).select(*columns, text, none.alias("pii")).unionByName(hit.select(*columns, new.alias(text), F.col("pii").cast("array<struct<kind:string,surrogate:string>>")))
+    return docs.where(~has).select(*columns, text, F.array().cast(pii).alias("pii")).unionByName(joined.select(*columns, new.alias(text), "pii"))
