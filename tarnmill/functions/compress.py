@@ -10,6 +10,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tarnmill.functions.text import gsub, strip
 
@@ -54,7 +55,7 @@ def log(c: Column) -> Column:
     return F.when((n >= 20) & (hits(lines, TIMED, strip) >= F.greatest(F.lit(10.0), n * 0.5)), body)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compact_json(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         s = (text or "").strip()

@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tarnmill.functions.text import minify_text, segments, strip
 
@@ -17,7 +18,7 @@ LEAD_INS = [r"(?iU)^\s*Use this(?: tool)? to\b.*?\.\s+", r"(?iU)^\s*This tool\b.
 LEAST = 200
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_schema(schemas: pd.Series) -> pd.Series:
     def bare(x):
         if isinstance(x, dict):
