@@ -33,16 +33,17 @@ def summarize(entries: DataFrame, window: int = WINDOW) -> DataFrame:
     w = Window.partitionBy("ctx_id").orderBy("entry_idx")
     e = entries.withColumn("place", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("ctx_id")))
     e = e.withColumn("old", F.col("place") <= F.col("n") - window)
-    new, old = e.where("not old").select("ctx_id", "entry_idx", "role", "content"), e.where("old")
     same = F.when(F.lag("role").over(w) == F.col("role"), 1).otherwise(0)
-    old = old.withColumn("same", same).withColumn("island", F.sum("same").over(w))
-    old = old.withColumn("pair", F.floor((F.row_number().over(Window.partitionBy("ctx_id", "island").orderBy("entry_idx")) - 1) / 2))
-    both = old.groupBy("ctx_id", "island", "pair").agg(F.array_sort(F.collect_list(F.struct("entry_idx", "role", T.truncate_verbose(F.col("content"), 200).alias("content")))).alias("x"))
+    e = e.withColumn("same", same).withColumn("island", F.when(F.col("old"), F.sum("same").over(w)))
+    pair = F.floor((F.row_number().over(Window.partitionBy("ctx_id", "old", "island").orderBy("entry_idx")) - 1) / 2)
+    e = e.withColumn("pair", F.when(F.col("old"), pair).otherwise(F.col("place")))
+    # New entries are groups of their own: one aggregation gives both, and no union of aligned parts is planned.
+    entry = F.struct("entry_idx", "role", F.when(F.col("old"), T.truncate_verbose(F.col("content"), 200)).otherwise(F.col("content")).alias("content"))
+    both = e.groupBy("ctx_id", "old", "island", "pair").agg(F.array_sort(F.collect_list(entry)).alias("x"))
     x, y = F.element_at("x", 1), F.try_element_at("x", F.lit(2))
     one = F.concat(F.lit("["), x["role"], F.lit(": "), F.substring(x["content"], 1, 150), F.lit("...]"))
     two = F.concat(F.lit("["), x["role"], F.lit(": "), F.substring(x["content"], 1, 100), F.lit("... → "), y["role"], F.lit(": "), F.substring(y["content"], 1, 100), F.lit("...]"))
-    condensed = both.select("ctx_id", x["entry_idx"].alias("entry_idx"), F.lit("summary").alias("role"), F.when(y.isNull(), one).otherwise(two).alias("content"))
-    return condensed.unionByName(new)
+    return both.select("ctx_id", x["entry_idx"].alias("entry_idx"), F.when(F.col("old"), "summary").otherwise(x["role"]).alias("role"), F.when(~F.col("old"), x["content"]).when(y.isNull(), one).otherwise(two).alias("content"))
 
 
 def render_cold(cold: DataFrame) -> DataFrame:

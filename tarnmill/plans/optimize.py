@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnmill.functions import compress, dom, text, tokens
 from tarnmill.functions.tools import minify_tools
 from tarnmill.operators import history
+from tarnmill.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,8 @@ def block_tokens() -> Column:
     return tokens.of_block(F.col("type"), F.col("text"), F.col("tr_text"), F.col("input_json"), F.col("raw_json"))
 
 
-def message_tokens(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("request_id", "msg_idx").agg((F.sum(block_tokens()) + tokens.MESSAGE).alias("tok"))
+def message_tokens(blocks: DataFrame, of_block: Column | None = None) -> DataFrame:
+    return blocks.groupBy("request_id", "msg_idx").agg((F.sum(block_tokens() if of_block is None else of_block) + tokens.MESSAGE).alias("tok"))
 
 
 def optimize_messages(blocks: DataFrame, cfg: Config) -> DataFrame:
@@ -84,6 +85,9 @@ def optimize(blocks: DataFrame, cfg: Config, systems: DataFrame | None = None, t
         b = b.withColumn("pruned", page).withColumn("tr_text", F.when(page, dom.prune(F.col("tr_text"))).otherwise(F.col("tr_text")))
     else:
         b = b.withColumn("pruned", F.lit(False))
+    packed = compress.compress_text(F.col("tr_text"), compress.compact_json("tr_text")) if cfg.tool_compress else F.lit(None).cast("string")
+    b = b.withColumn("_tok", block_tokens()).withColumn("_packed", F.when((F.col("type") == "tool_result") & (F.col("role") == "user") & ~F.col("stubbed"), packed))
+    b = written(b, "blocks")  # budget, counts and result all go on from here
     fixed = blocks.select("request_id").distinct().withColumn("fixed_in", F.lit(0).cast("long")).withColumn("fixed_out", F.lit(0).cast("long")).withColumn("system_minified", F.lit(False)).withColumn("tools_minified", F.lit(0).cast("long"))
     if systems is not None:
         s = systems.select("request_id", tokens.estimate(F.col("system")).alias("si"), tokens.estimate(text.minify_system(F.col("system")) if "system" in cfg.stages else F.col("system")).alias("so"))
@@ -93,16 +97,15 @@ def optimize(blocks: DataFrame, cfg: Config, systems: DataFrame | None = None, t
         slim = minify_tools(tools, cfg.tool_skip) if "tools" in cfg.stages else tools
         fixed = fixed.join(count(tools, "ti"), "request_id", "left").join(count(slim, "to"), "request_id", "left")
         fixed = fixed.withColumn("fixed_in", F.col("fixed_in") + F.coalesce("ti", F.lit(0))).withColumn("fixed_out", F.col("fixed_out") + F.coalesce("to", F.lit(0))).withColumn("tools_minified", F.coalesce("to_n", F.lit(0)) if "tools" in cfg.stages else F.lit(0)).drop("ti", "to", "ti_n", "to_n")
-    m = message_tokens(b).join(fixed.select("request_id", "fixed_out"), "request_id")
+    m = message_tokens(b, F.col("_tok")).join(fixed.select("request_id", "fixed_out"), "request_id")
     if cfg.token_budget > 0:
         report = history.budget_report(m.withColumn("tok", F.col("tok")), cfg.token_budget, cfg.keep_last, history.pairs(b), 0) if systems is None and tools is None else with_fixed(m, cfg, history.pairs(b))
         place = F.dense_rank().over(Window.partitionBy("request_id").orderBy("msg_idx")) - 1
         b = b.withColumn("_place", place).join(report.select("request_id", "dropped"), "request_id").withColumn("_gone", F.col("_place") < F.col("dropped"))
     else:
         b = b.withColumn("dropped", F.lit(0).cast("long")).withColumn("_gone", F.lit(False)).withColumn("_place", F.lit(0))
-    packed = compress.compress_text(F.col("tr_text"), compress.compact_json("tr_text")) if cfg.tool_compress else F.lit(None).cast("string")
-    b = b.withColumn("_packed", F.when((F.col("type") == "tool_result") & (F.col("role") == "user") & ~F.col("stubbed"), packed)).withColumn("compressed", F.col("_packed").isNotNull() & ~F.col("_gone")).withColumn("tr_text", F.coalesce("_packed", "tr_text"))
-    kept = b.where(~F.col("_gone")).drop("_gone", "_place", "_packed", "dropped")
+    b = b.withColumn("compressed", F.col("_packed").isNotNull() & ~F.col("_gone")).withColumn("tr_text", F.coalesce("_packed", "tr_text"))
+    kept = b.where(~F.col("_gone")).drop("_gone", "_place", "_packed", "_tok", "dropped")
     after = message_tokens(kept).groupBy("request_id").agg(F.sum("tok").alias("messages_out"))
     did = b.groupBy("request_id").agg(
         F.count_distinct(F.when(F.col("minified"), F.col("msg_idx"))).alias("messages_minified"), F.count_if("stubbed").alias("dedup_count"), F.count_if("distilled").alias("distill_count"),
