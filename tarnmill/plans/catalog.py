@@ -16,7 +16,7 @@ def recommend(models: DataFrame, keep_free_gb: float = 1.0) -> DataFrame:
     candidates = F.array(*(F.struct(F.lit(c).alias("ctx"), F.lit(u).alias("ub")) for c in CONTEXTS for u in BATCHES))
     weights = F.col("size_gb") * LOADED
     free = F.col("vram_gb") - weights - (FLOOR_GB + keep_free_gb)
-    needs = lambda x: x["ctx"] * F.col("kv_bytes") / float(1 << 30) + x["ub"] * BATCH_GB
+    needs = lambda x: x["ctx"].cast("double") * F.col("kv_bytes") / float(1 << 30) + x["ub"] * BATCH_GB
     fits = F.filter(candidates, lambda x: (x["ctx"] <= F.col("native_ctx")) & (needs(x) <= F.col("free")))
     best = F.coalesce(F.array_max(fits), F.struct(F.lit(16384).alias("ctx"), F.lit(512).alias("ub")))
     m = models.withColumn("weights", weights).withColumn("free", free).withColumn("best", best)
