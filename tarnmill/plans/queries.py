@@ -369,7 +369,7 @@ def stream_filter(spark, sf_dir):
 #: The sizes of example models, by tier.
 MODELS = [(1, "dense 3B", 4.0, 2.0, 57344, 131072), (2, "MoE 8B-A1B", 4.0, 2.6, 8192, 131072), (3, "dense 8B", 8.0, 4.7, 65536, 131072), (4, "MoE 8B-A1B", 8.0, 5.2, 8192, 131072), (5, "dense 8B", 16.0, 8.0, 20480, 262144), (6, "MoE 35B-A3B", 16.0, 12.74, 5120, 262144), (7, "dense 70B", 16.0, 40.0, 81920, 131072)]
 MODEL_SQL = "m(model_id, name, vram_gb, size_gb, kv_bytes, native_ctx) as (values " + ", ".join(f"({a}, '{b}', {c}::double, {d}::double, {e}, {f})" for a, b, c, d, e, f in MODELS) + ")"
-SIZED = f"{MODEL_SQL}, k as (select unnest({catalog.CONTEXTS}) as ctx), u as (select unnest({catalog.BATCHES}) as ub), w as (select *, size_gb * 1.05 as w, vram_gb - size_gb * 1.05 - (0.4 + {{free}}) as free from m), f as (select model_id, max_by(struct_pack(ctx := ctx, ub := ub), ctx * 10000 + ub) as best from w, k, u where ctx <= native_ctx and ctx::double * kv_bytes / 1073741824.0 + ub * 0.00084 <= free group by model_id), r as (select w.*, case when free > 0 then coalesce(best.ctx, 16384) else 8192 end as ctx, case when free > 0 then coalesce(best.ub, 512) else 512 end as ub, free > 0 as offload from w left join f using (model_id))"
+SIZED = f"{MODEL_SQL}, k as (select unnest({catalog.CONTEXTS}) as ctx), u as (select unnest({catalog.BATCHES}) as ub), w as (select *, size_gb * 1.05 as w, vram_gb - size_gb * 1.05 - (0.4 + {{free}}) as free from m), f as (select model_id, max_by(struct_pack(ctx := ctx, ub := ub), ctx::bigint * 10000 + ub) as best from w, k, u where ctx <= native_ctx and ctx::double * kv_bytes / 1073741824.0 + ub * 0.00084 <= free group by model_id), r as (select w.*, case when free > 0 then coalesce(best.ctx, 16384) else 8192 end as ctx, case when free > 0 then coalesce(best.ub, 512) else 512 end as ub, free > 0 as offload from w left join f using (model_id))"
 
 
 @query(f"with {SIZED.format(free=1.0)} select model_id, cast(ctx as int) as ctx, cast(ub as int) as ub, offload from r")
