@@ -14,9 +14,9 @@ table gives an empty table. Rows without language or text aren't learned from.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,38 +25,66 @@ from pyspark.sql import functions as F
 
 from tarnmill.llm.common import fold
 
-LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST, PROFILE, UNKNOWN = 3, 500, "und"
-CACHED_WORDS = 200_000
+#: Tables over all n-grams of an alphabet have so many places at most; larger alphabets are searched.
+TABLE = 1 << 24
 
 
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [*word, *(padded[i : i + n] for n in range(2, LONGEST + 1) for i in range(len(padded) - n + 1))]
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
+def codes(text: str) -> np.ndarray:
+    """The lower-cased text's letters as code points, every run of others as one 0, and a 0 at both ends."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(letters()[c], c, 0)
+    return c[(c > 0) | np.concatenate(([True], c[:-1] > 0))]
+
+
+def places(d: np.ndarray, size: int) -> list[np.ndarray]:
+    """The places of all n-grams of a text, given as letters from 1 to size - 1 and 0 between words: of one, two and
+    three letters, the last two padded with one blank on each side of a word."""
+    d = d.astype(np.int64)
+    three = (d[:-2] * size + d[1:-1]) * size + d[2:]
+    return [d[d > 0], d[:-1] * size + d[1:], three[d[1:-1] > 0]]
+
+
+def gram(place: int, n: int, size: int, alphabet: list[str]) -> str:
+    return "".join(alphabet[place // size**k % size] for k in range(n - 1, -1, -1))
+
+
+def count_grams(texts: list[str]) -> Counter[str]:
+    c = codes(" ".join(texts))
+    present = np.unique(c)
+    size, alphabet = len(present), [" ", *(chr(x) for x in present[1:])]
+    found: Counter[str] = Counter()
+    for n, x in enumerate(places(np.searchsorted(present, c), size), 1):
+        if size**n <= TABLE:
+            counts = np.bincount(x, minlength=size**n)
+            at = np.flatnonzero(counts)
+            counts = counts[at]
+        else:
+            at, counts = np.unique(x, return_counts=True)
+        found.update({gram(k, n, size, alphabet): m for k, m in zip(at.tolist(), counts.tolist())})
+    found.pop("  ", None)
+    return found
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, dict[str, int]]:
-    """For each language its most frequent n-grams and their ranks. Counts cover all of docs; each task counts distinct
-    words, then their n-grams, so that only n-grams shuffle; what reaches the driver is size rows a language."""
+    """For each language its most frequent n-grams and their ranks. Counts cover all of docs; tasks add them up, so that
+    only n-grams shuffle; what reaches the driver is size rows a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter[str]] = defaultdict(Counter)
         found: dict[str, Counter[str]] = defaultdict(Counter)
-
-        def expand() -> None:
-            for lang, seen in words.items():
-                into = found[lang]
-                for w, n in seen.items():
-                    for g in grams(w):
-                        into[g] += n
-            words.clear()
-
         for b in batches:
+            texts: dict[str, list[str]] = defaultdict(list)
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                words[lang].update(LETTERS.findall(text.lower()))
-            if sum(map(len, words.values())) > CACHED_WORDS:
-                expand()
-        expand()
+                texts[lang].append(text)
+            for lang, own in texts.items():
+                for i in range(0, len(own), 1000):
+                    found[lang].update(count_grams(own[i : i + 1000]))
         rows = [(lang, g, n) for lang, x in found.items() for g, n in x.items()]
         for i in range(0, len(rows), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 100_000]], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
@@ -73,26 +101,42 @@ class Identifier:
     def __init__(self, profiles: dict[str, dict[str, int]], size: int = PROFILE):
         self.size, self.langs = size, [*profiles]
         known = sorted({g for p in profiles.values() for g in p})
-        self.id = {g: i for i, g in enumerate(known)}
+        self.known = len(known)
         self.ranks = np.array([[p.get(g, size) for g in known] for p in profiles.values()], np.int64).reshape(len(profiles), len(known))
-        self.cache: dict[str, np.ndarray] = {}
-
-    def ids(self, word: str) -> np.ndarray:
-        if (x := self.cache.get(word)) is None:
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            x = self.cache[word] = np.array([i for g in grams(word) if (i := self.id.get(g)) is not None], np.int32)
-        return x
+        # Letters by number: 0 for a blank, the last for all that no profile has.
+        alphabet = sorted({c for g in known for c in g} - {" "})
+        self.alphabet = len(alphabet) + 2
+        self.number = np.full(0x110000, self.alphabet - 1, np.int32)
+        self.number[0] = 0
+        self.number[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        value = {" ": 0} | {c: i + 1 for i, c in enumerate(alphabet)}
+        self.find = []
+        for n in range(1, LONGEST + 1):
+            ids = [i for i, g in enumerate(known) if len(g) == n]
+            at = np.array([sum(value[c] * self.alphabet ** (n - 1 - k) for k, c in enumerate(known[i])) for i in ids], np.int64)
+            if self.alphabet**n <= TABLE:
+                table = np.full(self.alphabet**n, self.known, np.int32)
+                table[at] = ids
+                self.find.append((None, table))
+            else:
+                order = np.argsort(at)
+                self.find.append((np.append(at[order], np.iinfo(np.int64).max), np.append(np.array(ids, np.int32)[order], self.known)))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not any(map(str.isalpha, text)):
+        c = codes(text) if text and self.langs else np.zeros(1, np.uint32)
+        if not c.any():
             return UNKNOWN, 0.0
-        words = Counter(LETTERS.findall(text.lower()))
-        parts = [*map(self.ids, words)]
-        if not (ids := np.concatenate(parts) if parts else np.empty(0, np.int32)).size:
-            return self.langs[0], 0.0
-        counts = np.bincount(ids, np.repeat([*words.values()], [*map(len, parts)]), len(self.id))
+        ids = []
+        for x, (keys, values) in zip(places(self.number[c], self.alphabet), self.find):
+            if keys is None:
+                ids.append(values[x])
+            else:
+                k = np.searchsorted(keys, x)
+                ids.append(np.where(keys[k] == x, values[k], self.known))
+        counts = np.bincount(np.concatenate(ids), minlength=self.known + 1)[: self.known]
         present = np.flatnonzero(counts)
+        if not len(present):
+            return self.langs[0], 0.0
         top = present[np.argsort(-counts[present], kind="stable")][: self.size]  # equal counts: ids are in order of n-grams
         distance = np.where(self.ranks[:, top] < self.size, np.abs(self.ranks[:, top] - np.arange(len(top))), self.size).sum(axis=1)
         order = np.argsort(distance, kind="stable")
