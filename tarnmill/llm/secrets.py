@@ -50,7 +50,9 @@ def spans(docs: DataFrame, *keys: str, scope: int = SCOPE) -> DataFrame:
     has one row of nulls. One shuffle, of parts alone."""
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = docs.select(F.monotonically_increasing_id().alias("row"), *keys, F.concat(*(found(text, k) for k in range(len(KINDS)))).alias("parts"))
-    p = parts.select("row", *keys, F.explode_outer("parts").alias("p")).select("row", *keys, "p.*")
+    # Where no match is good, all rows would be dropped below: such a text has no parts.
+    some = F.when(F.exists("parts", lambda x: x["good"].isNull() | x["good"]), F.col("parts"))
+    p = parts.select("row", *keys, F.explode_outer(some).alias("p")).select("row", *keys, "p.*")
     # Where a part starts: all gaps up to it and all earlier parts of its kind.
     own = Window.partitionBy("row", "kind").orderBy("i")
     p = p.withColumn("last", (F.sum(F.col("gap") + F.col("size")).over(own)).cast("long")).withColumn("first", F.col("last") - F.col("size"))

@@ -70,6 +70,15 @@ def test_secrets(spark):
     assert secrets.scan(none(spark)).count() == 0
 
 
+def test_secrets_keeps_documents_whose_matches_are_all_too_short(spark):
+    texts = {1: "token: yes", 2: "password=abc", 3: "token: no secret=ab passwd=x", 4: "token: yes password=abcdef", 5: "plain"}
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got.keys() == texts.keys()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all((got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].n_linked, got[i].base_sha256, got[i].spans) == (0, 0, 0, 0, empty, "") for i in (1, 2, 3, 5))
+    assert got[4].spans == "assign:11:26"
+
+
 def components(rows, width, percent):
     sets = {}
     for k, (d, t) in enumerate(rows):
