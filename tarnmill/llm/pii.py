@@ -5,7 +5,10 @@ document and spelling (coreference). It keeps the type's format: digits stay dig
 script and case, separators stay; card numbers that satisfy the check digit still do, addresses stay in range, mail
 domains become reserved ones, names keep their last letter, which carries gender, and the title before them. A check
 over all entities finds surrogates that two of them share, or that are another's real value, and tries those again with
-a counter until none is left, so that distinct entities stay distinct.
+a counter until none is left, so that distinct entities stay distinct. Names and mail addresses that clash WIDER times
+get a keyed suffix, in a mail address a label of the reserved domain, which grows with each further try. The other types
+have as many surrogates as their format has values; where some still clash after LAST tries, as the format is all but
+used up, the run fails.
 
 Defined results: a null text stays null; an empty text stays empty; texts of any length are replaced whole; rows with
 equal ids are treated each; other columns are kept; an empty table gives an empty table.
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from tarnmill.llm.common import materialise
 
 KEY = "a key of the deployment's own"
-ROUNDS, SALTS = 12, 16
+WIDER, LAST, SALTS = 6, 100, 16
 
 #: Fixed patterns, tried in this order at each place.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -100,14 +103,16 @@ def with_surrogates(e: DataFrame, key: str) -> DataFrame:
     e = add(e, _digits=r"regexp_replace(_new, r'\D', '')")
     e = add(e, _rest=luhn_sum("concat(substring(_digits, 1, length(_digits) - 1), '0')") + " % 10", _good=luhn_sum("form") + " % 10 = 0")
     # Mail: inner labels of the domain are replaced, the label before the last becomes the reserved one.
-    mail = f"concat(_new, '@', {replaced('_inner', '_back')}, 'example.', substring_index(_domain, '.', -1))"
+    wide = f"translate(substring(_hex, 1, least(2 * (tries - {WIDER}) + 6, 60)), '0123456789abcdef', '{ROWS[0][:16]}')"
+    label = f"if(tries >= {WIDER}, concat({wide}, '.'), '')"
+    mail = f"concat(_new, '@', {replaced('_inner', '_back')}, {label}, 'example.', substring_index(_domain, '.', -1))"
     # Network addresses: each number from 1 to 254.
     address = "concat_ws('.', " + ", ".join(f"cast(cast(conv(substring(_hex, {1 + 4 * k}, 4), 16, 10) as int) % 254 + 1 as string)" for k in range(4)) + ")"
     # Cards: the last digit satisfies the check if the original's did.
     card = "if(_good, concat(substring(_new, 1, length(_new) - 1), cast((10 - _rest) % 10 as string)), _new)"
     # Names: each word by itself, so that a surname alone is still the same; the last letter stays.
     words = f"array_join(transform(transform(split(_name, ' '), w -> named_struct('w', w, 'h', {stream('kind', 'lower(w)', key)})), x -> {replaced('x.w', 'x.h', '0', '1')}), ' ')"
-    more = f"if(tries >= {ROUNDS // 2}, concat('-', initcap(translate(substring(_hex, 1, 6), '0123456789abcdef', '{ROWS[0][:16]}'))), '')"
+    more = f"if(tries >= {WIDER}, concat('-', initcap({wide})), '')"
     new = f"CASE kind WHEN 'email' THEN {mail} WHEN 'ip' THEN {address} WHEN 'card' THEN {card} WHEN 'person' THEN concat(_title, {words}, {more}) ELSE _new END"
     return add(e, surrogate=new).select(*names, "surrogate")
 
@@ -117,19 +122,21 @@ def settled(occurrences: DataFrame, key: str = KEY) -> DataFrame:
     found = occurrences.groupBy("found").count().drop("count")  # copies meet before types are worked out
     typed = found.withColumn("kind", type_of(F.col("found"))).withColumn("form", canonical(F.col("kind"), F.col("found")))
     now = materialise(typed.groupBy("kind", "form").agg(F.min("found").alias("found")).withColumn("tries", F.lit(0)), "entities")
-    taken = now.select("kind", F.col("form").alias("new"))
-    for _ in range(ROUNDS):
+    real = now.select("kind", F.col("form").alias("new"))
+    done: DataFrame | None = None
+    for tried in range(LAST):
         # Written out before the joins: the optimizer would carry these long expressions through every constraint.
         made = materialise(with_surrogates(now, key).withColumn("new", canonical(F.col("kind"), F.col("surrogate"))), "made")
-        # Of those that share a surrogate, the first stays: the others, and all that are somebody's real value, try again.
-        shared = made.groupBy("kind", "new").agg(F.min(F.struct("tries", "form")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        clash = made.join(shared, ["kind", "new"]).where(F.struct("tries", "form") != F.col("first")).select("kind", "form")
-        real = made.join(taken, ["kind", "new"], "left_semi").select("kind", "form")
-        again = materialise(clash.unionByName(real).distinct(), "again")
-        if again.isEmpty():
-            break
-        now = materialise(now.join(again.withColumn("more", F.lit(1)), ["kind", "form"], "left").withColumn("tries", F.col("tries") + F.coalesce("more", F.lit(0))).drop("more"), "entities")
-    return now.select("kind", "form", "tries")
+        # A surrogate goes to the first that has it, if it is nobody's real value and no earlier round gave it away.
+        taken = real if done is None else real.unionByName(done.select("kind", "new"))
+        first = made.join(taken, ["kind", "new"], "left_anti").groupBy("kind", "new").agg(F.min("form").alias("form"))
+        first = materialise(first.withColumn("tries", F.lit(tried)), "settled")
+        done = first if done is None else done.unionByName(first)
+        now = materialise(now.join(first, ["kind", "form"], "left_anti").withColumn("tries", F.lit(tried + 1)), "again")
+        if now.isEmpty():
+            return done.select("kind", "form", "tries")
+    left = {r["kind"]: r["count"] for r in now.groupBy("kind").count().collect()}
+    raise RuntimeError(f"no surrogates of their own after {LAST} tries: {left}")
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:

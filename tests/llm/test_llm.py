@@ -258,6 +258,17 @@ def test_pii(spark):
     assert pii.replace_entities(none(spark)).count() == 0
 
 
+def test_pii_gives_more_addresses_than_their_shape_has_surrogates(spark, monkeypatch):
+    rows = [(i, f"hr@c{i}.com") for i in range(500)]  # two consonants: 400 surrogates
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.pii[0].surrogate for r in pii.replace_entities(docs).collect()]
+    assert len(got) == len({*got}) == 500 and not {*got} & {t for _, t in rows}
+    assert all(re.fullmatch(r"[b-z]{2}@([b-z]+\.)?example\.com", s) for s in got)
+    monkeypatch.setattr(pii, "LAST", 1)
+    with pytest.raises(RuntimeError, match="email"):
+        pii.replace_entities(docs)
+
+
 def test_toxicity(spark):
     random.seed(4)
     plain = ["word", "some", "more", "text", "here", "again"]
