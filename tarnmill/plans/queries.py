@@ -357,10 +357,16 @@ def latency(spark, sf_dir):
     return response.latencies(e.select(F.col("event_id").alias("request_id"), lit(0).alias("t0"), lit(1).alias("t1"), lit(2).alias("t2"), lit(2.5).alias("t3"), lit(2.75).alias("t4")))
 
 
+#: How many code points of a text a frame holds.
+PIECE = 50
+
+
 @query()
 def stream_filter(spark, sf_dir):
     t = turns(spark, sf_dir).where("text is not null")
-    pieces = F.array(F.lit("Su"), F.lit("re!\n"), F.substring("text", 1, 50), F.substring("text", 51, 50), F.lit("STO"), F.lit("P it"))
+    # The whole text, in pieces of a fixed size; an empty one is one empty piece.
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PIECE).cast("int")), lambda i: F.substring("text", i * PIECE + 1, F.lit(PIECE)))
+    pieces = F.concat(F.array(F.lit("Su"), F.lit("re!\n")), chunks, F.array(F.lit("STO"), F.lit("P it")))
     each = t.select(F.concat_ws("-", "request_id", F.col("msg_idx").cast("string")).alias("stream_id"), F.posexplode(pieces).alias("seq", "piece"))
     frames = each.select("stream_id", F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), F.to_json(F.struct(F.struct(F.col("piece").alias("text")).alias("delta")))).alias("frame"))
     return response.filter_frames(frames, response.Levers(stops=("STOP",)))
