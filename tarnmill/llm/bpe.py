@@ -20,11 +20,12 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnmill.llm.common import slices
+
 #: Below this code point all Unicode versions agree on what is a letter, a number or white space, so a pattern of plain
 #: ranges splits words; texts that go beyond are split by the tokenizer library's own pre-tokenizer.
 AGREED = 0x558
@@ -43,7 +44,6 @@ SPACE, LETTERS, NUMBERS = r"\t-\r \x85\xa0", ranges("L"), ranges("N")
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BEYOND = re.compile(f"[{chr(AGREED)}-\U0010ffff]")
 CACHED_WORDS = 400_000
-SLICE_BYTES = 4 << 20
 LONG_WORD = 48
 #: The rank of a pair that no merge has.
 NEVER = 1 << 50
@@ -256,16 +256,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most so many bytes of a text column, or one row."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
-    group = np.cumsum(sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-    for i, j in zip(cuts, cuts[1:]):
-        if j > i:
-            yield batch.slice(i, j - i)
-
-
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs with an array of token ids and the text decoded from them. No shuffle; memory is a few texts a task."""
     keep = [f for f in docs.schema.fields if f.name not in (ids, decoded)]

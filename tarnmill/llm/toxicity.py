@@ -3,10 +3,13 @@
 Five transducers read a clause's words together: insult, threat, target, negation and reported speech. Their composition
 is one table of states, and a clause scores what the table puts out over it: an insult or threat by its weight, more
 near a target, less under negation or in reported speech. A document's score comes from its clauses' scores: their
-highest, and their sum. Words on their own don't score; a clause that no insult or threat is in scores 0.
+highest, and their sum. What scores is the path that a clause takes through the table, so one word counts differently by
+what stands around it. An insult without a target has its plain weight, as the labels mark such texts as toxic too; a
+clause that no insult or threat is in scores 0.
 
-Beside a short fixed list, the insults are learned: words and stems (beginnings of four to eight letters) that training documents marked as toxic
-have and others lack. Learning uses a sample of at most SAMPLE labelled rows, chosen by a hash of their id.
+Beside a short fixed list, the insults are learned: words and stems (beginnings of four to eight letters) that training
+documents marked as toxic have and others lack, all that reach EVIDENCE and ODDS. Learning uses a sample of at most about
+SAMPLE labelled rows, chosen by a hash of their id; it bounds what features there are.
 
 Defined results: a null or empty text has no clause and scores as such; a score is from 0 to 1; without labels of both
 kinds the intercept is 0.01 and nothing is predicted; several labels of a document count as toxic if one says so, null
@@ -23,15 +26,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import fold
+from tarnmill.llm.common import fold, forget, materialise, slices
 
 #: At most about so many labelled rows are learned from.
 SAMPLE = 20_000
-#: A feature is kept with at least this much evidence (the likelihood ratio of its counts), and so many of them at most.
-EVIDENCE, FEATURES = 21.0, 4000
+#: A feature is kept with at least this much evidence (the likelihood ratio of its counts) and log odds.
+EVIDENCE, ODDS = 21.0, 2.0
+#: Features that a task holds before it sends their counts on.
+HELD = 1_000_000
 STEMS = range(4, 9)
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -151,11 +156,13 @@ def fit_curve(points: list[tuple[float, float]], labels: list[int]) -> tuple[flo
     return tuple(map(float, w))
 
 
-def evidence(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
+def evidence(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
     """The likelihood-ratio statistic of a feature's two document counts."""
-    total, both = all_toxic + all_clean, toxic + clean
-    cells = ((toxic, both * all_toxic), (clean, both * all_clean), (all_toxic - toxic, (total - both) * all_toxic), (all_clean - clean, (total - both) * all_clean))
-    return 2 * sum(n * math.log(n * total / e) for n, e in cells if n and e)
+    total = float(all_toxic + all_clean)
+    having = toxic + clean
+    cells = ((toxic, having * all_toxic), (clean, having * all_clean), (all_toxic - toxic, (total - having) * all_toxic), (all_clean - clean, (total - having) * all_clean))
+    terms = [F.when((n > 0) & (e > 0), n * F.ln(n * total / e)).otherwise(0.0) for n, e in cells]
+    return (terms[0] + terms[1] + terms[2] + terms[3]) * 2
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -171,38 +178,41 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model()
     shared = spark.sparkContext.broadcast(chosen)
 
-    def rows_of(b: pa.RecordBatch) -> Iterator[tuple[int, str]]:
-        ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-        for i, k in enumerate(ids):
-            if k in shared.value:
-                yield int(shared.value[k]), texts[i].as_py() or ""
+    def rows_of(whole: pa.RecordBatch) -> Iterator[tuple[int, str]]:
+        for b in slices(whole, "text"):
+            texts = b.column("text")
+            for i, k in enumerate(b.column("doc_id").to_pylist()):
+                if k in shared.value:
+                    yield int(shared.value[k]), texts[i].as_py() or ""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = [*seen[0].keys() | seen[1].keys()]
+            for i in range(0, len(found), 100_000):
+                part = found[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.string()), pa.array([x for _, x in part], pa.bool_()), *(pa.array([seen[m][x] for x in part], pa.int64()) for m in (1, 0))], ["feature", "stem", "toxic", "clean"])
+            seen[0].clear(), seen[1].clear()
+
         for b in batches:
             for mark, text in rows_of(b):
                 words = {*WORD.findall(text.lower())}
                 seen[mark].update({(w, False) for w in words if len(w) > 2} | {(w[:n], True) for w in words for n in STEMS if n <= len(w)})
                 seen[mark][("", False)] += 1
-        found = [*seen[0].keys() | seen[1].keys()]
-        for i in range(0, len(found), 100_000):
-            part = found[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.string()), pa.array([x for _, x in part], pa.bool_()), *(pa.array([seen[m][x] for x in part], pa.int64()) for m in (1, 0))], ["feature", "stem", "toxic", "clean"])
-
-    counts = docs.select("doc_id", "text").mapInArrow(count, "feature string, stem boolean, toxic long, clean long").groupBy("feature", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Evidence grows with the toxic count, so a bound on the count that it needs at least keeps chance words off the driver.
-    kept = counts.where("(toxic >= 5 and toxic > clean) or feature = ''").orderBy(F.desc("toxic")).limit(20 * FEATURES).collect()
-    totals = next((r for r in kept if r.feature == ""), None)
+                if len(seen[0]) + len(seen[1]) > HELD:
+                    yield from out()
+        yield from out()
+
+    counts = materialise(docs.select("doc_id", "text").mapInArrow(count, "feature string, stem boolean, toxic long, clean long").groupBy("feature", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > clean or feature = ''"), "features")
+    totals = counts.where("feature = ''").first()
     if totals is None or not totals.toxic or not totals.clean:
         return Model()
-    ranked = []
-    for r in kept:
-        if r.feature and (e := evidence(r.toxic, r.clean, totals.toxic, totals.clean)) >= EVIDENCE:
-            odds = math.log((r.toxic + 0.5) / (totals.toxic + 1)) - math.log((r.clean + 0.5) / (totals.clean + 1))
-            if odds > 2:
-                ranked.append((-e, r.feature, r.stem, odds))
-    ranked = sorted(ranked)[:FEATURES]
-    model = Model({f: w for _, f, stem, w in ranked if not stem}, {f: w for _, f, stem, w in ranked if stem})
+    odds = F.ln((F.col("toxic") + 0.5) / (totals.toxic + 1)) - F.ln((F.col("clean") + 0.5) / (totals.clean + 1))
+    told = counts.where("feature <> ''").select("feature", "stem", odds.alias("odds"), evidence(F.col("toxic"), F.col("clean"), totals.toxic, totals.clean).alias("evidence"))
+    kept = told.where((F.col("evidence") >= EVIDENCE) & (F.col("odds") > ODDS)).collect()
+    forget(counts)
+    model = Model({r.feature: r.odds for r in kept if not r.stem}, {r.feature: r.odds for r in kept if r.stem})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,8 +230,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([*map(model.score, b.column("text").to_pylist())], pa.float64())], ["doc_id", "score"])
+        for whole in batches:
+            for b in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([*map(model.score, b.column("text").to_pylist())], pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
@@ -241,7 +252,8 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model doesn't reject, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([model.score(t) < THRESHOLD for t in b.column("text").to_pylist()], pa.bool_()))
+        for whole in batches:
+            for b in slices(whole, "text"):
+                yield b.filter(pa.array([model.score(t) < THRESHOLD for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
