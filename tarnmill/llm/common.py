@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task takes up at once.
 SLICE_BYTES = 4 << 20
 
+ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+BLANK = np.zeros(256, bool)
+BLANK[[32, *range(9, 14)]] = True
+
 _own: dict[str, str] = {}
 
 
@@ -81,3 +88,52 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     for i, j in zip(cuts, cuts[1:]):
         if j > i:
             yield batch.slice(i, j - i)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def gathered(df: DataFrame, columns: dict[str, str]) -> list[np.ndarray]:
+    """The columns of a small table as arrays on the driver, sent as packed bytes: rows would take many times as much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(b.column(c)).astype(t).tobytes()], pa.binary()) for c, t in columns.items()], [*columns])
+
+    rows = df.select(*columns).mapInArrow(run, ", ".join(f"{c} binary" for c in columns)).collect()
+    return [np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.empty(0, t)]) for c, t in columns.items()]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    x = (x ^ (x >> np.uint64(29))) * MIX
+    return x ^ (x >> np.uint64(32))
+
+
+@lru_cache(1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    inverse = np.uint64(pow(int(ODD), -1, 1 << 64))
+    up, down = np.full(n, ODD), np.full(n, inverse)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: differences of a running polynomial hash, shifted to one place."""
+    size = 1 << max(16, len(data).bit_length())
+    up, down = powers(size)
+    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
+    return mix((run[stop] - run[start]) * down[start])
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    data = LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], BLANK[data], [True])).astype(np.int8)))
+    return run_hashes(data, edge[::2], edge[1::2])

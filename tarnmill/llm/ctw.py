@@ -1,65 +1,153 @@
 """Language-model scoring by context-tree weighting.
 
-A text is a sequence of tokens: its words, then one end. A token is coded as its bytes and a separator, the end as one
-byte of its own, so the model is a distribution over sequences of tokens. Each byte is eight binary decisions; each
-decision is predicted in the context of the last bytes of its token, back to the separator before it, by a tree over all
-depths from 0 to DEPTH: every node has the Krichevsky-Trofimov estimate of its counts, and the tree mixes node and
-deeper nodes by the weights that the training counts give, one half against the product of the children. A text's score
-is the log10 probability of its bytes; dividing by their number and log10(2) gives the code length per byte.
-
-How it is spread. Tasks count distinct words; the counts of words give the counts of all contexts, one row for each
-context of six bytes and next byte, an edge. Trees below two bytes of context are worked out group by group, one group
-for each two bytes; what is above is at most 2^16 groups of 255 sums. Edges go to the tasks as a table if they are at
-most EDGES, else words are joined to them. Words' counts and scores return to the documents by blocks: documents are
-dealt into blocks of bounded size, each asks for its own distinct words, and gets them back beside its texts, so no task
-needs the whole vocabulary. Words travel as 64-bit hashes there.
+A text is a sequence of tokens: its words, then one end. It is coded as bytes: each word with a separator after it, the
+end as a byte of its own. Each byte is eight binary decisions; each decision is predicted in the context of the DEPTH
+bytes before it, across words and back to the text's beginning, by a tree over all depths from 0 to DEPTH: every node has
+the Krichevsky-Trofimov estimate of its counts, and the tree mixes node and deeper nodes by the weights that the training
+counts give, one half against the product of the children. A text's score is the log10 probability of its bytes; dividing
+by their number and log10(2) gives the code length per byte.
+
+How it is spread. What is counted are words, for the base score, and edges: DEPTH bytes of context and the next byte.
+Both are 64-bit numbers (of a word its hash; two of n words share one with a chance of about n^2 / 2^65) and go through
+the same steps. Tasks count them and send sorted runs, packed, to slots; a slot has all edges that share the last LOW
+bytes of context, so the trees below are worked out slot by slot. What is above goes through a second, smaller grouping
+by the last TOP bytes, and from there on it is at most 2^16 groups of 255 sums, on the driver. Counts and probabilities
+return to the documents by blocks: documents are dealt into blocks of bounded size, each asks every slot for its own
+distinct keys once, and gets the answers in the order it asked. No task needs the whole vocabulary or tree, and nothing
+is broadcast but what is above.
 
 Defined results: a null or empty text is one end; rows with equal ids are scored each, and a null id counts as the empty
 text when rows are held out; without training rows every known count is 0, base scores follow from N = V = 0, and every
-decision has probability one half; other columns are ignored; an empty table gives an empty table.
+decision has probability one half; other columns are ignored; an empty table gives an empty table. Rows have to come in
+one order each time they are read, as those of files do.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import fold, forget, materialise
+from tarnmill.llm.common import SLICE_BYTES, fold, forget, gathered, materialise, mix, partitions, run_hashes, slices
+
+DEPTH, LOW, TOP, SEPARATOR, END = 6, 4, 2, 0x20, 0x0A
+LEAD = bytes(DEPTH - 1) + b" "
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+WORD, EDGE = 0, 1
+#: Bytes of text in a block, and for a slot; edges need no more slots than EDGE_SLOTS, as not all of them are ever used.
+BLOCK_BYTES, SLOT_BYTES, EDGE_SLOTS = 32_000_000, 4_000_000, 4096
+#: Keys that are merged at once, and blocks that ask one copy of a slot.
+HELD, ASKERS = 3_000_000, 2000
+
+
+def bodies(text: str | None, most: int = SLICE_BYTES) -> Iterator[tuple[bytes, bytes]]:
+    """The text's bytes as coded, in pieces of whole words with the DEPTH bytes before each: bytes.lower() and
+    bytes.split() go by A-Z and by space and U+0009 to U+000D alone."""
+    data, lead, at = text.encode("utf-8", "surrogatepass").lower() if text else b"", LEAD, 0
+    while True:
+        cut = BLANK.search(data, at + most) if len(data) - at > most else None
+        words = data[at : cut.start() if cut else len(data)].split()
+        body = b" ".join(words) + b" " if words else b""
+        if not cut:
+            yield lead, body + b"\n"
+            return
+        if body:
+            yield lead, body
+            lead = (lead + body)[-DEPTH:]
+        at = cut.start()
+
+
+def edges_of(pieces: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """The edge of each byte of all bodies: the context, its latest byte in the highest place, and the byte."""
+    data = np.frombuffer(b"".join([x for p in pieces for x in p]), np.uint8).astype(np.uint64)
+    edge = data[DEPTH:].copy()
+    for k in range(1, DEPTH + 1):
+        edge |= data[DEPTH - k : len(data) - k] << np.uint64(8 * (DEPTH + 1 - k))
+    starts = np.cumsum([0, *(len(b) + DEPTH for _, b in pieces[:-1])])
+    inside = np.ones(len(data), bool)
+    for k in range(DEPTH):
+        inside[starts + k] = False
+    return edge[inside[DEPTH:]]
 
-DEPTH, SEPARATOR, END = 6, 0x20, 0x0A
-BLOCK_BYTES = 32_000_000
-EDGES = 6_000_000
-END_EDGE = SEPARATOR << 48 | END
-WORDS_AT_ONCE = 100_000
 
+def words_of(pieces: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens, the end included, and where each body's begin."""
+    data = np.frombuffer(b"".join([b for _, b in pieces]), np.uint8)
+    last = np.flatnonzero((data == SEPARATOR) | (data == END))
+    start = np.concatenate(([0], last[:-1] + 1))
+    starts = np.cumsum([0, *(len(b) for _, b in pieces[:-1])])
+    return run_hashes(data, start, last + (data[last] == END)), np.searchsorted(start, starts)
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words: bytes.lower() and bytes.split() go by A-Z and by space and U+0009 to U+000D alone."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([len(keys) > 0], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
-def word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 1
 
+def packed(x: np.ndarray, sorted_: bool = True) -> bytes:
+    """64-bit numbers as compressed byte planes, of their differences if they are in order."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if sorted_ else x
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(b: bytes, sorted_: bool = True) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1)
+    x = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    return np.cumsum(x) if sorted_ else x.view(np.int64)
+
+
+class Slots:
+    """Which slot has a key: words first, then edges by the last LOW bytes of their context."""
+
+    def __init__(self, text_bytes: int):
+        self.words = max(8, math.ceil(text_bytes / SLOT_BYTES))
+        self.edges = min(self.words, EDGE_SLOTS)
+
+    def __call__(self, sort: int, keys: np.ndarray) -> np.ndarray:
+        if sort == WORD:
+            return (keys % np.uint64(self.words)).astype(np.int64)
+        return self.of_low(keys >> np.uint64(8 * (DEPTH + 1 - LOW)))
+
+    def of_low(self, low: np.ndarray) -> np.ndarray:
+        return self.words + (mix(low.astype(np.uint64)) % np.uint64(self.edges)).astype(np.int64)
+
+    def split(self, sort: int, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each slot and the places of its keys, in order."""
+        slot = self(sort, keys)
+        order = np.argsort(slot, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(keys) else ():
+            yield int(slot[part[0]]), part
 
-def edges_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The edges of all words one after the other, and where each word's begin. An edge has the last DEPTH bytes of
-    context, the latest in the highest place and nothing behind a separator, and the next byte."""
-    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    edge, alive = data[1:].copy(), np.ones(len(data) - 1, bool)
-    padded = np.concatenate((np.zeros(DEPTH, np.int64), data))
-    for k in range(1, DEPTH + 1):
-        c = padded[DEPTH + 1 - k : DEPTH + len(data) - k]
-        edge |= np.where(alive, c, 0) << (8 * (DEPTH + 1 - k))
-        alive &= c != SEPARATOR
-    return edge, np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+
+class Census:
+    """Distinct words and edges of texts, and how often training texts have them."""
+
+    def __init__(self):
+        self.found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], EDGE: []}
+        self.size = 0
+
+    def add(self, pieces: list[tuple[bytes, bytes]], weight: int) -> None:
+        for sort, keys in ((WORD, words_of(pieces)[0]), (EDGE, edges_of(pieces))) if pieces else ():
+            keys, n = np.unique(keys, return_counts=True)
+            self.found[sort].append((keys, n * weight))
+            self.size += len(keys)
+        if self.size > HELD:
+            self.size = sum(len(self.merged(sort)[0]) for sort in self.found) - HELD // 2
+
+    def merged(self, sort: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.found[sort]) != 1:
+            keys, n = zip(*self.found[sort]) if self.found[sort] else ([np.empty(0, np.uint64)], [np.empty(0, np.int64)])
+            self.found[sort] = [summed(np.concatenate(keys), np.concatenate(n))]
+        return self.found[sort][0]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -75,224 +163,261 @@ def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1)
 
 
-def mixed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of inner nodes: the log weighted probability, the weight of the node itself, and its own chance of a one."""
-    own = estimate(zeros, ones)
-    weighted = np.logaddexp(own, below) - math.log(2)
-    return weighted, np.exp(own - weighted) / 2, (ones + 0.5) / (zeros + ones + 1)
-
-
-class Subtree:
-    """The nodes of a group of edges, from DEPTH up to 2 bytes of context. A node is its context and the bits of the
+class Level:
+    """Nodes of one depth with their counts and log weighted probabilities. A node is its context and the bits of the
     next byte so far, with a leading one."""
 
-    def __init__(self, edge: np.ndarray, count: np.ndarray):
-        following, context = edge & 255, edge >> 8
-        bits = (following[:, None] >> np.arange(7, -1, -1)) & 1
-        so_far = (following[:, None] | 256) >> np.arange(8, 0, -1)
-        nodes, self.of_edge = np.unique((context[:, None] << 8 | so_far).ravel(), return_inverse=True)
-        self.bits = bits.ravel()
-        weight = np.repeat(count.astype(float), 8)
-        zeros, ones = (np.bincount(self.of_edge, weight * (self.bits == b), len(nodes)) for b in (0, 1))
-        self.chance = (ones + 0.5) / (zeros + ones + 1)
-        weighted = estimate(zeros, ones)
-        up = np.arange(len(nodes))
-        steps = []
-        for _ in range(DEPTH - 2):
-            nodes, parent = np.unique((nodes >> 16) << 8 | nodes & 255, return_inverse=True)
-            zeros, ones, below = (np.bincount(parent, x, len(nodes)) for x in (zeros, ones, weighted))
-            weighted, weight, own = mixed(zeros, ones, below)
-            up = parent[up]
-            steps.append((weight[up], own[up]))
-        for weight, own in steps:
-            self.chance = weight * own + (1 - weight) * self.chance
-        self.top, self.up, self.zeros, self.ones, self.weighted = nodes, up, zeros, ones, weighted
-
-    def scores(self, above: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """log10 probability of each edge; above has weight and own chance by node, for 1 and 0 bytes of context."""
-        one_byte, bits = int(self.top[0]) >> 16, (self.top & 255)[self.up]
-        p = self.chance
-        for context in (one_byte, -1):
-            weight, own = above[context]
-            p = weight[bits] * own[bits] + (1 - weight[bits]) * p
-        p = p[self.of_edge]
-        return np.log10(np.where(self.bits == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, n: every distinct word, and how often training rows have it."""
+    def __init__(self, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray):
+        self.nodes, self.zeros, self.ones, self.weighted = nodes, zeros, ones, weighted
+
+    def up(self, levels: int) -> tuple[Level, np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes so many levels above, the place among them of each own node, and a and b of each own node: a chance
+        p that holds below becomes a + b * p when the levels above have been mixed in."""
+        now, place = self, np.arange(len(self.nodes))
+        a, b = np.zeros(len(self.nodes)), np.ones(len(self.nodes))
+        for _ in range(levels):
+            nodes, parent = np.unique((now.nodes >> 16) << 8 | now.nodes & 255, return_inverse=True)
+            zeros, ones, below = (np.bincount(parent, x, len(nodes)) for x in (now.zeros, now.ones, now.weighted))
+            own = estimate(zeros, ones)
+            weighted = np.logaddexp(own, below) - math.log(2)
+            place = parent[place]
+            weight, chance = (np.exp(own - weighted) / 2)[place], ((ones + 0.5) / (zeros + ones + 1))[place]
+            a, b = weight * chance + (1 - weight) * a, (1 - weight) * b
+            now = Level(nodes, zeros, ones, weighted)
+        return now, place, a, b
+
+
+def leaves(edge: np.ndarray, count: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
+    """The deepest nodes of some edges, and for each edge's eight decisions the node and the bit."""
+    edge = edge.astype(np.int64)
+    following = edge & 255
+    bits = ((following[:, None] >> np.arange(7, -1, -1)) & 1).ravel()
+    so_far = (following[:, None] | 256) >> np.arange(8, 0, -1)
+    nodes, of_edge = np.unique(((edge >> 8 << 8)[:, None] | so_far).ravel(), return_inverse=True)
+    weight = np.repeat(count.astype(float), 8)
+    zeros, ones = (np.bincount(of_edge, weight * (bits == b), len(nodes)) for b in (0, 1))
+    return Level(nodes, zeros, ones, estimate(zeros, ones)), of_edge, bits
+
+
+def parts(edge: np.ndarray, most: int = 200_000) -> Iterator[slice]:
+    """Runs of edges of about so many, none of which cuts those that share the last LOW bytes of context."""
+    low = edge >> np.uint64(8 * (DEPTH + 1 - LOW))
+    at = 0
+    while at < len(edge):
+        to = int(np.searchsorted(low, low[min(at + most, len(edge)) - 1], "right"))
+        yield slice(at, to)
+        at = to
+
+
+def rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns.values()], [*columns])
+
+
+def count(docs: DataFrame, slots: Slots) -> DataFrame:
+    """slot, keys, counts, total, known: a row for each slot with all its keys, how often training rows have them, the
+    sum of that and how many of them it is not 0 for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trained: Counter[bytes] = Counter()
-        other: set[bytes] = set()
+        census, taken = Census(), 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = [*trained.keys() | other]
-            for i in range(0, len(words), WORDS_AT_ONCE):
-                part = words[i : i + WORDS_AT_ONCE]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([trained[w] for w in part], pa.int64())], ["word", "n"])
-            trained.clear(), other.clear()
-
-        for b in batches:
-            for held, text in zip(b.column("held_out").to_pylist(), b.column("text")):
-                (other if held else trained).update(tokens(text.as_py()))
-            if len(trained) + len(other) > 1_000_000:
-                yield from out()
+            for sort in (WORD, EDGE):
+                keys, n = census.merged(sort)
+                found = [(slot, packed(keys[at]), packed(n[at], False)) for slot, at in slots.split(sort, keys)]
+                for i in range(0, len(found), 1000):
+                    a, b, c = zip(*found[i : i + 1000])
+                    yield rows({"slot": (a, pa.int64()), "keys": (b, pa.binary()), "counts": (c, pa.binary())})
+
+        for whole in batches:
+            for b in slices(whole, "text"):
+                held = np.asarray(b.column("held_out"))
+                texts = b.column("text").to_pylist()
+                for weight in (0, 1):
+                    pieces = [p for t, h in zip(texts, held.tolist()) if h != weight for p in bodies(t)]
+                    census.add(pieces, weight)
+                    taken += sum(len(p) for _, p in pieces)
+                if taken > BLOCK_BYTES:
+                    yield from out()
+                    census, taken = Census(), 0
         yield from out()
 
-    return docs.select("held_out", "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def count_edges(words: DataFrame) -> DataFrame:
-    """edge, n of all words, also those that training rows don't have."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size = None, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def merged(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            k, which = np.unique(k, return_inverse=True)
-            return k, np.bincount(which, n, len(k)).astype(np.int64)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000]), pa.array(counts[i : i + 200_000])], ["edge", "n"])
+        def out() -> pa.RecordBatch:
+            keys, n = summed(*(np.concatenate(x) for x in zip(*held)))
+            return rows({"slot": ([at], pa.int64()), "keys": ([packed(keys)], pa.binary()), "counts": ([packed(n, False)], pa.binary()), "total": ([int(n.sum())], pa.int64()), "known": ([int((n > 0).sum())], pa.int64())})
 
         for b in batches:
-            if b.num_rows:
-                w = b.column("word").to_pylist()
-                edge, _ = edges_of(w)
-                n = np.repeat(np.asarray(b.column("n")), [len(x) + 1 for x in w])
-                keys, counts = merged(np.concatenate((keys, edge)), np.concatenate((counts, n)))
-            if len(keys) > 2_000_000:
-                yield from out()
-                keys, counts = keys[:0], counts[:0]
-        yield from out()
+            for slot, keys, n in zip(b.column("slot").to_pylist(), b.column("keys"), b.column("counts")):
+                if held and slot != at:
+                    yield out()
+                    held, size = [], 0
+                at = slot
+                held.append((unpacked(keys.as_py()), unpacked(n.as_py(), False)))
+                size += len(held[-1][0])
+                if size > 2 * HELD:
+                    held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][0]) // 2
+        if held:
+            yield out()
 
-    return words.mapInArrow(run, "edge long, n long").groupBy("edge").agg(F.sum("n").alias("n"))
+    sent = docs.select("held_out", "text").mapInArrow(run, "slot long, keys binary, counts binary")
+    return sent.repartition(partitions(docs.sparkSession), "slot").sortWithinPartitions("slot").mapInArrow(merge, "slot long, keys binary, counts binary, total long, known long")
 
 
-def gathered(df: DataFrame, columns: dict[str, str]) -> list[np.ndarray]:
-    """The columns of a small table as arrays on the driver, sent as packed bytes: rows would take many times as much."""
+NODES = "node long, zeros double, ones double, weighted double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(b.column(c)).astype(t).tobytes()], pa.binary()) for c, t in columns.items()], [*columns])
-
-    rows = df.select(*columns).mapInArrow(run, ", ".join(f"{c} binary" for c in columns)).collect()
-    return [np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.empty(0, t)]) for c, t in columns.items()]
 
+def level_of(t: pa.Table) -> Level:
+    return Level(*(np.asarray(t[c]) for c in ("node", "zeros", "ones", "weighted")))
 
-def score_edges(edges: DataFrame) -> DataFrame:
-    """edge, lp: the log10 probability that the weighted trees give."""
-    grouped = edges.withColumn("pair", F.shiftright("edge", 8 * (DEPTH - 1))).groupBy("pair")
 
-    def summary(t: pa.Table) -> pa.Table:
-        s = Subtree(np.asarray(t["edge"]), np.asarray(t["n"]))
-        return pa.table({"node": s.top, "zeros": s.zeros, "ones": s.ones, "weighted": s.weighted})
-
-    # At most 255 rows for each two bytes, whatever the corpus.
-    top = grouped.applyInArrow(summary, "node long, zeros double, ones double, weighted double")
-    node, *sums = gathered(top, {"node": "i8", "zeros": "f8", "ones": "f8", "weighted": "f8"})
-    above: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    nodes, which = np.unique((node >> 16) << 8 | node & 255, return_inverse=True)
-    zeros, ones, below = (np.bincount(which, x, len(nodes)) for x in sums)
-    weighted, weight, own = mixed(zeros, ones, below)
-    for byte in np.unique(nodes >> 8).tolist():
-        on = nodes >> 8 == byte
-        above[byte] = tuple(np.bincount(nodes[on] & 255, x[on], 256) for x in (weight, own))
-    zeros, ones, below = (np.bincount(nodes & 255, x, 256) for x in (zeros, ones, weighted))
-    above[-1] = mixed(zeros, ones, below)[1:]
-
-    def scores(t: pa.Table) -> pa.Table:
-        edge = np.asarray(t["edge"])
-        return pa.table({"edge": edge, "lp": Subtree(edge, np.asarray(t["n"])).scores(above)})
-
-    return grouped.applyInArrow(scores, "edge long, lp double")
-
-
-def score_words(words: DataFrame, edges: DataFrame, most: int = EDGES) -> DataFrame:
-    """h (the word's hash), n, lp."""
-    if edges.count() <= most:
-        keys, lp = gathered(edges, {"edge": "i8", "lp": "f8"})
-        order = np.argsort(keys)
-        shared = words.sparkSession.sparkContext.broadcast((keys[order], lp[order]))
-        del keys, lp, order
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, lp = shared.value
-            for b in batches:
-                w = b.column("word").to_pylist()
-                if w:
-                    edge, starts = edges_of(w)
-                    found = np.add.reduceat(lp[np.searchsorted(keys, edge)], starts)
-                    yield pa.RecordBatch.from_arrays([pa.array([*map(word_key, w)], pa.int64()), b.column("n"), pa.array(found)], ["h", "n", "lp"])
-
-        return words.mapInArrow(run, "h long, n long, lp double")
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = b.column("word").to_pylist()
-            if w:
-                edge, _ = edges_of(w)
-                size = [len(x) + 1 for x in w]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([*map(word_key, w)], np.int64), size)), pa.array(np.repeat(np.asarray(b.column("n")), size)), pa.array(edge)], ["h", "n", "edge"])
+def table_of(level: Level) -> dict[str, np.ndarray]:
+    return {"node": level.nodes, "zeros": level.zeros, "ones": level.ones, "weighted": level.weighted}
 
-    return words.mapInArrow(apart, "h long, n long, edge long").join(edges, "edge").groupBy("h", "n").agg(F.sum("lp").alias("lp"))
 
+def probabilities(counted: DataFrame, slots: Slots) -> DataFrame:
+    """slot, keys, values: the log10 probability that the weighted trees give each edge, as 32-bit numbers."""
+    edges = counted.where(F.col("slot") >= slots.words).select("slot", "keys", "counts")
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, most_edges: int = EDGES) -> DataFrame:
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, n in zip(b.column("keys"), b.column("counts")):
+                edge, n = unpacked(keys.as_py()), unpacked(n.as_py(), False)
+                for s in parts(edge):
+                    yield pa.RecordBatch.from_pydict(table_of(leaves(edge[s], n[s])[0].up(DEPTH - LOW)[0]))
+
+    low = materialise(edges.mapInArrow(below, NODES), "low")
+    # Nodes that share the last TOP bytes of context meet in one group, of which there are as many as partitions.
+    grouped = low.withColumn("group", F.pmod(F.xxhash64(F.shiftright("node", 8 * (LOW - TOP) + 8)), F.lit(partitions(counted.sparkSession)))).groupBy("group")
+    # At most 255 rows for each two bytes, whatever the corpus.
+    top = Level(*gathered(grouped.applyInArrow(lambda t: pa.table(table_of(level_of(t).up(LOW - TOP)[0])), NODES), {"node": "i8", "zeros": "f8", "ones": "f8", "weighted": "f8"}))
+    order = np.argsort(top.nodes)
+    top = Level(*(x[order] for x in (top.nodes, top.zeros, top.ones, top.weighted)))
+    _, _, top_a, top_b = top.up(TOP)
+    names = top.nodes
+
+    def above(t: pa.Table) -> pa.Table:
+        own = level_of(t)
+        level, place, a, b = own.up(LOW - TOP)
+        at = np.searchsorted(names, level.nodes)[place]
+        return pa.table({"slot": slots.of_low(own.nodes >> 8), "node": own.nodes, "a": top_a[at] + top_b[at] * a, "b": top_b[at] * b})
+
+    upper = grouped.applyInArrow(above, "slot long, node long, a double, b double")
+
+    def chances(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"slot": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "values": pa.array([], pa.binary())})
+        node, a, b = (np.asarray(right[c]) for c in ("node", "a", "b"))
+        order = np.argsort(node)
+        node, a, b = node[order], a[order], b[order]
+        keys = left["keys"][0].as_py()
+        edge, n = unpacked(keys), unpacked(left["counts"][0].as_py(), False)
+        found = []
+        for s in parts(edge):
+            level, of_edge, bits = leaves(edge[s], n[s])
+            top, place, low_a, low_b = level.up(DEPTH - LOW)
+            p = low_a + low_b * (level.ones + 0.5) / (level.zeros + level.ones + 1)
+            at = np.searchsorted(node, top.nodes)[place]
+            p = (a[at] + b[at] * p)[of_edge]
+            found.append(np.log10(np.where(bits == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1).astype("f4"))
+        return pa.table({"slot": pa.array([left["slot"][0].as_py()], pa.int64()), "keys": pa.array([keys], pa.binary()), "values": pa.array([np.concatenate(found).tobytes()], pa.binary())})
+
+    return edges.groupBy("slot").cogroup(upper.groupBy("slot")).applyInArrow(chances, "slot long, keys binary, values binary")
+
+
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every document."""
     docs = docs.select("doc_id", "text", (fold("doc_id", 10) == 0).alias("held_out"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    words = materialise(count_words(docs), "words")
-    size, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    total, distinct = total + ends, distinct + (ends > 0)
-    rest = math.log10(total + 0.1 * (distinct + 1))
-    spark = docs.sparkSession
-    edges = materialise(count_edges(words).unionByName(spark.createDataFrame([(END_EDGE, ends)], "edge long, n long")), "counted")
-    scored = materialise(score_edges(edges), "edges")
-    end_lp = scored.where(F.col("edge") == END_EDGE).first().lp
-    of_word = score_words(words, scored, most_edges)
+    kind, spark = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slots = Slots(size)
+    counted = materialise(count(docs, slots), "counted")
+    words = counted.where(F.col("slot") < slots.words)
+    total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    known = materialise(words.select("slot", "keys", F.col("counts").alias("values")).unionByName(probabilities(counted, slots)), "known")
+    forget(counted)
 
     n = max(1, math.ceil(size / block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
+    copies = math.ceil(n / ASKERS)
+    place = docs.withColumn("place", F.monotonically_increasing_id())
+    dealt = place.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("place"), F.lit(n)).cast("int").alias("block")).repartition(n, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[int, set[bytes]] = {}
-        for b in batches:
-            for block, text in zip(b.column("block").to_pylist(), b.column("text")):
-                wanted.setdefault(block, set()).update(tokens(text.as_py()))
-        for block, w in wanted.items():
-            h = np.fromiter(map(word_key, w), np.int64, len(w))
-            for i in range(0, len(h), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[i : i + 200_000]), block, np.int32)), pa.array(h[i : i + 200_000])], ["block", "h"])
+        at, census = None, Census()
 
-    answers = dealt.select("doc_id", "text", "held_out", "block").mapInArrow(ask, "block int, h long").join(of_word, "h").select("block", "h", "n", "lp")
-
-    class Known(dict):
-        """Places of words in an answer, by word; worked out once for each distinct word."""
-
-        def __init__(self, places: dict[int, int]):
-            self.places = places
-
-        def __missing__(self, word: bytes) -> int:
-            self[word] = i = self.places[word_key(word)]
-            return i
+        def out() -> Iterator[pa.RecordBatch]:
+            for sort in (WORD, EDGE):
+                keys, _ = census.merged(sort)
+                found = [(slot, packed(keys[x])) for slot, x in slots.split(sort, keys)]
+                for i in range(0, len(found), 1000):
+                    a, b = zip(*found[i : i + 1000])
+                    yield rows({"slot": (a, pa.int64()), "copy": ([at % copies] * len(a), pa.int32()), "block": ([at] * len(a), pa.int32()), "keys": (b, pa.binary())})
+
+        for whole in batches:
+            for b in slices(whole, "text"):
+                block, texts = np.asarray(b.column("block")), b.column("text").to_pylist()
+                for x in np.unique(block).tolist():
+                    if at is not None and x != at:
+                        yield from out()
+                        census = Census()
+                    at = x
+                    census.add([p for t, k in zip(texts, block.tolist()) if k == x for p in bodies(t)], 0)
+        if at is not None:
+            yield from out()
+
+    asked = dealt.select("text", "block").sortWithinPartitions("block").mapInArrow(ask, "slot long, copy int, block int, keys binary")
+    there = known.select("slot", "keys", "values", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows:
+            slot = left["slot"][0].as_py()
+            keys, values = unpacked(right["keys"][0].as_py()), right["values"][0].as_py()
+            values = unpacked(values, False) if slot < slots.words else np.frombuffer(values, "f4")
+            for wanted in left["keys"]:
+                wanted = unpacked(wanted.as_py())
+                at = np.searchsorted(keys, wanted)
+                if not np.array_equal(keys[np.minimum(at, len(keys) - 1)], wanted):
+                    raise RuntimeError("rows came in another order than before")
+                out.append(packed(values[at], False) if slot < slots.words else values[at].tobytes())
+        return pa.table({"block": left["block"], "slot": left["slot"], "values": pa.array(out, pa.binary())})
+
+    answers = asked.groupBy("slot", "copy").cogroup(there.groupBy("slot", "copy")).applyInArrow(answer, "block int, slot long, values binary")
+    rest = math.log10(total + 0.1 * (distinct + 1))
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
-        count = np.asarray(right["n"])
-        known = Known({h: i for i, h in enumerate(right["h"].to_pylist())})
-        base, lp, seen = np.log10(count + 0.1) - rest, np.asarray(right["lp"]), count > 0
-        rows = []
-        for chunk in left["text"].chunks:
-            for text in chunk:
-                data = tokens(text.as_py())
-                at = np.fromiter(map(known.__getitem__, data), np.int64, len(data))
-                size = sum(map(len, data)) + len(data) + 1
-                s = float(lp[at].sum()) + end_lp
-                rows.append((len(data) + 1, int(seen[at].sum()) + (ends > 0), float(base[at].sum()) + math.log10(ends + 0.1) - rest, s, -s / math.log10(2) / size))
-        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
-        return pa.table([left["doc_id"], left["held_out"], *columns[:2], pa.array([total] * len(rows), pa.int64()), *columns[2:]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        chunks = [b for whole in left.select(["text"]).to_batches() for b in slices(whole, "text")]
+        census = Census()
+        for b in chunks:
+            census.add([p for t in b.column("text").to_pylist() for p in bodies(t)], 0)
+        replies = dict(zip(right["slot"].to_pylist(), right["values"]))
+        told = {}
+        for sort, kind in ((WORD, np.int64), (EDGE, np.float32)):
+            keys, _ = census.merged(sort)
+            values = np.empty(len(keys), kind)
+            for slot, at in slots.split(sort, keys):
+                reply = replies[slot].as_py()
+                values[at] = unpacked(reply, False) if sort == WORD else np.frombuffer(reply, "f4")
+            told[sort] = keys, values
+        n_tokens, n_known, base, score, n_bytes = ([] for _ in range(5))
+        for b in chunks:
+            pieces = [(i, p) for i, t in enumerate(b.column("text").to_pylist()) for p in bodies(t)]
+            of_doc, own = np.array([i for i, _ in pieces]), [p for _, p in pieces]
+            keys, starts = words_of(own)
+            c = told[WORD][1][np.searchsorted(told[WORD][0], keys)]
+            lp = told[EDGE][1][np.searchsorted(told[EDGE][0], edges_of(own))].astype(float)
+            lengths = np.array([len(p) for _, p in own])
+            add = lambda x: np.bincount(of_doc, x, b.num_rows)  # noqa: B023, E731
+            n_tokens.append(add(np.diff(np.append(starts, len(keys)))))
+            n_known.append(add(np.add.reduceat((c > 0).astype(float), starts)))
+            base.append(add(np.add.reduceat(np.log10(c + 0.1) - rest, starts)))
+            score.append(add(np.add.reduceat(lp, np.cumsum(lengths) - lengths)))
+            n_bytes.append(add(lengths))
+        n_tokens, n_known, base, score, n_bytes = (np.concatenate(x) if x else np.empty(0) for x in (n_tokens, n_known, base, score, n_bytes))
+        found = (n_tokens.astype(np.int64), n_known.astype(np.int64), np.full(len(base), total, np.int64), base, score, -score / math.log10(2) / np.maximum(n_bytes, 1))
+        return pa.table([left["doc_id"], left["held_out"], *map(pa.array, found)], ["doc_id", "held_out", *names])
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(back, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
