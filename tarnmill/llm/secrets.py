@@ -2,14 +2,20 @@
 
 Strong candidates (assignments, access keys, long hexadecimal runs) are reported wherever they stand. Weak ones are
 parts that mean nothing alone: identifiers of an account, tokens that look random, endpoints. They are reported only
-where complementary parts meet in a scope, which reaches SCOPE code points around a part: a random token with an
-identifier or endpoint, an identifier or endpoint with a secret of either strength. That is an interval join of parts
-within a document; as intervals have one length, the nearest part of each sort before and after decides it, so it is
-one window over a document's parts in order, linear in their number.
+where complementary parts meet in a scope, which reaches SCOPE code points around a part. There are three roles:
+
+* identifiers: identifier, access (an access key's id says who, not how);
+* secrets: assign, token, and hex, which may as well be a checksum;
+* endpoints: endpoint.
+
+A token is reported with an identifier or an endpoint; an identifier with a secret; an endpoint with an assignment or a
+token, or with hex where an identifier is in its scope as well. That is an interval join of parts within a document; as
+intervals have one length, the nearest part of each role before and after decides it, so it is one window over a
+document's parts in order, linear in their number.
 
 Defined results: a null or empty text has no spans; rows with equal ids are scanned each; weak parts that overlap a
-strong span are part of it and aren't reported; other columns are ignored by scan() and kept by redact(); an empty table
-gives an empty table.
+strong span are part of it and aren't reported; other columns are ignored by scan() and kept by redact(), whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnmill.llm.common import free_name
+
 SCOPE = 160
 #: Fixed patterns of the strong kinds, in the order in which spans of one start are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -67,9 +75,9 @@ def spans(docs: DataFrame, *keys: str, scope: int = SCOPE) -> DataFrame:
 
     strong = kind < STRONG
     inside = (F.coalesce(F.max(F.when(strong, last)).over(before), F.lit(0)) > first) | (F.coalesce(F.min(F.when(strong, first)).over(after), last) < last)
-    secret, place = strong | (kind == 5), kind.isin(3, 4) | (kind == 1)
+    identifier, endpoint, sure, maybe = kind.isin(1, 3), kind == 4, kind.isin(0, 5), kind == 2
     p = p.withColumn("weak_in_strong", ~strong & inside)
-    linked = F.when(kind == 5, near(place)).otherwise(near(secret))
+    linked = F.when(kind == 5, near(identifier | endpoint)).when(kind == 3, near(sure | maybe)).otherwise(near(sure) | (near(maybe) & near(identifier)))
     return p.withColumn("reported", kind.isNotNull() & (strong | (~F.col("weak_in_strong") & linked)))
 
 
@@ -91,9 +99,10 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs with every reported span of its text replaced by its kind in brackets; all rows and columns stay. Only
     texts that hold a candidate are shuffled."""
     names = docs.columns
+    key, found = free_name(docs, "key"), free_name(docs, "places")
     maybe = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    marked = docs.where(maybe).withColumn("_key", F.struct(F.col("doc_id").cast("string"), F.xxhash64("text"), F.length("text")))
-    places = scan(marked.select("_key", "text"), "_key", scope).where(F.size("places") > 0).select("_key", "places").dropDuplicates(["_key"])
+    marked = docs.where(maybe).withColumn(key, F.struct(F.col("doc_id").cast("string"), F.xxhash64("text"), F.length("text")))
+    places = scan(marked.select(F.col(key).alias("id"), "text"), "id", scope).where(F.size("places") > 0).select(F.col("id").alias(key), F.col("places").alias(found)).dropDuplicates([key])
     text = F.col("text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -102,6 +111,6 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         mark = F.concat(F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit("]"))
         return F.struct(F.greatest(acc["at"], s["last"]).alias("at"), F.when(s["first"] >= acc["at"], F.concat(acc["out"], kept, mark)).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("places", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    redacted = marked.join(places, "_key", "left").withColumn("text", F.when(F.col("places").isNull(), text).otherwise(clean))
+    clean = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    redacted = marked.join(places, key, "left").withColumn("text", F.when(F.col(found).isNull(), text).otherwise(clean))
     return docs.where(~maybe).unionByName(redacted.select(*(F.col(f"`{n}`") for n in names)))
