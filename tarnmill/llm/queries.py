@@ -10,6 +10,10 @@ from tarnmill.llm import bpe, ctph, ctw, decontaminate, jaccard, langid, pii, se
 from tarnmill.llm.common import new_path, partitions, table
 
 
+#: The key of this query's surrogates; a deployment passes its own secret.
+PII_KEY = "test tables"
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts of the strong kinds, their digest, and all spans with linked weak parts."""
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("places")
@@ -54,7 +58,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for personal data, and what was put in."""
-    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
