@@ -1,28 +1,29 @@
 """WARC archives: write pages as records, read archives back by verified chains of records.
 
-A reader that looks for the magic of a record finds it inside payloads too. Here each task emits, for every place of an
-archive that looks like a record, the place where its successor has to begin; pointer jumping from the file's start then
-keeps the places that are reached, in a logarithmic number of rounds, and rejects magic inside payloads.
+A reader that looks for the magic of a record finds it inside payloads too. Archives are read as text that the magic
+separates, so plain archives are split into byte ranges that tasks read on their own, and compressed ones stream through
+one task each. Every such place is a candidate: its task tells where it lies and where its successor has to begin.
+Pointer jumping from each file's start keeps the places that are reached, and rejects magic inside payloads: within a
+byte range over arrays, then between the ranges of a file by joins, in a logarithmic number of rounds. Payloads are
+digested where they are read; only those that hold magic themselves are put together again from their pieces.
 
 Defined results: a null html is an empty payload; a null page_id writes an empty id and reads back as null, and never
-becomes the record that others refer to; rows that share both the smallest page_id and the payload are all responses;
-line ends in a url are percent-encoded; a null url writes no target; an empty table gives no archive and no rows; other
-columns are ignored. Archives are read file by file, so a file has to fit a task: the writer bounds its records a file.
+becomes the record that others refer to; of rows that share both the smallest page_id and the payload the one read first
+is the response and the others revisit it; where no row of a payload has a page_id all are responses; line ends in a url
+are percent-encoded; a null url writes no target; an empty table gives no archive and no rows; other columns are ignored.
+A chain ends where a record's end is not the next one's start; what follows is not read. A record and a line of text have
+to fit a row of 2 GB. Rows have to come in one order each time they are read, as those of files do.
 """
 
 from __future__ import annotations
 
-import base64
-import gzip
-import hashlib
-import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnmill.llm.common import forget, materialise
+
 #: Fixed values of the format.
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -43,12 +44,14 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html, n, digest, and refers_to: the id of the response of equal payload that a revisit refers to."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("n", F.octet_length("html").cast("long"))
     pages = pages.withColumn("same", F.sha2(F.col("html").cast("binary"), 256)).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
+    pages = pages.withColumn("row", F.monotonically_increasing_id())
     # Equal payloads meet as digests; only groups of two and more come back, once for each salt.
-    first = pages.where(F.col("n") >= least_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first")
+    first = pages.where(F.col("n") >= least_bytes).groupBy("same").agg(least, F.count("*").alias("copies")).where("copies > 1 and first is not null")
     first = first.select("same", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    pages = pages.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     joined = pages.join(first, ["same", "salt"], "left")
-    return joined.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("same", "salt", "first")
+    return joined.withColumn("refers_to", F.when(F.col("first.row") != F.col("row"), F.col("first.page_id"))).drop("same", "salt", "first", "row")
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_a_file: int = RECORDS_A_FILE, compression: str = "gzip") -> None:
@@ -67,71 +70,127 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_a_
     p.select(record.alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_a_file).option("compression", compression).text(path)
 
 
-HEADER = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)\r\n")
-
-
-def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[dict[bytes, bytes], int, int]]]:
-    """Every offset that looks like a record's start, the offset at which its successor has to start (-1: it can't be
-    a record), and its fields and payload's place."""
-    at, after, what = [], [], []
-    i = data.find(MAGIC)
-    while i >= 0:
-        if i == 0 or data[i - 4 : i] == END:
-            head = data.find(END, i)
-            fields = {k.lower(): v for k, v in HEADER.findall(data[i + len(MAGIC) : head + 2])} if head >= 0 else {}
-            length = fields.get(b"content-length", b"")
-            stop = head + 4 + int(length) if length.isdigit() else -1
-            at.append(i)
-            after.append(stop + 4 if stop >= 0 and data[stop : stop + 4] == END else -1)
-            what.append((fields, head + 4, stop))
-        i = data.find(MAGIC, i + 1)
-    return np.array(at, np.int64), np.array(after, np.int64), what
-
-
-def reachable(at: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Which offsets a chain of successors from offset 0 reaches: each round doubles the length of all jumps."""
+READ = ["file", "offset", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to"]
+
+
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The pieces between magic: file, part (the byte range's start), row (in order of place), value."""
+    lines = spark.read.option("lineSep", MAGIC.decode()).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("value"))
+
+
+def candidates(pieces: DataFrame) -> DataFrame:
+    """Every piece: file, part, row, size with the magic after it, and if it can be a record (else null): head (its
+    header's bytes with the empty line), length (of its payload), whole (whether it has all of it) and the fields. Only
+    headers and digests go on."""
+    value = F.col("value")
+    header = F.substring_index(value.cast("string"), END.decode(), 1)
+    is_header = F.octet_length(header) + 4 <= F.octet_length(value)
+    field = lambda name: F.nullif(F.regexp_extract("header", rf"(?im)^{name}:[ \t]*([^\r\n]*)\r?$", 1), F.lit(""))
+    d = pieces.select("file", "part", "row", (F.octet_length(value) + len(MAGIC)).cast("long").alias("size"), F.when(is_header, header).alias("header"), "value")
+    d = d.withColumn("head", F.when(F.col("header").isNotNull(), F.octet_length("header") + 4).cast("long")).withColumn("length", F.expr("try_cast(regexp_extract(header, '(?im)^content-length:[ \\\\t]*([0-9]+)[ \\\\t]*\\\\r?$', 1) as bigint)"))
+    ends = F.col("head") + F.col("length")
+    whole = F.coalesce(F.substring(value, (ends + 1).cast("int"), F.lit(4)) == F.lit(END), F.lit(False))
+    d = d.withColumn("whole", whole)
+    payload = F.when(F.col("whole"), F.expr("substring(value, cast(head + 1 as int), cast(length as int))"))
+    return d.select("file", "part", "row", "size", "head", "length", "whole", field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("id"), field("WARC-Target-URI").alias("url"), field("WARC-Payload-Digest").alias("told_digest"), field("WARC-Refers-To").alias("to"), field("X-Payload-Length").cast("long").alias("told_bytes"), base32_sha1(payload).alias("digest"))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """at (the offset of the magic before a piece) and after (where the next record has to begin) of all candidates.
+    Places are summed up within byte ranges, then the ranges of a file, which are few."""
+    within = found.withColumn("own", F.sum("size").over(Window.partitionBy("file", "part").orderBy("row")) - F.col("size"))
+    ranges = found.groupBy("file", "part").agg(F.sum("size").alias("bytes"))
+    before = Window.partitionBy("file").orderBy("part")
+    ranges = ranges.withColumn("before", F.sum("bytes").over(before) - F.col("bytes")).withColumn("file_bytes", F.sum("bytes").over(Window.partitionBy("file")) - len(MAGIC))
+    start = F.col("before") + F.col("own")
+    d = within.join(ranges.drop("bytes"), ["file", "part"]).withColumn("at", start - len(MAGIC))
+    return d.withColumn("after", start + F.col("head") + F.col("length") + len(END)).drop("before", "own")
+
+
+def jumps(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Where chains from each offset leave a range, or end: each round doubles the length of all jumps. An offset that
+    is no candidate of the range stays as it is; one that can't be a record gives -1."""
+    to = after.copy()
+    for _ in range(len(at).bit_length() + 1):
+        k = np.minimum(np.searchsorted(at, to), max(len(at) - 1, 0))
+        on = at[k] == to
+        if not on.any():
+            break
+        # Doubling: those that land on a candidate go on as that one does.
+        to = np.where(on, to[k], to)
+    return to
+
+
+def chain(at: np.ndarray, after: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Which candidates of a range the chains from some offsets reach."""
     n = len(at)
-    jump = np.searchsorted(at, after)
-    jump = np.where((jump < n) & (at[np.minimum(jump, n - 1)] == after), jump, n) if n else jump
-    jump = np.append(jump, n)  # beyond the last record: stay
+    k = np.searchsorted(at, after)
+    jump = np.append(np.where((k < n) & (at[np.minimum(k, n - 1)] == after), k, n), n)
     reached = np.zeros(n + 1, bool)
-    reached[0] = n > 0 and at[0] == 0
+    reached[:n] = np.isin(at, entry)
     for _ in range(n.bit_length() + 1):
         reached[jump[reached]] = True
         jump = jump[jump]
-    return reached[:n] & (after >= 0)
-
-
-READ = "file string, offset long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+    return reached[:n]
+
+
+def verified(found: DataFrame) -> DataFrame:
+    """The candidates that the chains from their files' starts reach, and that end where one begins or the file ends."""
+    edges = found.where("after is not null and at >= 0")
+
+    def leave(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        at, after = np.asarray(t["at"]), np.asarray(t["after"])
+        return pa.table({"file": t["file"], "at": at, "to": jumps(at, after)})
+
+    ranges = found.groupBy("file").agg(F.count_distinct("part").alias("n")).agg(F.max("n")).first()[0] or 1
+    reached = edges.where("at = 0").select("file", "at")
+    if ranges > 1:
+        step = materialise(edges.select("file", "part", "at", "after").groupBy("file", "part").applyInArrow(leave, "file string, at long, to long"), "jumps")
+        reached = materialise(reached, "reached")
+        for _ in range(int(ranges).bit_length()):
+            # What is reached so far, and what lies as many ranges on; then all jumps are twice as long.
+            on = step.join(reached, ["file", "at"]).select("file", F.col("to").alias("at"))
+            more = materialise(reached.unionByName(on).distinct(), "reached")
+            twice = materialise(step.join(step.select("file", F.col("at").alias("to"), F.col("to").alias("then")), ["file", "to"], "left").select("file", "at", F.coalesce("then", "to").alias("to")), "jumps")
+            forget(reached), forget(step)
+            reached, step = more, twice
+    entries = found.select("file", "part", "at").where("after is not null and at >= 0").join(reached, ["file", "at"]).groupBy("file", "part").agg(F.collect_set("at").alias("entries")).withColumnsRenamed({"file": "in_file", "part": "in_part"})
+
+    def follow(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("at")
+        if not right.num_rows or not left.num_rows:
+            return left.slice(0, 0)
+        return left.filter(pa.array(chain(np.asarray(left["at"]), np.asarray(left["after"]), np.array(right["entries"][0].as_py()))))
+
+    kept = edges.groupBy("file", "part").cogroup(entries.groupBy("in_file", "in_part")).applyInArrow(follow, edges.schema)
+    # The last of a chain may point at nothing: then it is cut off, and no record.
+    starts = edges.select("file", F.col("at").alias("after"), F.lit(True).alias("goes_on"))
+    return kept.join(starts, ["file", "after"], "left").where("goes_on or after = file_bytes").drop("goes_on")
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row for each verified record; a revisit has the length and digest of the payload that it refers to."""
-
-    def number(urn: bytes) -> int | None:
-        digits = urn.removeprefix(b"<urn:page:").removesuffix(b">")
-        return int(digits) if digits else None
-
-    def rows(name: str, data: bytes) -> Iterator[tuple]:
-        at, after, what = candidates(data)
-        for k in np.flatnonzero(reachable(at, after)).tolist():
-            fields, i, j = what[k]
-            kind, body = fields.get(b"warc-type", b"").decode(), data[i:j]
-            if kind == "revisit":
-                n, digest = int(fields.get(b"x-payload-length", b"0")), fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode()
-            else:
-                n, digest = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()
-            to = fields.get(b"warc-refers-to")
-            yield name, int(at[k]), kind, number(fields.get(b"warc-record-id", b"")), fields.get(b"warc-target-uri", b"").decode("utf-8", "replace") or None, n, digest, number(to) if to else None, body if payloads else None
-
-    names = [x.split()[0] for x in READ.split(", ")]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column("path"), b.column("content")):
-                data = content.as_buffer().to_pybytes()
-                found = [*rows(name.as_py(), gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, READ)
+    """A row for each verified record; a revisit has the length and digest of the payload that it refers to. payload
+    only if asked for."""
+    pieces = chunks(spark, path)
+    found = materialise(placed(candidates(pieces)), "candidates")
+    records = materialise(verified(found), "records")
+    key = ["file", "part", "row"]
+    # Payloads that go over several pieces: each piece goes to the record before it.
+    cut = records.where(~F.col("whole")).select("file", F.col("at").alias("start"), F.col("after").alias("stop"), "head", "length")
+    inside = found.select(*key, "at").join(cut, "file").where("at >= start and at < stop").select(*key, "at", "start", "head", "length")
+    joined = pieces.join(inside, key).groupBy("file", "start", "head", "length").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("all"))
+    body = F.expr(f"substring(aggregate(all, X'', (a, x) -> if(a = X'' AND x.at = start, x.value, concat(a, X'{MAGIC.hex()}', x.value))), cast(head + 1 as int), cast(length as int))")
+    put = joined.select("file", F.col("start").alias("at"), body.alias("body"))
+    if payloads:
+        one = pieces.join(records.where("whole").select(*key, "at", "head", "length"), key).select("file", "at", F.expr("substring(value, cast(head + 1 as int), cast(length as int))").alias("body"))
+        put = put.unionByName(one)
+    put = put.withColumn("put_digest", base32_sha1(F.col("body")))
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
+    again = F.col("record_type") == "revisit"
+    r = records.join(put, ["file", "at"], "left").select(
+        "file", F.col("at").alias("offset"), "record_type", number("id").alias("page_id"), "url", F.when(again, F.coalesce("told_bytes", F.lit(0))).otherwise(F.col("length")).cast("long").alias("payload_bytes"),
+        F.when(again, F.regexp_replace("told_digest", "^sha1:", "")).otherwise(F.coalesce("put_digest", "digest")).alias("payload_digest"), number("to").alias("refers_to"), *([F.col("body").alias("payload")] if payloads else []),
+    )
+    return r
