@@ -25,8 +25,8 @@ CHANGE = r"(?U)^(\+|@@|-\s|--- )"
 
 
 def lines_of(c: Column) -> Column:
-    """The text's lines; a line end at its end begins no line."""
-    return F.split(gsub(gsub(c, r"\r\n?", "\n"), r"\n\z"), "\n", -1)
+    """The text's lines, at every kind of line end; one at the text's end begins no line."""
+    return F.split(gsub(gsub(c, r"\r\n|[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", "\n"), r"\n\z"), "\n", -1)
 
 
 def hits(lines: Column, pattern: str, clean=lambda x: x) -> Column:

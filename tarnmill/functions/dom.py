@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tarnmill.functions.text import gsub, strip
+from tarnmill.functions.text import gsub, let, strip
 
-#: Elements that go with their content, attributes, parts of pages, class names, tags that become breaks.
+#: Fixed values and patterns, those of the functions below included: elements that go with their content, attributes, parts of pages, class names, tags that become breaks.
 TAGS = "circle clipPath defs line link mask meta noscript path polygon polyline rect script style svg symbol use".split()
 PARTS = "nav footer header aside".split()
 CLASSES = "nav menu footer header sidebar advert cookie modal overlay".split()
@@ -18,30 +18,38 @@ GATE, LONG, HEAD, TAIL = 4096, 8000, 4000, 2000
 HINT = r"(?i)<(?:html|!doctype|body|div|script)\b"
 
 
+def where_found(c: Column, pattern: str, rule) -> Column:
+    """rule of c where a cheap pattern is found, else c as it is; c is worked out once."""
+    return let(c, lambda x: F.when(x.rlike(pattern), rule(x)).otherwise(x))
+
+
+def strip_element(c: Column, tag: str) -> Column:
+    """Without the elements of a tag: with their content where they are closed, else their tags alone. Pages without
+    a closing tag are not searched for one at each opening tag."""
+    alone = rf"<{tag}[^>]*>"
+    return where_found(c, rf"(?i)<{tag}", lambda x: gsub(F.when(x.rlike(rf"(?i)</{tag}>"), gsub(x, rf"(?is)<{tag}[^>]*>.*?</{tag}>")).otherwise(x), rf"(?i){alone}"))
+
+
 def strip_tags(c: Column) -> Column:
     for tag in TAGS:
-        for pattern in (rf"(?is)<{tag}[^>]*>.*?</{tag}>", rf"(?i)<{tag}[^>]*/>", rf"(?i)<{tag}[^>]*>"):
-            c = gsub(c, pattern)
+        c = strip_element(c, tag)
     return c
 
 
 def strip_parts(c: Column) -> Column:
     for part in PARTS:
-        c = gsub(c, rf"(?is)<{part}[^>]*>.*?</{part}>")
-    return gsub(c, rf'(?is)<(\w+)[^>]*class="[^"]*(?:{"|".join(CLASSES)})[^"]*"[^>]*>.*?</\1>')
+        c = where_found(c, rf"(?i)</{part}>", lambda x, part=part: gsub(x, rf"(?is)<{part}[^>]*>.*?</{part}>"))
+    named = rf'class="[^"]*(?:{"|".join(CLASSES)})[^"]*"'
+    return where_found(c, f"(?i){named}", lambda x: gsub(x, rf"(?is)<(\w+)[^>]*{named}[^>]*>.*?</\1>"))
 
 
 def strip_attributes(c: Column) -> Column:
-    c = gsub(c, r'\s+(?:data|aria)-[a-zA-Z_-]+="[^"]*"')
-    for name in ATTRIBUTES:
-        c = gsub(c, rf'\s+{name}="[^"]*"')
-    return c
+    return gsub(c, rf'\s+(?:(?:data|aria)-[a-zA-Z_-]+|{"|".join(ATTRIBUTES)})="[^"]*"')
 
 
 def collapse(c: Column) -> Column:
     for tags, new in ((BREAKS, "\n"), (SPACES, " ")):
-        for tag in tags:
-            c = gsub(c, rf"(?i)</?{tag}[^>]*>", new)
+        c = gsub(c, rf"(?i)</?(?:{'|'.join(tags)})[^>]*>", new)
     for entity, char in ENTITIES.items():
         c = F.replace(c, F.lit(entity), F.lit(char))
     return strip(gsub(gsub(c, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))

@@ -12,7 +12,7 @@ from tarnmill.functions.text import gsub, let, strip
 #: Keywords of each domain, in the order that decides ties.
 DOMAINS = {
     "cybersecurity": "security malware virus trojan ransomware phishing breach incident forensics exploit vulnerability attack defense firewall intrusion threat ioc indicator compromise anomaly suspicious".split(),
-    "osint": ["osint", "open source", *"intelligence investigate search find locate track monitor watch surveillance reconnaissance scout probe scan enumeration".split()],
+    "osint": ("osint", "open source", "intelligence", "investigate", "search", "find", "locate", "track", "monitor", "watch", "surveillance", "reconnaissance", "scout", "probe", "scan", "enumeration"),
     "business": "business company market revenue profit cost budget forecast strategy plan growth investment roi kpi metrics analytics dashboard report".split(),
     "code": "code function class method compile import module refactor debug bug fix patch git merge commit branch test lint type".split(),
     "professional": "professional report analysis research study review assessment evaluation audit compliance regulation policy procedure guideline standard".split(),
@@ -26,6 +26,7 @@ FILLER = [
 ]
 #: Fixed patterns: fragments that become blanks, in this order.
 FRAGMENTS = [r"\.{3,}", r"(?U)\b(\w+)\s+\1\b", r"(?U)\s+,", r"(?U),\s*,", r"(?U)\s+\.", r"\?{2,}", r"!{2,}"]
+#: Fixed: where sentences end, and how many words each mode leaves.
 SENTENCES = r"(?U)(?<=[.!?])\s+|\n+"
 BUDGETS = {"aggressive": 20, "balanced": 50, "preserve": 150}
 #: Fixed texts of the system prompt.
@@ -41,13 +42,17 @@ ENDING = "Output: lead with the answer or action. No filler. Format: tables / li
 
 
 def classify_domain(c: Column) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
-    scores = {d: reduce(lambda a, b: a + b, (low.contains(w).cast("int") for w in words)) for d, words in DOMAINS.items()}
-    best = F.greatest(*scores.values())
-    out = F.when(best == 0, "general")
-    for d, s in scores.items():
-        out = out.when(s == best, d)
-    return out.otherwise("general")
+    """The domain most of whose keywords occur, the first of equals; text and scores are worked out once."""
+
+    def choose(s: Column) -> Column:
+        best = F.greatest(*(s[d] for d in DOMAINS))
+        out = F.when(best == 0, "general")
+        for d in DOMAINS:
+            out = out.when(s[d] == best, d)
+        return out
+
+    scores = lambda low: F.struct(*(reduce(lambda a, b: a + b, (low.contains(w).cast("int") for w in words)).alias(d) for d, words in DOMAINS.items()))
+    return let(let(F.lower(F.coalesce(c, F.lit(""))), scores), choose)
 
 
 def sentences(c: Column) -> Column:

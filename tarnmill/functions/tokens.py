@@ -1,9 +1,15 @@
-"""Token accounting: a native estimate of four characters a token, and exact counts by a vocabulary."""
+"""Token accounting: a native estimate of four characters a token, and exact counts by a tokenizer's vocabulary, which run
+in Python over Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: What a message, an image and a tool definition add.
 MESSAGE, IMAGE, TOOL = 4, 8, 8
@@ -20,6 +26,36 @@ def estimate_at_least_one(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.coalesce(F.length(c), F.lit(0)) / 4)).cast("long")
 
 
+def estimate_bytes(c: Column) -> Column:
+    """The estimate by bytes; no bytes, no tokens."""
+    n = F.coalesce(F.octet_length(c), F.lit(0))
+    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("long")
+
+
+@lru_cache(4)
+def encoder(vocabulary: str):
+    """A function from texts to their numbers of tokens; one for each Python worker."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary)
+    t.no_truncation()
+    t.no_padding()
+    return lambda texts: [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def exact(vocabulary: str | None) -> Callable[[Column], Column]:
+    """The count by a tokenizer file, or the estimate where there is none. Texts or bytes; null and empty ones have none."""
+    if vocabulary is None:
+        return estimate
+
+    @F.pandas_udf(LongType())
+    def run(texts: pd.Series) -> pd.Series:
+        given = [x.decode("utf-8", "replace") if isinstance(x, (bytes, bytearray)) else x or "" for x in texts]
+        return pd.Series(encoder(vocabulary)(given), index=texts.index, dtype="int64")
+
+    return run
+
+
 def of_json(c: Column) -> Column:
     """Tokens of a serialised value, by its bytes."""
     return F.greatest(F.lit(1), F.floor(F.coalesce(F.octet_length(c), F.lit(0)) / 4)).cast("long")

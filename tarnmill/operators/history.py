@@ -11,16 +11,38 @@ from tarnmill.functions import tokens
 STUB = "[identical to a later tool_result; omitted %d chars]"
 
 
-def dedup(blocks: DataFrame, content: str = "tr_text", least: int = 200, stub: str = STUB, group: str = "request_id") -> DataFrame:
+def content_key(text: Column, shaped: Column) -> Column:
+    """What equal results share: a string its text, any other content its JSON with keys in order."""
+    return F.sha2(F.when(shaped.isNull(), F.concat(F.lit("s"), text)).otherwise(F.concat(F.lit("j"), F.to_json(F.try_parse_json(shaped)))).cast("binary"), 256)
+
+
+def dedup(blocks: DataFrame, content: str = "tr_text", least: int = 200, stub: str = STUB, group: str = "request_id", only: Column | None = None) -> DataFrame:
     """blocks with equal long tool results replaced by a stub in every message before the last that holds them, and
-    stubbed, which says where. Rows whose content is null are no results."""
-    key = F.when(F.length(content) >= least, F.sha2(F.col(content).cast("binary"), 256))
+    stubbed, which says where. Rows whose content is null are no results, nor are those that only leaves out."""
+    shaped = F.col("tr_json") if "tr_json" in blocks.columns else F.lit(None).cast("string")
+    long = (F.length(content) >= least) & (F.lit(True) if only is None else only)
+    key = F.when(long, content_key(F.col(content), shaped))
     # Rows without a key would all meet in one partition: they get one each by their place.
     w = Window.partitionBy(group, F.coalesce(key, F.concat_ws(":", "msg_idx", "blk_idx")))
     earlier = key.isNotNull() & (F.col("msg_idx") < F.max("msg_idx").over(w))
     return blocks.withColumn("stubbed", F.coalesce(earlier, F.lit(False))).withColumn(content, F.when(F.col("stubbed"), F.format_string(stub, F.length(content))).otherwise(F.col(content)))
 
 
+def dedup_documents(documents: DataFrame, text: str, order: str, *group: str, least: int = 200, stub: str = STUB) -> DataFrame:
+    """The same where a group grows with the data: the last place of each content is aggregated, which one hot content or
+    group can't hold up, and joined back."""
+    long = F.length(text) >= least
+    last = documents.where(long).groupBy(*group, F.sha2(F.col(text).cast("binary"), 256).alias("_key")).agg(F.max(order).alias("_last"), F.count("*").alias("_n")).where("_n > 1")
+    d = documents.withColumn("_key", F.when(long, F.sha2(F.col(text).cast("binary"), 256))).join(last, [*group, "_key"], "left")
+    stubbed = F.coalesce(F.col(order) < F.col("_last"), F.lit(False))
+    return d.withColumn("stubbed", stubbed).withColumn(text, F.when(stubbed, F.format_string(stub, F.length(text))).otherwise(F.col(text))).drop("_key", "_last", "_n")
+
+
+def has_tool_use(blocks: DataFrame) -> DataFrame:
+    """request_id, msg_idx, has_tool_use, has_tool_result of every message."""
+    return blocks.groupBy("request_id", "msg_idx").agg(F.bool_or(F.col("type") == "tool_use").alias("has_tool_use"), F.bool_or(F.col("type") == "tool_result").alias("has_tool_result"))
+
+
 def distill_old(messages: DataFrame, text: str = "text", keep_last: int = 8, most: int = 240, note: str = "[distilled from %d chars]") -> DataFrame:
     """messages with long texts shortened in all but the last keep_last of a request."""
     n = F.count("*").over(Window.partitionBy("request_id"))

@@ -41,3 +41,35 @@ def best_for_tier(sized: DataFrame) -> DataFrame:
 
 def models(spark: SparkSession, rows: list[tuple[int, str, float, float, int, int]]) -> DataFrame:
     return spark.createDataFrame(rows, "model_id int, name string, vram_gb double, size_gb double, kv_bytes int, native_ctx int")
+
+
+def presets_by_tier(models: DataFrame) -> DataFrame:
+    """tier_gb and its models in order of model_id."""
+    return models.groupBy(F.col("vram_gb").alias("tier_gb")).agg(F.transform(F.array_sort(F.collect_list(F.struct("model_id", "name"))), lambda m: m["name"]).alias("names"))
+
+
+def with_reduction(models: DataFrame, measured: DataFrame) -> DataFrame:
+    """models with one measurement (a row tokens_in, tokens_out, reduction_pct) on each row."""
+    return models.join(F.broadcast(measured.limit(1)))
+
+
+def server_command(path: Column, port: int = 8080, alias: str = "tarnmill") -> Column:
+    """The command line of an inference server for a sized model (ctx, ub, offload). Fixed flags and their order."""
+    base = F.format_string("llama-server -m %s -c %d -ngl 999 -fa on -ctk q4_0 -ctv q4_0 -np 1 -b 2048 -ub %d --alias %s --host 127.0.0.1 --port %d --kv-unified", path, F.col("ctx"), F.col("ub"), F.lit(alias), F.lit(port))
+    return F.concat(base, F.when(F.col("offload"), "").otherwise(" --no-kv-offload"))
+
+
+def environment(prefix: str = "TARNMILL_") -> Column:
+    """The same choice as export lines."""
+    number = lambda c: F.col(c).cast("string")
+    rows = {"CTX": number("ctx"), "UB": number("ub"), "NGL": F.lit("999"), "FA": F.lit("on"), "CTK": F.lit("q4_0"), "CTV": F.lit("q4_0"), "NP": F.lit("1"), "KV_OFFLOAD": F.col("offload").cast("int").cast("string")}
+    return F.concat_ws("\n", *(F.concat(F.lit(f"export {prefix}{k}="), v) for k, v in rows.items()))
+
+
+def report(path: Column) -> Column:
+    """A sized model as lines of text."""
+    gb = lambda c, sign="": F.format_string(f"%{sign}.2f GB", F.col(c))
+    return F.concat_ws(
+        "\n", F.lit("recommended server arguments"), F.format_string("memory:  %.1f GB", F.col("vram_gb")), F.concat(F.lit("model:   "), F.coalesce(F.nullif(path, F.lit("")), F.lit("(size only)"))), F.concat(F.lit("weights: "), gb("weights_gb")),
+        F.concat(F.lit("total:   "), gb("est_total_gb"), F.lit(" (margin "), gb("margin_gb", "+"), F.lit(")")), server_command(path), environment(), F.lit("an estimate: check the memory under a real prompt"),
+    )

@@ -101,7 +101,7 @@ def budget_drop_pair_safe(spark, sf_dir):
 @query("with d as (select *, count(*) over w as c, max(doc_id) over w as last from documents where text is not null window w as (partition by lang, text)) select doc_id, length(text) >= 200 and c > 1 and doc_id < last as stubbed, sha256(case when length(text) >= 200 and c > 1 and doc_id < last then '[identical to a later tool_result; omitted ' || length(text) || ' chars]' else text end) as content from d")
 def dedup_stub(spark, sf_dir):
     d = read(spark, sf_dir, "documents").where("text is not null").select(F.col("lang").alias("request_id"), F.col("doc_id").alias("msg_idx"), F.lit(0).alias("blk_idx"), F.col("text").alias("tr_text"))
-    return history.dedup(d).select(F.col("msg_idx").alias("doc_id"), "stubbed", F.sha2(F.col("tr_text").cast("binary"), 256).alias("content"))
+    return history.dedup_documents(d, "tr_text", "msg_idx", "request_id").select(F.col("msg_idx").alias("doc_id"), "stubbed", F.sha2(F.col("tr_text").cast("binary"), 256).alias("content"))
 
 
 CUT = "regexp_extract(left(text, 240), '(?s)^(.{40,}?[.!?。！？])\\s', 1)"
@@ -238,12 +238,14 @@ def compress_json(spark, sf_dir):
     return t.select("user_id", compress.compress_text(F.col("t"), compress.compact_json("t")).alias("out"))
 
 
-@query("select doc_id, '[compressed] ' || strlen('commit ' || doc_id || E'\\nAuthor: a\\nDate: d\\n\\n@@ -1 +1 @@\\n+' || text) || 'B -> ' || strlen('git: commit ' || doc_id || ' | Author: a | Date: d | @@ -1 +1 @@ | +' || regexp_replace(left(text, 119), '\\s+$', '')) || 'B; git: commit ' || doc_id || ' | Author: a | Date: d | @@ -1 +1 @@ | +' || regexp_replace(left(text, 119), '\\s+$', '') as out from (select doc_id, regexp_replace(text, '\\s+', ' ', 'g') as text from documents where length(text) >= 300)")
+REPORT = "'commit ' || doc_id || E'\\nAuthor: a\\nDate: d\\n\\n+' || replace(regexp_replace(replace(text, chr(13), ' '), '\\n$', ''), chr(10), E'\\n+')"
+
+
+@query(f"with t as (select doc_id, {REPORT} as t from documents where text is not null), l as (select doc_id, t, list_transform(list_filter(string_split(t, chr(10)), lambda x: x <> ''), lambda x: case when x[1] = '+' then left({SQL_STRIP.format('x')}, 120) else x end) as l from t), b as (select doc_id, t, 'git: ' || array_to_string(l[1:60], ' | ') as body from l) select doc_id, case when length(t) >= 200 then '[compressed] ' || strlen(t) || 'B -> ' || strlen(body) || 'B; ' || body end as out from b")
 def compress_git(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where(F.length("text") >= 300).select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
-    t = F.concat(F.lit("commit "), F.col("doc_id").cast("string"), F.lit("\nAuthor: a\nDate: d\n\n@@ -1 +1 @@\n+"), "text")
-    body = F.regexp_replace(compress.version_control(t), r"\s+$", "")
-    return d.select("doc_id", compress.wrap(t, body).alias("out"))
+    lines = F.replace(F.regexp_replace(F.replace("text", F.lit("\r"), F.lit(" ")), r"\n\z", ""), F.lit("\n"), F.lit("\n+"))
+    t = F.concat(F.lit("commit "), F.col("doc_id").cast("string"), F.lit("\nAuthor: a\nDate: d\n\n+"), lines)
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", compress.compress_text(t).alias("out"))
 
 
 def dom_sql(c: str) -> str:
@@ -252,6 +254,7 @@ def dom_sql(c: str) -> str:
             c = f"regexp_replace({c}, '{p}', '', 'g')"
     for part in dom.PARTS:
         c = f"regexp_replace({c}, '(?is)<{part}[^>]*>.*?</{part}>', '', 'g')"
+    c = f"regexp_replace({c}, '(?is)<div[^>]*class=\"[^\"]*(?:{'|'.join(dom.CLASSES)})[^\"]*\"[^>]*>.*?</div>', '', 'g')"
     c = f"regexp_replace({c}, '\\s+(?:data|aria)-[a-zA-Z_-]+=\"[^\"]*\"', '', 'g')"
     for name in dom.ATTRIBUTES:
         c = f"regexp_replace({c}, '\\s+{name}=\"[^\"]*\"', '', 'g')"
@@ -263,9 +266,13 @@ def dom_sql(c: str) -> str:
     return SQL_STRIP.format(COLLAPSE.format(c))
 
 
-@query(f"with p as (select page_id, {dom_sql('html')} as t from pages where html is not null) select page_id, case when length(t) > 8000 then left(t, 4000) || E'\\n... [truncated] ...\\n' || right(t, 2000) else t end as t from p")
+#: The tables' pages have no element of the class names that go, so each gets one.
+ASIDE = '<div id="x" class="left sidebar-2">to go <b>too</b></div> <p class="plain">stays</p> '
+
+
+@query(f"with p as (select page_id, {dom_sql(f"('{ASIDE}' || html)")} as t from pages where html is not null) select page_id, case when length(t) > 8000 then left(t, 4000) || E'\\n... [truncated] ...\\n' || right(t, 2000) else t end as t from p")
 def html_prune(spark, sf_dir):
-    return read(spark, sf_dir, "pages").where("html is not null").select("page_id", dom.prune(F.col("html")).alias("t"))
+    return read(spark, sf_dir, "pages").where("html is not null").select("page_id", dom.prune(F.concat(F.lit(ASIDE), "html")).alias("t"))
 
 
 @query("select page_id, length(html) > 4096 and regexp_matches(html, '(?i)<(?:html|!doctype|body|div|script)\\b') as gate from pages where html is not null")
@@ -350,26 +357,38 @@ def last_60(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.sum(F.col("event_id") % 7).over(w).alias("saved_last_60"))
 
 
-@query("select event_id as request_id, greatest(value - 1, 0) as read_s, greatest(1 - value + 2, 0) as optimize_s, 0.5::double as first_byte_s, 0.25::double as stream_s, 2.75::double as total_s from (select event_id, cast(2 as double) as value from events)")
+@query("select event_id as request_id, greatest(t1, 0) as read_s, greatest(t2 - t1, 0) as optimize_s, greatest(t3 - t2, 0) as first_byte_s, greatest(t4 - t3, 0) as stream_s, greatest(t4, 0) as total_s from (select event_id, value as t1, value + user_id as t2, user_id * 2.5e0 as t3, value * 3e0 as t4 from events)")
 def latency(spark, sf_dir):
+    v, u = F.col("value"), F.col("user_id")
     e = read(spark, sf_dir, "events")
-    lit = lambda x: F.lit(float(x))
-    return response.latencies(e.select(F.col("event_id").alias("request_id"), lit(0).alias("t0"), lit(1).alias("t1"), lit(2).alias("t2"), lit(2.5).alias("t3"), lit(2.75).alias("t4")))
+    return response.latencies(e.select(F.col("event_id").alias("request_id"), F.lit(0.0).alias("t0"), v.alias("t1"), (v + u).alias("t2"), (u * 2.5).alias("t3"), (v * 3.0).alias("t4")))
 
 
-#: How many code points of a text a frame holds.
-PIECE = 50
+@query("select count(*) as requests, cast(sum(event_id % 100) as bigint) as prompt, cast(sum(user_id) as bigint) as completion, sum(user_id) / cast(sum(event_id % 8) * 0.125e0 as double) as tokens_per_s, max_by(user_id / ((event_id % 8) * 0.125e0), event_id) filter (event_id % 8 > 0 and user_id > 0) as last_tokens_per_s from events")
+def usage_totals(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return response.totals(e.select(F.col("event_id").alias("seq"), (F.col("event_id") % 100).alias("prompt"), F.col("user_id").alias("completion"), ((F.col("event_id") % 8) * 0.125).alias("elapsed_s")))
 
 
-@query()
+#: Code points of a text in a frame, and of the wire in a chunk, which cuts frames anywhere.
+PIECE, CHUNK = 50, 333
+
+
+def cut(c: Column, size: int) -> Column:
+    """A text in pieces of a fixed size; an empty one is one empty piece."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(c) - 1, F.lit(0)) / size).cast("int")), lambda i: F.substring(c, i * size + 1, F.lit(size)))
+
+
+@query("select cast(conv_id as varchar) || '-' || turn as stream_id, cast(length(text) + 3 as bigint) as n_chars, sha256(text || 'STO') as text from conversations where text is not null")
 def stream_filter(spark, sf_dir):
     t = turns(spark, sf_dir).where("text is not null")
-    # The whole text, in pieces of a fixed size; an empty one is one empty piece.
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PIECE).cast("int")), lambda i: F.substring("text", i * PIECE + 1, F.lit(PIECE)))
-    pieces = F.concat(F.array(F.lit("Su"), F.lit("re!\n")), chunks, F.array(F.lit("STO"), F.lit("P it")))
-    each = t.select(F.concat_ws("-", "request_id", F.col("msg_idx").cast("string")).alias("stream_id"), F.posexplode(pieces).alias("seq", "piece"))
-    frames = each.select("stream_id", F.col("seq").cast("long").alias("seq"), F.concat(F.lit("data: "), F.to_json(F.struct(F.struct(F.col("piece").alias("text")).alias("delta")))).alias("frame"))
-    return response.filter_frames(frames, response.Levers(stops=("STOP",)))
+    pieces = F.concat(F.array(F.lit("Su"), F.lit("re!\n")), cut(F.col("text"), PIECE), F.array(F.lit("STO"), F.lit("P it")))
+    wire = F.array_join(F.transform(pieces, lambda p: F.concat(F.lit("data: "), F.to_json(F.struct(F.struct(p.alias("text")).alias("delta"))), F.lit("\n\n"))), "")
+    streams = t.select(F.concat_ws("-", "request_id", F.col("msg_idx").cast("string")).alias("stream_id"), wire.alias("wire"))
+    chunks = streams.select("stream_id", F.posexplode(cut(F.col("wire"), CHUNK)).alias("seq", "chunk")).withColumn("seq", F.col("seq").cast("long"))
+    sent = response.filter_chunks(chunks, response.Levers(stops=("STOP",))).withColumn("text", F.get_json_object(F.substring("frame", 7, 1 << 30), "$.delta.text"))
+    whole = sent.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "text"))), lambda x: x["text"]), "").alias("text"))
+    return whole.select("stream_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text"))
 
 
 #: The sizes of example models, by tier.
@@ -388,13 +407,26 @@ def presets(spark, sf_dir):
     return catalog.models(spark, MODELS).where("vram_gb = 8").select("model_id", "name", "vram_gb")
 
 
+@query(f"with {MODEL_SQL} select cast(vram_gb as double) as tier_gb, string_agg(name, ',' order by model_id) as names from m group by all")
+def presets_by_tier(spark, sf_dir):
+    return catalog.presets_by_tier(catalog.models(spark, MODELS)).select("tier_gb", F.array_join("names", ",").alias("names"))
+
+
+@query(f"with {SIZED.format(free=1.0)} select model_id, 'llama-server -m ' || name || ' -c ' || ctx || ' -ngl 999 -fa on -ctk q4_0 -ctv q4_0 -np 1 -b 2048 -ub ' || ub || ' --alias tarnmill --host 127.0.0.1 --port 8080 --kv-unified' || case when offload then '' else ' --no-kv-offload' end as command from r")
+def server_commands(spark, sf_dir):
+    return catalog.recommend(catalog.models(spark, MODELS)).select("model_id", catalog.server_command(F.col("name")).alias("command"))
+
+
 @query(f"with {SIZED.format(free=0.3)}, e as (select *, cast(floor(ctx / (1 - 85.4 / 100)) as bigint) as effective_ctx from r), b as (select *, row_number() over (partition by vram_gb order by effective_ctx desc, model_id) as n from e) select vram_gb as tier_gb, model_id, effective_ctx from b where n = 1")
 def context_presets(spark, sf_dir):
     sized = catalog.recommend(catalog.models(spark, MODELS), 0.3).withColumn("effective_ctx", catalog.effective_context(F.col("ctx"), F.lit(85.4))).withColumn("tier_gb", F.col("vram_gb"))
     return catalog.best_for_tier(sized).select("tier_gb", "model_id", "effective_ctx")
 
 
-@query()
+WHAT = "'Use this tool to find parts. ' || repeat(p_name, 12) || E'\\n\\n\\n\\n```sh\\na\\n```\\nmore\\n```sh\\nb\\n```\\n'"
+
+
+@query(f"""select p_partkey, p_name as name, case when length({WHAT}) >= 200 then {SQL_STRIP.format("repeat(p_name, 12)")} || E'\\n\\n```sh\\na\\n```\\nmore' else {WHAT} end as description, '{{"type":"object","properties":{{"a":{{"type":"string"}}}}}}' as schema_json from part""")
 def tool_minify(spark, sf_dir):
     t = read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("Use this tool to find parts. "), F.repeat("p_name", F.lit(12)), F.lit("\n\n\n\n```sh\na\n```\nmore\n```sh\nb\n```\n")).alias("description"), F.lit('{"type":"object","title":"T","properties":{"a":{"type":"string","examples":["x"]}},"$comment":"c"}').alias("schema_json"), "p_partkey")
     return tools.minify_tools(t)
@@ -402,7 +434,7 @@ def tool_minify(spark, sf_dir):
 
 def conversation_blocks(spark, sf_dir):
     none = F.lit(None).cast("string")
-    return turns(spark, sf_dir).select("request_id", "msg_idx", F.lit(-1).alias("blk_idx"), "role", F.lit("str").alias("type"), "text", *(none.alias(c) for c in ("tool_id", "tool_name", "input_json", "tr_text", "raw_json")))
+    return turns(spark, sf_dir).select("request_id", "msg_idx", F.lit(-1).alias("blk_idx"), "role", F.lit("str").alias("type"), "text", *(none.alias(c) for c in ("tool_id", "tool_name", "input_json", "tr_text", "tr_json", "raw_json", "msg_json")))
 
 
 SLIM = "regexp_replace({0}, '^\\n+|\\n+$', '', 'g')".format(BLANKS.format("text"))
@@ -415,5 +447,47 @@ g as (select request_id, max(n) as n, max(total) as total, cast(sum(tok_in) as b
 d as (select *, case when total <= 400 or n <= 2 then 0 else coalesce(least, most, 0) end as dropped from g)
 select d.request_id, tokens_in, d.total - prefix as tokens_out, distill_count, cast(dropped as bigint) as budget_dropped from d join v on d.request_id = v.request_id and v.place = d.dropped""")
 def optimize_requests(spark, sf_dir):
-    _, stats = optimize(conversation_blocks(spark, sf_dir), Config(token_budget=BUDGET, keep_last=KEEP))
+    stats = optimize(conversation_blocks(spark, sf_dir), Config(token_budget=BUDGET, keep_last=KEEP)).stats
     return stats.select("request_id", "tokens_in", "tokens_out", "distill_count", "budget_dropped")
+
+
+#: Requests with pairs: of three messages of a conversation in a row the second uses a tool, the third has its result, which
+#: is the same long text in all of a conversation.
+ROWS = "repeat('a row of the result ', 20) || request_id"
+
+
+def paired_tables(spark, sf_dir):
+    t = turns(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("msg_idx")) - 1)
+    third = F.col("place") % 3
+    none = F.lit(None).cast("string")
+    call = F.concat(F.lit("c"), (F.col("place") - F.when(third == 2, 1).otherwise(0)).cast("string"))
+    blocks = t.select(
+        "request_id", "msg_idx", F.when(third == 0, -1).otherwise(0).alias("blk_idx"), F.when(third == 1, "assistant").otherwise("user").alias("role"), F.when(third == 0, "str").when(third == 1, "tool_use").otherwise("tool_result").alias("type"), F.when(third == 0, F.coalesce("text", F.lit(""))).alias("text"),
+        F.when(third > 0, call).alias("tool_id"), F.when(third == 1, "f").alias("tool_name"), F.when(third == 1, F.concat(F.lit('{"k":'), F.col("place").cast("string"), F.lit("}"))).alias("input_json"),
+        F.when(third == 2, F.concat(F.repeat(F.lit("a row of the result "), F.lit(20)), "request_id")).alias("tr_text"), none.alias("tr_json"), none.alias("raw_json"), none.alias("msg_json"),
+    )
+    one = t.select("request_id").distinct()
+    systems = one.select("request_id", F.lit(-1).alias("blk_idx"), F.concat(F.lit("Basically be brief.\n\n\n\nServe "), "request_id").alias("text"), none.alias("raw_json"))
+    tool = one.select("request_id", F.lit(0).alias("tool_idx"), F.lit("f").alias("name"), F.lit("short").alias("description"), F.lit('{"type":"object","title":"F"}').alias("schema_json"), F.lit('{"name":"f","description":"short","input_schema":{"type":"object","title":"F"}}').alias("raw_json"))
+    return blocks, systems, tool
+
+
+EST = "case when length({0}) = 0 then 0 else greatest(1, length({0}) // 4) end"
+
+
+@query(f"""with m as (select cast(conv_id as varchar) as request_id, cast(turn as int) as msg_idx, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn) - 1 as place, count(*) over (partition by conv_id) as n from conversations),
+b as (select *, place % 3 as third, {ROWS} as res, max(case when place % 3 = 2 then place end) over (partition by request_id) as last_res, {SLIM} as slim from m),
+s as (select *, third = 0 and n >= 2 and place < n - 2 and length(slim) > 360 as old, third = 2 and place < last_res as stub from b),
+u as (select *, case when old then (select {DISTILL.replace("text", "s2.slim")} from (select s.slim) s2) else slim end as now from s),
+t as (select *, 4 + case third when 0 then {EST.format("text")} when 1 then 1 + 0 * place else {EST.format("res")} end as tok_in,
+  4 + case third when 0 then case when n >= 2 then {EST.format("now")} else {EST.format("text")} end when 1 then greatest(1, length('{{"k":' || place || '}}') // 4) else case when stub then length('[identical to a later tool_result; omitted ' || length(res) || ' chars]') // 4 else {EST.format("res")} end end as tok from u),
+w as (select *, greatest(1, length('{{"k":' || place || '}}') // 4) + 4 as use_tok from t),
+x as (select *, case third when 1 then use_tok else tok_in end as tok_before, length('Basically be brief.' || E'\\n\\n\\n\\n' || 'Serve ' || request_id) // 4 + 1 + 29 // 4 + 8 as fixed_in, length('be brief.Serve ' || request_id) // 4 + 1 + 17 // 4 + 8 as fixed_out from w),
+p as (select *, cast(coalesce(sum(tok) over (partition by request_id order by msg_idx rows between unbounded preceding and 1 preceding), 0) as bigint) as prefix, cast(sum(tok) over (partition by request_id) as bigint) + fixed_out as total from x),
+g as (select request_id, max(n) as n, max(total) as total, cast(sum(tok_before) + max(fixed_in) as bigint) as tokens_in, count(*) filter (old) as distill_count, count(*) filter (stub) as dedup_count, min(place) filter (third <> 2 and place >= 1 and place <= n - 2 and total - prefix <= 400) as least, max(place) filter (third <> 2 and place >= 1 and place <= n - 2) as most from p group by request_id),
+d as (select *, case when total <= 400 or n <= 2 then 0 else coalesce(least, most, 0) end as dropped from g)
+select d.request_id, d.tokens_in, d.total - p.prefix as tokens_out, cast(1 as bigint) as tools_minified, true as system_minified, dedup_count, distill_count, cast(dropped as bigint) as budget_dropped from d join p on d.request_id = p.request_id and p.place = d.dropped""")
+def optimize_with_tools(spark, sf_dir):
+    blocks, systems, tool = paired_tables(spark, sf_dir)
+    stats = optimize(blocks, Config(token_budget=BUDGET, keep_last=KEEP), systems, tool).stats
+    return stats.select("request_id", "tokens_in", "tokens_out", "tools_minified", "system_minified", "dedup_count", "distill_count", "budget_dropped")
