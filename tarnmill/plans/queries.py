@@ -190,14 +190,69 @@ def prompts(spark, sf_dir):
     return turns(spark, sf_dir).where("text is not null").select("request_id", "msg_idx", F.concat(F.lit("Can you please help me with this ?? "), "text", F.lit("\nthank you, in order to fix the the code.")).alias("prompt"))
 
 
-def over_prompts(name: str, f: Callable[[Column], Column]) -> None:
+def phrases_out(c: str) -> str:
+    for phrase in rewrite.FILLER:
+        c = f"regexp_replace({c}, '(?i)\\b{phrase.replace(chr(39), chr(39) * 2)}\\b', '', 'g')"
+    return f"regexp_replace({c}, '\\.{{3,}}', ' ', 'g')"
+
+
+def fragments_out(c: str) -> str:
+    for pattern in (r"\s+,", r",\s*,", r"\s+\.", r"\?{2,}", r"!{2,}"):
+        c = f"regexp_replace({c}, '{pattern}', ' ', 'g')"
+    return c
+
+
+def ended_sql(c: str) -> str:
+    return f"case when {c} <> '' and not regexp_matches({c}, '[.!?]$') then {c} || '.' else {c} end"
+
+
+def sentences_sql(c: str) -> str:
+    return f"string_split(regexp_replace(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))"
+
+
+#: A word, blanks and the same word again become one blank: each token is put to those before it, or takes two of them along.
+REPEATED = "list_reduce(list_transform(regexp_extract_all(x, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'), lambda t: [t]), lambda a, t: case when len(a) >= 2 and regexp_full_match(a[-1], '\\s+') and a[-2] = t[1] and regexp_full_match(t[1], '[\\p{L}\\p{N}_]+') then a[1:len(a) - 2] || [' '] else a || t end)"
+KEY = SQL_STRIP.format("regexp_replace(regexp_replace(lower(t), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')")
+REFRAMED = f"""q as (select cast(conv_id as varchar) as request_id, cast(turn as int) as msg_idx, 'Can you please help me with this ?? ' || text || E'\\nthank you, in order to fix the the code.' as c from conversations where text is not null),
+r0 as (select *, {phrases_out("c")} as x from q), r1 as (select * replace (array_to_string({REPEATED}, '') as x) from r0), r2 as (select * replace ({fragments_out("x")} as x) from r1),
+r3 as (select *, {sentences_sql("x")} as ss from r2), r4 as (select *, list_transform(ss, lambda t: {KEY}) as ks from r3),
+r5 as (select request_id, msg_idx, c, {SQL_STRIP.format("regexp_replace(array_to_string(list_transform(list_filter(range(1, len(ss) + 1), lambda i: ks[i] <> '' and list_position(ks, ks[i]) = i), lambda i: " + SQL_STRIP.format("ss[i]") + "), ' '), '\\s+', ' ', 'g')")} as x from r4),
+r as (select request_id, msg_idx, c, {ended_sql("(upper(x[1]) || x[2:])")} as r from r5)"""
+
+
+def shrunk(source: str, most: int) -> str:
+    """CTEs that end in k (request_id, msg_idx, c, out), from a CTE of request_id, msg_idx, c."""
+    words = lambda c: f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
+    return f"""k0 as (select *, list_filter({words("c")}, lambda w: length(w) > 3) as asked, list_filter(list_transform({sentences_sql("r")}, lambda t: {SQL_STRIP.format("t")}), lambda t: t <> '') as f1, list_filter(list_transform({sentences_sql("c")}, lambda t: {SQL_STRIP.format("t")}), lambda t: t <> '') as f2 from {source}),
+k1 as (select *, case when len(f1) > 0 then f1 else f2 end as f from k0), k2 as (select request_id, msg_idx, asked, unnest(f) as t, generate_subscripts(f, 1) as i from k1),
+k3 as (select *, len(list_filter({words("t")}, lambda w: list_contains(asked, w))) * 2 + len({words("t")}) as score, len(string_split(regexp_replace(t, '\\s+', ' ', 'g'), ' ')) as n from k2),
+k4 as (select *, row_number() over w as rank, sum(n) over w as used from k3 window w as (partition by request_id, msg_idx order by score desc, i rows between unbounded preceding and current row)),
+k5 as (select request_id, msg_idx, string_agg(t, ' ' order by i) as t from k4 where rank = 1 or used <= {most} group by all),
+k as (select k1.request_id, k1.msg_idx, c, case when c = '' or k5.t is null then c else {ended_sql(SQL_STRIP.format("k5.t"))} end as out from k1 left join k5 using (request_id, msg_idx))"""
+
+
+def over_prompts(name: str, f: Callable[[Column], Column], sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: prompts(spark, sf_dir).select("request_id", "msg_idx", f(F.col("prompt")).alias("out"))
+    ORACLES[name] = sql
+
+
+over_prompts("reframe", rewrite.reframe, f"with {REFRAMED} select request_id, msg_idx, r as out from r")
+for _mode, _most in rewrite.BUDGETS.items():
+    over_prompts(f"shrink_{_mode}", lambda c, m=_mode: rewrite.shrink(c, m), f"with {REFRAMED}, {shrunk('r', _most)} select request_id, msg_idx, out from k")
+
+FRAME_SCORES = ", ".join(f"{' + '.join(f'cast(contains(lower(p), {chr(39)}{w}{chr(39)}) as int)' for w in words)} as {d}" for d, words in rewrite.DOMAINS.items())
 
 
-over_prompts("reframe", rewrite.reframe)
-for _mode in rewrite.BUDGETS:
-    over_prompts(f"shrink_{_mode}", lambda c, m=_mode: rewrite.shrink(c, m))
-QUERIES["frame"] = lambda spark, sf_dir: prompts(spark, sf_dir).select("request_id", "msg_idx", rewrite.frame(F.col("prompt")).alias("f")).select("request_id", "msg_idx", "f.*")
+@query(
+    f"""with {REFRAMED}, z0 as (select request_id, msg_idx, c as p, r as c from r), z1 as (select request_id, msg_idx, p, {phrases_out("c")} as x, c from z0), z2 as (select * replace (array_to_string({REPEATED}, '') as x) from z1), z3 as (select * replace ({fragments_out("x")} as x) from z2),
+z4 as (select *, {sentences_sql("x")} as ss from z3), z5 as (select *, list_transform(ss, lambda t: {KEY}) as ks from z4),
+z6 as (select *, {SQL_STRIP.format("regexp_replace(array_to_string(list_transform(list_filter(range(1, len(ss) + 1), lambda i: ks[i] <> '' and list_position(ks, ks[i]) = i), lambda i: " + SQL_STRIP.format("ss[i]") + "), ' '), '\\s+', ' ', 'g')")} as y from z5),
+z as (select request_id, msg_idx, c, {ended_sql("(upper(y[1]) || y[2:])")} as r from z6), {shrunk("z", rewrite.BUDGETS["balanced"])},
+s as (select request_id, msg_idx, {FRAME_SCORES} from z0), b as (select *, greatest({', '.join(rewrite.DOMAINS)}) as best from s), d as (select *, case when best = 0 then 'general' {' '.join(f'when {d} = best then {chr(39)}{d}{chr(39)}' for d in rewrite.DOMAINS)} end as domain from b)
+select request_id, msg_idx, regexp_replace({SQL_STRIP.format("regexp_replace(out, '\\s+', ' ', 'g')")}, '[,;:!?]{{2,}}', '', 'g') as tight, 'Role: generalist. Style: terse. Domain (' || domain || '): ' || case domain {HINT_SQL} end || ' {rewrite.ENDING}' as system, domain from k join d using (request_id, msg_idx)"""
+)
+def frame(spark, sf_dir):
+    return prompts(spark, sf_dir).select("request_id", "msg_idx", rewrite.frame(F.col("prompt")).alias("f")).select("request_id", "msg_idx", "f.*")
 
 
 def event_lines(spark, sf_dir):
@@ -309,7 +364,34 @@ def summarize_turns(spark, sf_dir):
     return memory.summarize(entries(spark, sf_dir))
 
 
-@query()
+def plain_sql(c: str) -> str:
+    """Without phrases of low value and runs of white space."""
+    for pattern in (rf"(?i)\b(?:{text.HEDGES})\b", r"[!?.]{3,}", r"\n{4,}"):
+        c = f"regexp_replace({c}, '{pattern}', '', 'g')"
+    return SQL_STRIP.format(COLLAPSE.format(SQL_STRIP.format(c)))
+
+
+NOTE = "case when length(text) > 300 then left(text, 300) || '...' else text end"
+
+
+@query(f"""with sm as ({ORACLES["summarize_turns"]}),
+c0 as (select doc_id % 10 as ctx_id, lang as category, doc_id as entry_idx, coalesce('source: ' || source || chr(10), '') || 'note: ' || (select {NOTE} from (select coalesce(documents.text, '') as text)) as raw from documents),
+c1 as (select ctx_id, row_number() over (partition by ctx_id order by category nulls first, entry_idx) as pos, nullif({plain_sql("raw")}, '') as line from c0),
+w1 as (select ctx_id, entry_idx as pos, role, {plain_sql("coalesce(content, '')")} as line from sm),
+l as (select 0 as warm, ctx_id, pos, line, 2 as sep from c1 where line is not null union all select 1, ctx_id, pos, coalesce(role, 'user') || ': ' || line, 1 from w1 where line <> ''),
+j as (select warm, ctx_id, string_agg(line, E'\\n\\n' order by pos) as t from (select * from l where warm = 0) group by all union all select warm, ctx_id, string_agg(line, E'\\n' order by pos) as t from (select * from l where warm = 1) group by all),
+x as (select ctx_id, count(*) as cold_before from c0 group by all), y as (select conv_id % 10 as ctx_id, count(*) as warm_before from conversations where text is not null group by all),
+t0 as (select coalesce(x.ctx_id, y.ctx_id) as ctx_id, coalesce(cold_before, 0) as cold_before, coalesce(warm_before, 0) as warm_before from x full join y on x.ctx_id = y.ctx_id),
+t1 as (select t0.*, coalesce(c.t, '') as c, coalesce(w.t, '') as w from t0 left join (select * from j where warm = 0) c on c.ctx_id = t0.ctx_id left join (select * from j where warm = 1) w on w.ctx_id = t0.ctx_id),
+t2 as (select *, greatest(1, length(c) // 4) as ct, greatest(1, length(w) // 4) as wt from t1),
+t3 as (select *, ct + wt as before, cast(floor(2000 * (wt / (ct + wt))) as bigint) as ws, 2000 - cast(floor(2000 * (wt / (ct + wt))) as bigint) as cs from t2),
+s as (select l.*, sum(greatest(1, length(line) // 4)) over o as used, row_number() over o as nth from l window o as (partition by warm, ctx_id order by pos rows between unbounded preceding and current row)),
+k as (select s.*, nth = 1 or used <= case warm when 1 then ws else cs end as keep from s join t3 using (ctx_id)),
+kc as (select ctx_id, string_agg(line, E'\\n\\n' order by pos) filter (keep) as cc, count(*) filter (keep) as ck from k where warm = 0 group by all),
+kw as (select ctx_id, string_agg(line, E'\\n' order by pos) filter (keep) as wc, count(*) filter (keep) as wk, count(*) as wl from k where warm = 1 group by all),
+u as (select t3.*, cc, ck, wc, wk, wl from t3 left join kc using (ctx_id) left join kw using (ctx_id)),
+v as (select *, case when before > 2000 and ct > cs and cc is not null then cc || case when cold_before - ck > 0 then chr(10) || '... (' || (cold_before - ck) || ' more entries truncated)' else '' end else c end as cold_text, case when before > 2000 and wt > ws and wc is not null then wc || case when wl - wk > 0 then chr(10) || '... (' || (wl - wk) || ' more entries truncated)' else '' end else w end as warm_text from u)
+select ctx_id, cold_text, warm_text, concat_ws(E'\\n\\n', case when cold_text <> '' then '<cold_memory>' || chr(10) || cold_text || chr(10) || '</cold_memory>' end, case when warm_text <> '' then '<recent_context>' || chr(10) || warm_text || chr(10) || '</recent_context>' end) as block, cold_before, warm_before, coalesce(wl, 0) as warm_after, before as tokens_before, greatest(1, length(cold_text) // 4) + greatest(1, length(warm_text) // 4) as tokens_after from v""")
 def prune_context(spark, sf_dir):
     kv = F.array(F.struct(F.lit("id").alias("k"), F.col("doc_id").cast("string").alias("v")), F.struct(F.lit("source").alias("k"), F.col("source").alias("v")), F.struct(F.lit("note").alias("k"), F.coalesce("text", F.lit("")).alias("v")))
     cold = read(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("ctx_id"), F.col("lang").alias("category"), F.col("doc_id").alias("entry_idx"), kv.alias("kv"), F.lit(None).cast("string").alias("value"))
