@@ -1,17 +1,20 @@
 """Benchmark decontamination by greedy string tiling.
 
 A document's words and a benchmark item's words are tiled: of all common runs of words that no tile covers yet, the
-longest become tiles, again and again, until none of MIN_TILE words is left. Runs start from seeds, places where the
-Karp-Rabin hashes of MIN_TILE words agree, joined through the item's index; runs are seeds that follow each other on a
-diagonal. As tiles may lie in any order, a passage that was cut and reordered is covered like a whole one. An item is in
-a document if tiles cover at least COVERAGE of its words.
+longest become tiles, again and again, until none of MIN_TILE words is left; of equally long runs that overlap, the one
+that comes first in the document goes first, then the one that comes first in the item. Runs start from seeds, places
+where the Karp-Rabin hashes of MIN_TILE words agree; runs are seeds that follow each other on a diagonal. As tiles may lie
+in any order, a passage that was cut and reordered is covered like a whole one. An item is in a document if tiles cover at
+least COVERAGE of its words.
 
-Items are taken in blocks of bounded size, one pass over the documents for each, so neither side is shuffled.
+Up to INDEX_CHARS of items go to every task as an index, and neither side is shuffled. Beyond that, documents and items
+are joined on their seeds: documents send those that a bitmap of fixed size allows, pairs that share too few seeds for the
+coverage go no further, and only what is left is tiled. Both ways give the same rows.
 
 Defined results: words are runs of letters and digits, lower-cased. Null and empty texts, and items of fewer than three
 words, match nothing; items shorter than MIN_TILE words match whole; rows with equal ids are matched each; rows of a
 null item_id are items too; other columns are ignored by matches() and kept by drop_matched(); empty tables give an
-empty table, or keep all documents.
+empty table, or keep all documents. Rows have to come in one order each time they are read, as those of files do.
 """
 
 from __future__ import annotations
@@ -24,13 +27,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnmill.llm.common import distinct, free_name, gathered, materialise, slices, tidy
+
 WORD = re.compile(r"[^\W_]+")
 MIN_TILE, LEAST_ITEM, COVERAGE = 5, 3, 0.5
-#: Characters of items in a block, which is sent to each task.
-BLOCK_CHARS = 16_000_000
+#: Characters of items that are sent to each task; slots of the bitmap of seeds.
+INDEX_CHARS, SLOTS = 16_000_000, 1 << 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,7 +114,8 @@ def tile(doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray, k: int
         starts = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 1) | (np.diff(q) != 1))))
         length = np.diff(np.append(starts, len(p))) + k - 1
         longest = int(length.max())
-        for s in starts[length == longest].tolist():
+        starts = starts[length == longest]
+        for s in starts[np.lexsort((q[starts], p[starts]))].tolist():
             i, j = int(p[s]), int(q[s])
             if free_doc[i : i + longest].all() and free_item[j : j + longest].all():
                 free_doc[i : i + longest] = free_item[j : j + longest] = False
@@ -130,48 +137,122 @@ def contained(index: Index, text: str | None, coverage: float) -> Iterator[tuple
             yield key, covered, covered / len(item), tiles[0][2], len(tiles)
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the items in blocks of about BLOCK_CHARS."""
+MATCH = "item_id long, n_words long, coverage double, longest long, n_tiles long"
+MATCHED = ["item_id", "n_words", "coverage", "longest", "n_tiles"]
+
+
+def whole_index(benchmark: DataFrame, most: int) -> Index | None:
+    """The index of all items, if they have at most so many characters."""
     b = benchmark.select(F.col("item_id").cast("long"), "text")
-    n = math.ceil((b.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS)
-    for k in range(n):
-        part = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else b
-        index = Index([(r.item_id, r.text) for r in part.collect()])
-        if index.items:
-            yield index
+    if (b.agg(F.sum(F.length("text"))).first()[0] or 0) > most:
+        return None
+    return Index([(r.item_id, r.text) for r in b.where(F.length("text") > 0).collect()])
 
 
-MATCH = "item_id long, n_words long, coverage double, longest long, n_tiles long"
+def word_numbers(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words(text)), np.uint64)
+
+
+def item_seeds(items: DataFrame, coverage: float) -> DataFrame:
+    """seed, item, times (places of the item that have it), need (places that have to be shared at least), of items
+    (item, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                found = []
+                for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                    ids = word_numbers(text)
+                    if len(ids) >= LEAST_ITEM:
+                        k = min(MIN_TILE, len(ids))
+                        seeds, times = np.unique(hashes(ids, k) * BASE + np.uint64(k), return_counts=True)
+                        found += [(int(x), item, int(n), -(-math.ceil(coverage * len(ids)) // k)) for x, n in zip(seeds.view(np.int64), times)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["seed", "item", "times", "need"])
+
+    return items.select("item", "text").mapInArrow(run, "seed long, item long, times long, need long")
+
+
+def candidates(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """row, item: documents (row, text) and items (item, text) that share enough seeds."""
+    seeds = materialise(item_seeds(items, coverage), "seeds")
+    bits = np.zeros(SLOTS, bool)
+    bits[gathered(seeds.select(F.pmod("seed", F.lit(SLOTS)).cast("int").alias("slot")).distinct(), {"slot": "i4"})[0]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                rows, found = [], []
+                for row, text in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
+                    ids = word_numbers(text)
+                    own = distinct(np.concatenate([hashes(ids, k) * BASE + np.uint64(k) for k in range(LEAST_ITEM, MIN_TILE + 1)])).view(np.int64)
+                    slot = own & (SLOTS - 1)
+                    own = own[(shared.value[slot >> 3] >> (slot & 7)) & 1 == 1]
+                    found.append(own)
+                    rows.append(np.full(len(own), row, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, found)], ["row", "seed"])
+
+    met = docs.select("row", "text").mapInArrow(tidy(run), "row long, seed long").join(seeds, "seed")
+    return met.groupBy("row", "item").agg(F.sum("times").alias("n"), F.first("need").alias("need")).where("n >= need").select("row", "item")
+
+
+def matches_by_join(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
+    """row, doc_id and the columns of a match, for docs (row, doc_id, text)."""
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long"), "text")
+    pairs = materialise(candidates(docs, items, coverage), "pairs")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                found = []
+                for i, (text, item_id, item) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "item_id", "item_text")))):
+                    found += [(i, *m) for m in contained(Index([(item_id, item)]), text, coverage)]
+                yield matched(b, ["row", "doc_id"], found)
+
+    joined = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(docs, "row").select("row", "doc_id", "text", "item_id", "item_text")
+    return joined.mapInArrow(tidy(run), f"row long, doc_id {kind}, {MATCH}")
+
+
+def matched(b: pa.RecordBatch, keep: list[str], found: list[tuple]) -> pa.RecordBatch:
+    """The columns to keep of each match's row, and the match."""
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    at = pa.array([f[0] for f in found], pa.int64())
+    return pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keep), *(pa.array([f[k + 1] for f in found], t) for k, t in enumerate(types))], [*keep, *MATCHED])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, index_chars: int = INDEX_CHARS) -> DataFrame:
     """A row for each document and item in it: doc_id, item_id, words covered, their share, longest tile, tiles."""
-    spark, out = docs.sparkSession, None
     kind = docs.schema["doc_id"].dataType.simpleString()
-    for index in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    index = whole_index(benchmark, index_chars)
+    if index is None:
+        return matches_by_join(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), benchmark, coverage).drop("row")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [(i, *m) for i, text in enumerate(b.column("text").to_pylist()) for m in contained(shared.value, text, coverage)]
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types))], ["doc_id", "item_id", "n_words", "coverage", "longest", "n_tiles"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                yield matched(b, ["doc_id"], [(i, *m) for i, text in enumerate(b.column("text").to_pylist()) for m in contained(shared.value, text, coverage)])
 
-        got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {MATCH}")
-        out = got if out is None else out.unionByName(got)
-    return spark.createDataFrame([], f"doc_id {kind}, {MATCH}") if out is None else out
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, {MATCH}")
 
 
-def drop_matched(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """docs without the rows that hold an item. No shuffle: a row is judged where it is, one block after the other."""
-    spark = docs.sparkSession
-    for index in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+def drop_matched(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, index_chars: int = INDEX_CHARS) -> DataFrame:
+    """docs without the rows that hold an item. With an index a row is judged where it is; else the rows to go are joined
+    back by their place."""
+    index = whole_index(benchmark, index_chars)
+    if index is None:
+        row = free_name(docs, "row")
+        placed = docs.withColumn(row, F.monotonically_increasing_id())
+        gone = matches_by_join(placed.select(F.col(row).alias("row"), "doc_id", "text"), benchmark, coverage).select(F.col("row").alias(row)).distinct()
+        return placed.join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
                 clean = [next(contained(shared.value, text, coverage), None) is None for text in b.column("text").to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(tidy(run), docs.schema)
