@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnmill.llm import bpe, ctph, ctw, decontaminate, jaccard, langid, pii, secrets, toxicity, warc
-from tarnmill.llm.common import new_path, partitions, table
+from tarnmill.llm.common import new_path, table
 
 
 #: The key of this query's surrogates; a deployment passes its own secret.
@@ -68,7 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text."""
-    return ctph.fingerprint_neighbours(table(spark, sf_dir, "documents"), partitions(spark))
+    return ctph.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
