@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Defined results of all stages: a null text counts as empty and stays null; empty and null texts are clean, copies of
+nothing and free of benchmark items and secrets, so they are kept, and have no tokens; texts of any length are taken
+whole; rows with equal ids are judged each, but rows that are copies of each other are a group like any other; columns
+besides doc_id and text may have any names and values, and stay; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -28,8 +34,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their text replaced and counted anew."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, with secrets in their text replaced and their characters, if there is a count, counted anew."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", tokenize),
 ]
 
-#: No SQL has piecewise models, tilings or merges; tests hold the rows against brute force.
+#: No SQL has piecewise models, tilings or merges; tests hold the rows against the stages as plain functions.
 ORACLE_SQL: str | None = None
 
 
