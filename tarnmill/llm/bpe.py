@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import slices
+from tarnmill.llm.common import slices, tidy
 
 #: Below this code point all Unicode versions agree on what is a letter, a number or white space, so a pattern of plain
 #: ranges splits words; texts that go beyond are split by the tokenizer library's own pre-tokenizer.
@@ -272,7 +272,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids:
                 arrays = [b.column(f.name) for f in keep]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(back, pa.string())], [*(f.name for f in keep), ids, decoded])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in keep)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in keep)).mapInArrow(tidy(run), schema)
 
 
 def digests(coded: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:

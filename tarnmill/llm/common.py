@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import inspect
 import shutil
 import tempfile
 import uuid
@@ -109,6 +111,12 @@ def gathered(df: DataFrame, columns: dict[str, str]) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(r[c], t) for r in rows] or [np.empty(0, t)]) for c, t in columns.items()]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order, by sorting, which large arrays of numbers are fastest at."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * MIX
     x = (x ^ (x >> np.uint64(29))) * MIX
@@ -116,18 +124,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
+def powers_by_size() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Filled by powers(); one for each Python worker."""
+    return {}
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    inverse = np.uint64(pow(int(ODD), -1, 1 << 64))
-    up, down = np.full(n, ODD), np.full(n, inverse)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    """Powers of an odd number and of its inverse, modulo 2^64: n and more of them."""
+    made = powers_by_size()
+    if not made or next(iter(made)) < n:
+        size = 1 << max(16, n.bit_length())
+        up, down = np.full(size, ODD), np.full(size, np.uint64(pow(int(ODD), -1, 1 << 64)))
+        up[0] = down[0] = 1
+        made.clear()
+        made[size] = np.cumprod(up), np.cumprod(down)
+    return next(iter(made.values()))
 
 
 def run_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of bytes: differences of a running polynomial hash, shifted to one place."""
-    size = 1 << max(16, len(data).bit_length())
-    up, down = powers(size)
+    up, down = powers(len(data) + 1)
     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
     return mix((run[stop] - run[start]) * down[start])
 
@@ -137,3 +153,36 @@ def word_hashes(text: str) -> np.ndarray:
     data = LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], BLANK[data], [True])).astype(np.int8)))
     return run_hashes(data, edge[::2], edge[1::2])
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: a Python worker outlives its task, and others run beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass
+
+
+def tidy(run):
+    """A function over batches, a group's table or two groups' tables that gives free memory back at its end."""
+
+    def batches(given):
+        try:
+            yield from run(given)
+        finally:
+            give_back()
+
+    def table(group):
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    def tables(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return batches if inspect.isgeneratorfunction(run) else table if len(inspect.signature(run).parameters) == 1 else tables

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import fold
+from tarnmill.llm.common import fold, tidy
 
 LONGEST, PROFILE, UNKNOWN = 3, 500, "und"
 #: Tables over all n-grams of an alphabet have so many places at most; larger alphabets are searched.
@@ -89,7 +89,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, dict[str,
         for i in range(0, len(rows), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 100_000]], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
 
-    counts = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(tidy(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     profiles: dict[str, dict[str, int]] = defaultdict(dict)
     for r in best.select("lang", "gram", "rank").collect():
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, profiles: dict[str, dict[str, int]], key: str = "d
             found = [who(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [key, "lang_pred", "score"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return docs.select(key, "text").mapInArrow(tidy(run), f"`{key}` {kind}, lang_pred string, score double")
 
 
 def predict(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import fold, forget, materialise, slices
+from tarnmill.llm.common import fold, forget, materialise, slices, tidy
 
 #: At most about so many labelled rows are learned from.
 SAMPLE = 20_000
@@ -204,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     yield from out()
         yield from out()
 
-    counts = materialise(docs.select("doc_id", "text").mapInArrow(count, "feature string, stem boolean, toxic long, clean long").groupBy("feature", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > clean or feature = ''"), "features")
+    counts = materialise(docs.select("doc_id", "text").mapInArrow(tidy(count), "feature string, stem boolean, toxic long, clean long").groupBy("feature", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > clean or feature = ''"), "features")
     totals = counts.where("feature = ''").first()
     if totals is None or not totals.toxic or not totals.clean:
         return Model()
@@ -219,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             got = [(mark, *model.features(text)) for mark, text in rows_of(b)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), *(pa.array([g[k] for g in got], pa.float64()) for k in (1, 2))], ["toxic", "x", "y"])
 
-    points = docs.select("doc_id", "text").mapInArrow(measure, "toxic int, x double, y double").toPandas()
+    points = docs.select("doc_id", "text").mapInArrow(tidy(measure), "toxic int, x double, y double").toPandas()
     model.curve = fit_curve([*zip(points.x, points.y)], [*points.toxic])
     shared.unpersist()
     return model
@@ -234,7 +234,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             for b in slices(whole, "text"):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([*map(model.score, b.column("text").to_pylist())], pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def train_rows(docs: DataFrame) -> DataFrame:
@@ -256,4 +256,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             for b in slices(whole, "text"):
                 yield b.filter(pa.array([model.score(t) < THRESHOLD for t in b.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
