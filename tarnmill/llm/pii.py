@@ -51,11 +51,11 @@ STEMS = {"latin": "Ald Arn Bell Berg Brad Cald Dal Ell Fair Gar Hal Hart Holl Ki
 ENDINGS = {"latin": {g: "ard bach berg by dale er ford hof ley man mond ner sen son stein ston ton well wick worth".split() for g in "mf"}, "cyrillic": {"m": "ин ов ский ынов".split(), "f": "ина ова ская ынова".split()}, "greek": {"m": "ίδης όπουλος άκης άτος".split(), "f": "ίδου οπούλου άκη άτου".split()}}
 KNOWN = "|".join(n for script in GIVEN.values() for names in script.values() for n in names)
 SURNAME = r"\p{Lu}[\p{Ll}'’-]++"
-PERSON = rf"{TITLE}{SURNAME}(?: {SURNAME}){{0,2}}|(?<!\p{{L}})(?:{KNOWN})(?: {SURNAME}){{1,2}}"
+PERSON = rf"{TITLE}{SURNAME}(?: {SURNAME}){{0,2}}|(?=\p{{Lu}})(?<!\p{{L}})(?:{KNOWN})(?: {SURNAME}){{1,2}}"
 TYPES = {"email": EMAIL, "ip": IP, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "person": PERSON}
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 #: What every entity has, and few texts have: tested first, as it is cheap.
-SIGN = rf"[0-9@]|{TITLE}|(?:{KNOWN}) "
+SIGN = rf"[0-9@]|{TITLE}|(?=\p{{Lu}})(?<!\p{{L}})(?:{KNOWN}) \p{{Lu}}"
 
 #: Letters by script and sort; a letter becomes another of its row, so many places on as the key decides.
 ROWS = ["bcdfghjklmnpqrstvwxz", "aeiouy", "бвгджзклмнпрстфхцчшщ", "аеиоуыэюя", "βγδζθκλμνξπρστφχψ", "αεηιουω"]

@@ -70,9 +70,6 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_a_
     p.select(record.alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_a_file).option("compression", compression).text(path)
 
 
-READ = ["file", "offset", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to"]
-
-
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     """The pieces between magic: file, part (the byte range's start), row (in order of place), value."""
     lines = spark.read.option("lineSep", MAGIC.decode()).text(path)
