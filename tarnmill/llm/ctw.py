@@ -34,19 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import SLICE_BYTES, fold, forget, gathered, materialise, mix, partitions, run_hashes, slices
+from tarnmill.llm.common import distinct, fold, forget, gathered, materialise, mix, partitions, run_hashes, slices, tidy
 
 DEPTH, LOW, TOP, SEPARATOR, END = 6, 4, 2, 0x20, 0x0A
 LEAD = bytes(DEPTH - 1) + b" "
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 WORD, EDGE = 0, 1
-#: Bytes of text in a block, and for a slot; edges need no more slots than EDGE_SLOTS, as not all of them are ever used.
-BLOCK_BYTES, SLOT_BYTES, EDGE_SLOTS = 32_000_000, 4_000_000, 4096
-#: Keys that are merged at once, and blocks that ask one copy of a slot.
-HELD, ASKERS = 3_000_000, 2000
+#: Bytes of text in a block, that a task counts before it sends on, and for a slot; edges need no more slots than
+#: EDGE_SLOTS, as not all of them are ever used.
+BLOCK_BYTES, COUNT_BYTES, SLOT_BYTES, EDGE_SLOTS = 16_000_000, 64_000_000, 4_000_000, 4096
+#: Bytes of text that are taken up at once, keys that are merged at once, blocks that ask one copy of a
+#: slot, and slots of each sort for a task.
+PIECE, HELD, ASKERS = 1 << 20, 1_500_000, 2000
+SLOTS_A_TASK = 8
 
 
-def bodies(text: str | None, most: int = SLICE_BYTES) -> Iterator[tuple[bytes, bytes]]:
+def bodies(text: str | None, most: int = PIECE) -> Iterator[tuple[bytes, bytes]]:
     """The text's bytes as coded, in pieces of whole words with the DEPTH bytes before each: bytes.lower() and
     bytes.split() go by A-Z and by space and U+0009 to U+000D alone."""
     data, lead, at = text.encode("utf-8", "surrogatepass").lower() if text else b"", LEAD, 0
@@ -65,15 +68,17 @@ def bodies(text: str | None, most: int = SLICE_BYTES) -> Iterator[tuple[bytes, b
 
 def edges_of(pieces: list[tuple[bytes, bytes]]) -> np.ndarray:
     """The edge of each byte of all bodies: the context, its latest byte in the highest place, and the byte."""
-    data = np.frombuffer(b"".join([x for p in pieces for x in p]), np.uint8).astype(np.uint64)
-    edge = data[DEPTH:].copy()
-    for k in range(1, DEPTH + 1):
-        edge |= data[DEPTH - k : len(data) - k] << np.uint64(8 * (DEPTH + 1 - k))
-    starts = np.cumsum([0, *(len(b) + DEPTH for _, b in pieces[:-1])])
-    inside = np.ones(len(data), bool)
-    for k in range(DEPTH):
-        inside[starts + k] = False
-    return edge[inside[DEPTH:]]
+    data = b"".join([x for p in pieces for x in p])
+    n = len(data) - DEPTH
+    # Eight bytes from each place on, of which the first DEPTH are a context.
+    ahead = np.ndarray((n,), "<u8", data + bytes(8 - DEPTH), strides=(1,))
+    edge = ahead << np.uint64(8 * (8 - DEPTH))
+    edge >>= np.uint64(8 * (7 - DEPTH))
+    edge |= np.frombuffer(data, np.uint8)[DEPTH:]
+    inside = np.ones(n, bool)
+    for k in range(DEPTH):  # where the context is of the piece before
+        inside[np.cumsum([len(b) + DEPTH for _, b in pieces[:-1]], dtype=np.int64) + (k - DEPTH)] = False
+    return edge[inside]
 
 
 def words_of(pieces: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,25 +133,31 @@ class Slots:
             yield int(slot[part[0]]), part
 
 
+def union(parts: list[np.ndarray]) -> np.ndarray:
+    return distinct(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
 class Census:
     """Distinct words and edges of texts, and how often training texts have them."""
 
     def __init__(self):
         self.found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], EDGE: []}
-        self.size = 0
 
     def add(self, pieces: list[tuple[bytes, bytes]], weight: int) -> None:
         for sort, keys in ((WORD, words_of(pieces)[0]), (EDGE, edges_of(pieces))) if pieces else ():
             keys, n = np.unique(keys, return_counts=True)
             self.found[sort].append((keys, n * weight))
-            self.size += len(keys)
-        if self.size > HELD:
-            self.size = sum(len(self.merged(sort)[0]) for sort in self.found) - HELD // 2
+            first, *more = (len(k) for k, _ in self.found[sort])
+            if sum(more) > max(HELD, first):  # what is merged already is merged again only with as many more
+                self.merged(sort)
 
     def merged(self, sort: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.found[sort]) != 1:
-            keys, n = zip(*self.found[sort]) if self.found[sort] else ([np.empty(0, np.uint64)], [np.empty(0, np.int64)])
-            self.found[sort] = [summed(np.concatenate(keys), np.concatenate(n))]
+            keys = union([k for k, _ in self.found[sort]])
+            counts = np.zeros(len(keys), np.int64)
+            for k, n in self.found[sort]:
+                counts[np.searchsorted(keys, k)] += n
+            self.found[sort] = [(keys, counts)]
         return self.found[sort][0]
 
 
@@ -229,20 +240,20 @@ def count(docs: DataFrame, slots: Slots) -> DataFrame:
                     yield rows({"slot": (a, pa.int64()), "keys": (b, pa.binary()), "counts": (c, pa.binary())})
 
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", PIECE):
                 held = np.asarray(b.column("held_out"))
                 texts = b.column("text").to_pylist()
                 for weight in (0, 1):
                     pieces = [p for t, h in zip(texts, held.tolist()) if h != weight for p in bodies(t)]
                     census.add(pieces, weight)
                     taken += sum(len(p) for _, p in pieces)
-                if taken > BLOCK_BYTES:
+                if taken > COUNT_BYTES:
                     yield from out()
                     census, taken = Census(), 0
         yield from out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, size = None, [], 0
+        at, held = None, []
 
         def out() -> pa.RecordBatch:
             keys, n = summed(*(np.concatenate(x) for x in zip(*held)))
@@ -252,18 +263,16 @@ def count(docs: DataFrame, slots: Slots) -> DataFrame:
             for slot, keys, n in zip(b.column("slot").to_pylist(), b.column("keys"), b.column("counts")):
                 if held and slot != at:
                     yield out()
-                    held, size = [], 0
+                    held = []
                 at = slot
                 held.append((unpacked(keys.as_py()), unpacked(n.as_py(), False)))
-                size += len(held[-1][0])
-                if size > 2 * HELD:
+                if sum(len(k) for k, _ in held[1:]) > max(HELD, len(held[0][0])):
                     held = [summed(*(np.concatenate(x) for x in zip(*held)))]
-                    size = len(held[0][0]) // 2
         if held:
             yield out()
 
-    sent = docs.select("held_out", "text").mapInArrow(run, "slot long, keys binary, counts binary")
-    return sent.repartition(partitions(docs.sparkSession), "slot").sortWithinPartitions("slot").mapInArrow(merge, "slot long, keys binary, counts binary, total long, known long")
+    sent = docs.select("held_out", "text").mapInArrow(tidy(run), "slot long, keys binary, counts binary")
+    return sent.repartition(math.ceil(slots.words / SLOTS_A_TASK), "slot").sortWithinPartitions("slot").mapInArrow(tidy(merge), "slot long, keys binary, counts binary, total long, known long")
 
 
 NODES = "node long, zeros double, ones double, weighted double"
@@ -288,7 +297,7 @@ def probabilities(counted: DataFrame, slots: Slots) -> DataFrame:
                 for s in parts(edge):
                     yield pa.RecordBatch.from_pydict(table_of(leaves(edge[s], n[s])[0].up(DEPTH - LOW)[0]))
 
-    low = materialise(edges.mapInArrow(below, NODES), "low")
+    low = materialise(edges.mapInArrow(tidy(below), NODES), "low")
     # Nodes that share the last TOP bytes of context meet in one group, of which there are as many as partitions.
     grouped = low.withColumn("group", F.pmod(F.xxhash64(F.shiftright("node", 8 * (LOW - TOP) + 8)), F.lit(partitions(counted.sparkSession)))).groupBy("group")
     # At most 255 rows for each two bytes, whatever the corpus.
@@ -304,7 +313,7 @@ def probabilities(counted: DataFrame, slots: Slots) -> DataFrame:
         at = np.searchsorted(names, level.nodes)[place]
         return pa.table({"slot": slots.of_low(own.nodes >> 8), "node": own.nodes, "a": top_a[at] + top_b[at] * a, "b": top_b[at] * b})
 
-    upper = grouped.applyInArrow(above, "slot long, node long, a double, b double")
+    upper = grouped.applyInArrow(tidy(above), "slot long, node long, a double, b double")
 
     def chances(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -324,7 +333,7 @@ def probabilities(counted: DataFrame, slots: Slots) -> DataFrame:
             found.append(np.log10(np.where(bits == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1).astype("f4"))
         return pa.table({"slot": pa.array([left["slot"][0].as_py()], pa.int64()), "keys": pa.array([keys], pa.binary()), "values": pa.array([np.concatenate(found).tobytes()], pa.binary())})
 
-    return edges.groupBy("slot").cogroup(upper.groupBy("slot")).applyInArrow(chances, "slot long, keys binary, values binary")
+    return edges.groupBy("slot").cogroup(upper.groupBy("slot")).applyInArrow(tidy(chances), "slot long, keys binary, values binary")
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -335,7 +344,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     slots = Slots(size)
     counted = materialise(count(docs, slots), "counted")
     words = counted.where(F.col("slot") < slots.words)
-    total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    total, known_words = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     known = materialise(words.select("slot", "keys", F.col("counts").alias("values")).unionByName(probabilities(counted, slots)), "known")
     forget(counted)
 
@@ -345,29 +354,34 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     dealt = place.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("place"), F.lit(n)).cast("int").alias("block")).repartition(n, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, census = None, Census()
+        at, found = None, {WORD: [], EDGE: []}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for sort in (WORD, EDGE):
-                keys, _ = census.merged(sort)
-                found = [(slot, packed(keys[x])) for slot, x in slots.split(sort, keys)]
-                for i in range(0, len(found), 1000):
-                    a, b = zip(*found[i : i + 1000])
+            for sort, keys in found.items():
+                keys = union(keys)
+                wanted = [(slot, packed(keys[x])) for slot, x in slots.split(sort, keys)]
+                for i in range(0, len(wanted), 1000):
+                    a, b = zip(*wanted[i : i + 1000])
                     yield rows({"slot": (a, pa.int64()), "copy": ([at % copies] * len(a), pa.int32()), "block": ([at] * len(a), pa.int32()), "keys": (b, pa.binary())})
+                found[sort] = []
 
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", PIECE):
                 block, texts = np.asarray(b.column("block")), b.column("text").to_pylist()
                 for x in np.unique(block).tolist():
                     if at is not None and x != at:
                         yield from out()
-                        census = Census()
                     at = x
-                    census.add([p for t, k in zip(texts, block.tolist()) if k == x for p in bodies(t)], 0)
+                    pieces = [p for t, k in zip(texts, block.tolist()) if k == x for p in bodies(t)]
+                    found[WORD].append(distinct(words_of(pieces)[0]))
+                    found[EDGE].append(distinct(edges_of(pieces)))
+                    for sort, (first, *more) in found.items():
+                        if sum(map(len, more)) > max(HELD, len(first)):
+                            found[sort] = [union([first, *more])]
         if at is not None:
             yield from out()
 
-    asked = dealt.select("text", "block").sortWithinPartitions("block").mapInArrow(ask, "slot long, copy int, block int, keys binary")
+    asked = dealt.select("text", "block").sortWithinPartitions("block").mapInArrow(tidy(ask), "slot long, copy int, block int, keys binary")
     there = known.select("slot", "keys", "values", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -384,40 +398,44 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 out.append(packed(values[at], False) if slot < slots.words else values[at].tobytes())
         return pa.table({"block": left["block"], "slot": left["slot"], "values": pa.array(out, pa.binary())})
 
-    answers = asked.groupBy("slot", "copy").cogroup(there.groupBy("slot", "copy")).applyInArrow(answer, "block int, slot long, values binary")
-    rest = math.log10(total + 0.1 * (distinct + 1))
+    answers = asked.groupBy("slot", "copy").cogroup(there.groupBy("slot", "copy")).applyInArrow(tidy(answer), "block int, slot long, values binary")
+    rest = math.log10(total + 0.1 * (known_words + 1))
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunks = [b for whole in left.select(["text"]).to_batches() for b in slices(whole, "text")]
-        census = Census()
-        for b in chunks:
-            census.add([p for t in b.column("text").to_pylist() for p in bodies(t)], 0)
+        # Of each slice: its rows, the row and length of each piece, where pieces' tokens begin, and its keys as places among
+        # its distinct ones, which is a search in order.
+        chunks = []
+        for whole in left.select(["text"]).to_batches():
+            for b in slices(whole, "text", PIECE):
+                pieces = [(i, p) for i, t in enumerate(b.column("text").to_pylist()) for p in bodies(t)]
+                own = [p for _, p in pieces]
+                words, starts = words_of(own)
+                found = {}
+                for sort, keys in ((WORD, words), (EDGE, edges_of(own))):
+                    own_keys, place = np.unique(keys, return_inverse=True)
+                    found[sort] = own_keys, place.astype(np.int32)
+                chunks.append((b.num_rows, np.array([i for i, _ in pieces]), np.array([len(p) for _, p in own]), starts, found))
         replies = dict(zip(right["slot"].to_pylist(), right["values"]))
         told = {}
         for sort, kind in ((WORD, np.int64), (EDGE, np.float32)):
-            keys, _ = census.merged(sort)
+            keys = union([found[sort][0] for *_, found in chunks])
             values = np.empty(len(keys), kind)
             for slot, at in slots.split(sort, keys):
                 reply = replies[slot].as_py()
                 values[at] = unpacked(reply, False) if sort == WORD else np.frombuffer(reply, "f4")
             told[sort] = keys, values
         n_tokens, n_known, base, score, n_bytes = ([] for _ in range(5))
-        for b in chunks:
-            pieces = [(i, p) for i, t in enumerate(b.column("text").to_pylist()) for p in bodies(t)]
-            of_doc, own = np.array([i for i, _ in pieces]), [p for _, p in pieces]
-            keys, starts = words_of(own)
-            c = told[WORD][1][np.searchsorted(told[WORD][0], keys)]
-            lp = told[EDGE][1][np.searchsorted(told[EDGE][0], edges_of(own))].astype(float)
-            lengths = np.array([len(p) for _, p in own])
-            add = lambda x: np.bincount(of_doc, x, b.num_rows)  # noqa: B023, E731
-            n_tokens.append(add(np.diff(np.append(starts, len(keys)))))
+        for n, of_doc, lengths, starts, found in chunks:
+            c, lp = (told[sort][1][np.searchsorted(told[sort][0], own_keys)][place] for sort, (own_keys, place) in found.items())
+            add = lambda x: np.bincount(of_doc, x, n)  # noqa: B023, E731
+            n_tokens.append(add(np.diff(np.append(starts, len(c)))))
             n_known.append(add(np.add.reduceat((c > 0).astype(float), starts)))
             base.append(add(np.add.reduceat(np.log10(c + 0.1) - rest, starts)))
-            score.append(add(np.add.reduceat(lp, np.cumsum(lengths) - lengths)))
+            score.append(add(np.add.reduceat(lp.astype(float), np.cumsum(lengths) - lengths)))
             n_bytes.append(add(lengths))
         n_tokens, n_known, base, score, n_bytes = (np.concatenate(x) if x else np.empty(0) for x in (n_tokens, n_known, base, score, n_bytes))
         found = (n_tokens.astype(np.int64), n_known.astype(np.int64), np.full(len(base), total, np.int64), base, score, -score / math.log10(2) / np.maximum(n_bytes, 1))
         return pa.table([left["doc_id"], left["held_out"], *map(pa.array, found)], ["doc_id", "held_out", *names])
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(back, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy(back), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
