@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnmill.llm import bpe, ctph, ctw, decontaminate, jaccard, langid, pii, secrets, toxicity, warc
-from tarnmill.llm.common import new_path, table
+from tarnmill.llm.common import WORD, new_path, table
 
 
 #: The key of this query's surrogates; a deployment passes its own secret.
@@ -84,4 +84,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ctph": op10_ctph,
 }
 
-ORACLES: dict[str, str] = {}
+def in_sql(pattern: str) -> str:
+    """A pattern as SQL text; possessive repeats, which the other engine lacks, give the same matches there as plain ones."""
+    return "'" + pattern.replace("'", "''").replace("}+", "}").replace("++", "+") + "'"
+
+
+def secret_parts(kind: int) -> str:
+    """The parts of a kind as SQL: where each starts follows from the gaps and matches before it."""
+    name = secrets.KINDS[kind]
+    pattern = in_sql("[A-Za-z0-9+/_-]{20,}" if name == "token" else secrets.PATTERNS[name])
+    good = {"assign": "length(v) >= 6", "token": "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]')"}.get(name, "true")
+    rows = f"select doc_id, unnest(regexp_extract_all(text, {pattern})) as m, unnest(regexp_extract_all(text, {pattern}, {2 if kind == 0 else 0})) as v, unnest(string_split_regex(text, {pattern})) as gap, unnest(range(1, len(string_split_regex(text, {pattern})) + 1)) as i from d"
+    return f"select doc_id, {kind} as kind, last - length(m) as first, last from (select *, sum(length(gap) + length(m)) over (partition by doc_id order by i) as last from ({rows}) where m is not null) where {good}"
+
+
+def near(which: str) -> str:
+    return f"(coalesce(max(case when {which} then last end) over before, -{secrets.SCOPE} - 1) >= first - {secrets.SCOPE} or coalesce(min(case when {which} then first end) over after, last + {secrets.SCOPE} + 1) <= last + {secrets.SCOPE})"
+
+
+SECRETS = f"""with d as (select doc_id, coalesce(text, '') as text from documents), p as ({" union all ".join(secret_parts(k) for k in range(len(secrets.KINDS)))}),
+n as (select *, coalesce(max(case when kind < 3 then last end) over before, 0) > first or coalesce(min(case when kind < 3 then first end) over after, last) < last as inside,
+  case kind when 5 then {near("kind in (1, 3, 4)")} when 3 then {near("kind in (0, 2, 5)")} else {near("kind in (0, 5)")} or ({near("kind = 2")} and {near("kind in (1, 3)")}) end as linked
+  from p window before as (partition by doc_id order by first, kind rows between unbounded preceding and 1 preceding), after as (partition by doc_id order by first, kind rows between 1 following and unbounded following)),
+r as (select *, [{", ".join(f"'{k}'" for k in secrets.KINDS)}][kind + 1] || ':' || first || ':' || last as t from n where kind < 3 or (not inside and linked))
+select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, sha256(coalesce(string_agg(t, ',' order by first, kind) filter (kind < 3), '')) as base_sha256, coalesce(string_agg(t, ',' order by first, kind) filter (t is not null), '') as spans, count(*) filter (kind >= 3) as n_linked from d left join r using (doc_id) group by doc_id"""
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+COPIES = f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from w),
+g as (select doc_id, len(s) as n, unnest(s) as g from s),
+e as (select a.doc_id as u, b.doc_id as v from g a join g b using (g) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id having 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+r as (select doc_id as node, doc_id as root from documents union select e.v, r.root from r join e on r.node = e.u), m as (select node, min(root) as least from r group by node)
+select doc_id, cast(len(s) as bigint) as n_shingles, least as component_id from s join m on node = doc_id"""
+
+FIVE = "cast('0x' || s[(i // 4) * 5 + 1:(i // 4) * 5 + 5] as bigint)"
+PAGES = f"""with p as (select page_id, coalesce(html, '') as h from pages), f as (select page_id, h, min(page_id) over (partition by h) as first, sha1(h) as s from p)
+select page_id, cast(strlen(h) as bigint) as payload_bytes, array_to_string(list_transform(range(32), lambda i: '{warc.BASE32}'[cast(({FIVE} >> (15 - 5 * (i % 4))) & 31 as int) + 1]), '') as payload_digest,
+case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type, case when page_id is distinct from first then first end as refers_to from f"""
+
+#: The others have no SQL: merges of byte pairs, greedy tilings, context trees, profiles of letter runs, keyed surrogates that
+#: are tried again, automata, piecewise hashes. Tests hold them against brute force.
+ORACLES: dict[str, str] = {"op1_secrets": SECRETS, "op3_jaccard": COPIES, "op6_warc": PAGES}

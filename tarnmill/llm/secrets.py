@@ -33,7 +33,7 @@ HEX = r"[0-9a-f]{24,}+"
 #: Weak parts: identifiers, endpoints, random-looking tokens.
 IDENTIFIER = r"""\b(?i:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}+"""
 ENDPOINT = r"""\b(?i:https?|ftps?|ssh|jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]++|\b(?i:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{3,}+"""
-RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[^A-Z\s]*+[A-Z])(?=[^a-z\s]*+[a-z])[A-Za-z0-9+/_-]{20,}+"
+RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+"
 KINDS = ["assign", "access", "hex", "identifier", "endpoint", "token"]
 PATTERNS = dict(zip(KINDS, [ASSIGN, ACCESS, HEX, IDENTIFIER, ENDPOINT, RANDOM]))
 STRONG = 3
