@@ -43,7 +43,7 @@ def ranges(general: str) -> str:
 SPACE, LETTERS, NUMBERS = r"\t-\r \x85\xa0", ranges("L"), ranges("N")
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BEYOND = re.compile(f"[{chr(AGREED)}-\U0010ffff]")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 LONG_WORD = 48
 #: The rank of a pair that no merge has.
 NEVER = 1 << 50
@@ -271,6 +271,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids:
                 back = [c.decode(flat[i:j].tolist()) for i, j in zip(ends, ends[1:])]
                 arrays = [b.column(f.name) for f in keep]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(back, pa.string())], [*(f.name for f in keep), ids, decoded])
+        c.cache = dict(c.special_cache)  # the worker stays, its next task may be another's
 
     return docs.select(*(F.col(f"`{f.name}`") for f in keep)).mapInArrow(tidy(run), schema)
 
