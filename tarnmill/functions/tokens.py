@@ -61,9 +61,22 @@ def of_json(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.coalesce(F.octet_length(c), F.lit(0)) / 4)).cast("long")
 
 
-def of_block(kind: Column, text: Column, result: Column, payload: Column, raw: Column) -> Column:
-    """Tokens of a content block by its type."""
-    return F.when(kind.isin("text", "str"), estimate(text)).when(kind == "tool_result", estimate(result)).when(kind == "tool_use", of_json(payload)).when(kind == "image", F.lit(IMAGE).cast("long")).otherwise(F.floor(F.coalesce(F.octet_length(raw), F.lit(4)) / 4).cast("long"))
+def of_list(content: Column) -> Column:
+    """Tokens of a result's list of blocks, given as JSON: texts each by itself, images, and other blocks by their JSON."""
+    field = lambda v, key: F.try_variant_get(v, f"$.{key}", "string")
+
+    def one(v: Column) -> Column:
+        rough = F.floor(F.octet_length(F.to_json(v)) / 4).cast("long")
+        loose = F.when(F.schema_of_variant(v) == "STRING", F.floor(F.length(F.try_variant_get(v, "$", "string")) / 4).cast("long"))
+        return F.coalesce(F.when(field(v, "type") == "text", estimate(field(v, "text"))).when(field(v, "type") == "image", F.lit(IMAGE).cast("long")), loose, rough)
+
+    return F.aggregate(F.transform(F.from_json(content, "array<variant>"), one), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def of_block(kind: Column, text: Column, result: Column, payload: Column, raw: Column, listed: Column | None = None) -> Column:
+    """Tokens of a content block by its type; listed: a result's list of blocks as JSON, where that is what it has."""
+    of_result = estimate(result) if listed is None else F.when(listed.isNotNull(), of_list(listed)).otherwise(estimate(result))
+    return F.when(kind.isin("text", "str"), estimate(text)).when(kind == "tool_result", of_result).when(kind == "tool_use", of_json(payload)).when(kind == "image", F.lit(IMAGE).cast("long")).otherwise(F.floor(F.coalesce(F.octet_length(raw), F.lit(4)) / 4).cast("long"))
 
 
 def char_threshold(budget: int) -> int:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tarnmill.functions import compress, dom, text, tokens
 from tarnmill.functions.tools import minify_tools
 from tarnmill.operators import history
+from tarnmill.sources.requests import flat_text
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,9 @@ class Config:
 
 
 def block_tokens() -> Column:
-    return tokens.of_block(F.col("type"), F.col("text"), F.col("tr_text"), F.col("input_json"), F.col("raw_json"))
+    # A list that a stage has rewritten is one text block now.
+    as_it_was = F.coalesce(F.schema_of_variant(F.try_parse_json("tr_json")).startswith("ARRAY") & F.col("tr_text").eqNullSafe(flat_text(F.col("tr_json"))), F.lit(False))
+    return tokens.of_block(F.col("type"), F.col("text"), F.col("tr_text"), F.col("input_json"), F.col("raw_json"), F.when(F.col("tr_json").isNotNull() & as_it_was, F.col("tr_json")))
 
 
 class Optimized(NamedTuple):
