@@ -9,7 +9,7 @@ from tarnmill.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, small, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "labels", "pages"):
         c.sql(f"create view {t} as select * from '{small}/{t}.parquet'")
     df = QUERIES[name](spark, small)
     names = sorted(df.columns)
