@@ -12,6 +12,7 @@ repeated rows are packed each; other columns of the input may have any names; an
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,58 +24,99 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnmill.llm.bpe import LETTERS, NUMBERS, SPACE
 from tarnmill.llm.common import materialise, slices, tidy
 
 LENGTH, OPEN, FAN = 2048, 32, 64
 #: A gap of fewer tokens is padded: a document isn't cut for it.
 SHORTEST = 16
-#: Words that a worker keeps, the longest of them, and the bytes of a text that are split into words at once.
-CACHED_WORDS, LONG_WORD, STRETCH = 200_000, 64, 1 << 20
-BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Pieces that a worker keeps, twice, the longest of them; letters of a text that are split, and of texts whose pieces are
+#: looked up, at once.
+CACHED_PIECES, LONG_PIECE, STRETCH, AT_ONCE = 200_000, 64, 1 << 20, 4 << 20
+BLANK = re.compile(r"[\x20\x09-\x0D]")
+#: The alternatives of the pre-tokenizer's pattern, below U+0300 but for U+0130, where normal forms change
+#: nothing and lower case is one letter for one.
+PIECES_OF = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
+BEYOND = re.compile("[\u0130\u0300-\U0010ffff]")
+MIXED = re.compile(rf"[^\x20\x09-\x0D]*{BEYOND.pattern}[^\x20\x09-\x0D]*|'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
 #: sequence_id has the round and the task above these bits.
 LOCAL, TASK = 30, 26
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 ALL = PIECES + ", open boolean, task long"
 
 
+def pieces_of(text: str) -> list[str]:
+    """The pieces in which the tokenizer's normalizer and pre-tokenizer leave a text, or words that only the library can
+    split: those with letters of which Unicode versions or rules of lower case differ."""
+    if not BEYOND.search(text):
+        return PIECES_OF.findall(text.lower())
+    return [x if BEYOND.search(x) else x.lower() for x in MIXED.findall(text)]
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file whose words don't reach across ASCII white space: distinct words are encoded once
-    by the library and kept, up to a bound; texts with a special token's string go to it whole."""
+    """Ids of texts by the tokenizer file whose words have ends: as no merge reaches beyond a piece, distinct pieces are
+    encoded once by the library and kept, up to a bound; texts with a special token's string go to it whole."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's; idle threads of the library would spin
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
-        return [self.whole(r) if any(s in r for s in self.special) else b"".join(map(self.stretch, stretches(r))) for r in (t.encode("utf-8", "surrogatepass") for t in texts)]
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(c.ids, "<u4").tobytes() for c in self.library.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-
-    def whole(self, text: bytes) -> bytes:
-        return self.ids([text])[0]
-
-    def stretch(self, text: bytes) -> bytes:
-        words = text.split()
-        fresh = [*({*words} - self.known.keys())]
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known, fresh = {}, [*{*words}]
-        if fresh:
-            self.known.update(zip(fresh, self.ids(fresh)))
-        ids = b"".join(map(self.known.__getitem__, words))
-        for w in fresh:
-            if len(w) > LONG_WORD:
-                del self.known[w]
-        return ids
-
-
-def stretches(text: bytes) -> Iterator[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts, size = [], 0
+        for ids, text in zip(out, texts):
+            if any(s in text for s in self.special):
+                ids += self.apart([text])
+                continue
+            for part in stretches(text):
+                parts.append((ids, pieces_of(part)))
+                size += len(part)
+                if size > AT_ONCE:
+                    self.take(parts)
+                    parts, size = [], 0
+        self.take(parts)
+        return [b"".join(ids) for ids in out]
+
+    def apart(self, texts: list[str]) -> list[bytes]:
+        return [np.array(c.ids, "<u4").tobytes() for c in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """The same for pieces, as one text, which costs much less; places tell whose a token is."""
+        coded = self.library.encode(" ".join(pieces), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(x) + 1 for x in pieces)])
+        ids, places = np.array(coded.ids, "<u4"), np.fromiter((i for i, _ in coded.offsets), np.int64, len(coded.ids))
+        cuts = (4 * np.searchsorted(places, starts)).tolist()
+        flat = ids.tobytes()
+        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def take(self, parts: list[tuple[list[bytes], list[str]]]) -> None:
+        """The ids of pieces go to the list beside them; new pieces are encoded together."""
+        fresh = set().union(*(x for _, x in parts)) - self.known.keys()
+        still = fresh & self.older.keys()
+        self.known.update((x, self.older[x]) for x in still)
+        fresh -= still
+        odd = [x for x in fresh if BEYOND.search(x)]
+        for pieces, coded in (([*fresh.difference(odd)], self.together), (odd, self.apart)):
+            for i in range(0, len(pieces), 10_000):
+                self.known.update(zip(pieces[i : i + 10_000], coded(pieces[i : i + 10_000])))
+        for ids, own in parts:
+            ids.append(b"".join(map(self.known.__getitem__, own)))
+        for x in fresh:
+            if len(x) > LONG_PIECE:
+                del self.known[x]
+        if len(self.known) > CACHED_PIECES:
+            self.known, self.older = {}, self.known
+
+
+def stretches(text: str) -> Iterator[str]:
     """A long text in parts that end at white space."""
     i = 0
     while len(text) - i > STRETCH and (blank := BLANK.search(text, i + STRETCH)):
@@ -210,7 +252,7 @@ def pack_texts(documents: DataFrame, vocabulary: str, end: int, length: int, mos
                     yield batch(out, first_id(0, task), False, task)
         if out := [*packer.left()]:
             yield batch(out, first_id(0, task), True, task)
-        coder.known = {}  # the worker stays, its next task may be another's
+        coder.known, coder.older = {}, {}  # the worker stays, its next task may be another's
 
     return documents.select("doc_id", "text").mapInArrow(tidy(run), ALL)
 
