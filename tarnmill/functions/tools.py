@@ -18,20 +18,23 @@ LEAD_INS = [r"(?iU)^\s*Use this(?: tool)? to\b.*?\.\s+", r"(?iU)^\s*This tool\b.
 LEAST = 200
 
 
-@F.pandas_udf(StringType())
-def strip_schema(schemas: pd.Series) -> pd.Series:
-    def bare(x):
-        if isinstance(x, dict):
-            return {k: bare(v) for k, v in x.items() if k not in NOISE}
-        return [bare(v) for v in x] if isinstance(x, list) else x
+def bare(x):
+    if isinstance(x, dict):
+        return {k: bare(v) for k, v in x.items() if k not in NOISE}
+    return [bare(v) for v in x] if isinstance(x, list) else x
+
+
+def bare_schema(s: str) -> str:
+    """A schema's JSON without noise at any depth; what is no JSON stays."""
+    try:
+        return s and json.dumps(bare(json.loads(s)), ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return s
 
-    def one(s: str | None) -> str | None:
-        try:
-            return s and json.dumps(bare(json.loads(s)), ensure_ascii=False, separators=(",", ":"))
-        except (ValueError, RecursionError):
-            return s
 
-    return schemas.map(one)
+@F.pandas_udf(StringType())
+def strip_schema(schemas: pd.Series) -> pd.Series:
+    return schemas.map(lambda s: s and bare_schema(s))
 
 
 def compress_description(c: Column) -> Column:
@@ -47,7 +50,11 @@ def compress_description(c: Column) -> Column:
     return strip(first)
 
 
+def slim_description(c: Column) -> Column:
+    return F.when(F.length(c) >= LEAST, compress_description(c)).otherwise(c)
+
+
 def minify_tools(tools: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """tools (name, description, schema_json) made smaller, but for the names to skip."""
     keep = F.col("name").isin(*skip) if skip else F.lit(False)
-    return tools.withColumn("description", F.when(~keep & (F.length("description") >= LEAST), compress_description(F.col("description"))).otherwise(F.col("description"))).withColumn("schema_json", F.when(keep, F.col("schema_json")).otherwise(strip_schema("schema_json")))
+    return tools.withColumn("description", F.when(keep, F.col("description")).otherwise(slim_description(F.col("description")))).withColumn("schema_json", F.when(keep, F.col("schema_json")).otherwise(strip_schema("schema_json")))

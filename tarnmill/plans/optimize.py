@@ -115,8 +115,8 @@ def optimize(blocks: DataFrame, cfg: Config, systems: DataFrame | None = None, t
     if cfg.tool_compress:
         # The one reducer that runs in Python gets what can be JSON of the results that are left, and nulls else.
         mine = (F.col("type") == "tool_result") & (F.col("role") == "user") & ~F.col("_gone") & (F.length("tr_text") >= compress.LEAST)
-        b = b.withColumn("_result", F.when(mine, F.col("tr_text"))).withColumn("_json", F.when(F.col("_result").rlike(r"^\s*[\[{]"), F.col("_result")))
-        b = b.withColumn("_packed", F.when(F.col("_result").isNotNull(), compress.compress_text(F.col("_result"), compress.compact_json("_json"))))
+        b = b.withColumn("_result", F.when(mine, F.col("tr_text"))).withColumn("_json", compress.compact_json(F.when(F.col("_result").rlike(r"^\s*[\[{]"), F.col("_result"))))
+        b = b.withColumn("_packed", F.when(F.col("_result").isNotNull(), compress.compress_text(F.col("_result"), F.col("_json"))))
     else:
         b = b.withColumn("_packed", F.lit(None).cast("string"))
     b = b.withColumn("compressed", F.col("_packed").isNotNull()).withColumn("tr_text", F.coalesce("_packed", "tr_text"))

@@ -290,7 +290,7 @@ def compress_source(spark, sf_dir):
 def compress_json(spark, sf_dir):
     row = F.concat(F.lit('        {"id":    '), F.col("event_id").cast("string"), F.lit(',    "type":    "'), "event_type", F.lit('"}'))
     t = read(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit("[\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", row.alias("r")))), lambda x: x["r"]), ",\n"), F.lit("\n]")).alias("t"))
-    return t.select("user_id", compress.compress_text(F.col("t"), compress.compact_json("t")).alias("out"))
+    return t.withColumn("j", compress.compact_json("t")).select("user_id", compress.compress_text(F.col("t"), F.col("j")).alias("out"))
 
 
 REPORT = "'commit ' || doc_id || E'\\nAuthor: a\\nDate: d\\n\\n+' || replace(regexp_replace(replace(text, chr(13), ' '), '\\n$', ''), chr(10), E'\\n+')"

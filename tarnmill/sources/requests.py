@@ -14,9 +14,11 @@ FIELDS = "map<string,variant>"
 
 
 def read_bodies(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """request_id and body: a body for each line, or for each file."""
+    """request_id and body: a body for each line, or for each file. Equal bodies have ids of their own: beside the digest of
+    file and body an id has the row's number, which stays the same when a task runs again."""
     lines = spark.read.text(path, wholetext=whole_files).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
-    return lines.select(F.sha2(F.concat_ws("\u0001", "file", "body"), 256).alias("request_id"), "body")
+    digest = F.sha2(F.concat_ws("\u0001", "file", "body"), 256)
+    return lines.select(F.concat_ws("-", digest, F.lower(F.hex(F.monotonically_increasing_id()))).alias("request_id"), "body")
 
 
 def detect_format(path: Column) -> Column:
