@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -24,15 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.bpe import LETTERS, NUMBERS, SPACE
+from tarnmill.llm.bpe import LETTERS, NUMBERS, SPACE, byte_letters
 from tarnmill.llm.common import materialise, slices, tidy
 
 LENGTH, OPEN, FAN = 2048, 32, 64
 #: A gap of fewer tokens is padded: a document isn't cut for it.
 SHORTEST = 16
-#: Pieces that a worker keeps, twice, the longest of them; letters of a text that are split, and of texts whose pieces are
-#: looked up, at once.
-CACHED_PIECES, LONG_PIECE, STRETCH, AT_ONCE = 200_000, 64, 1 << 20, 4 << 20
+#: Pieces that a worker keeps, twice, and the longest of them; letters of a text that are split at once.
+CACHED_PIECES, LONG_PIECE, STRETCH = 200_000, 64, 1 << 20
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 #: The alternatives of the pre-tokenizer's pattern, below U+0300 but for U+0130, where normal forms change
 #: nothing and lower case is one letter for one.
@@ -53,9 +53,40 @@ def pieces_of(text: str) -> list[str]:
     return [x if BEYOND.search(x) else x.lower() for x in MIXED.findall(text)]
 
 
+class Known(dict):
+    """The ids of pieces, as little-endian 32-bit numbers, worked out when they are first asked for. Two generations are
+    kept: what was asked for since the last change of generation, and before it."""
+
+    def __init__(self, library):
+        self.library, self.tokenize, self.older = library, library.model.tokenize, {}
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if BEYOND.search(piece):
+                found = self.library.encode(piece, add_special_tokens=False).ids
+            else:
+                plain = piece.isascii() and piece.isprintable()  # such letters stand for their own bytes
+                found = [t.id for t in self.tokenize(piece if plain else piece.encode().decode("latin-1").translate(self.letters))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > CACHED_PIECES:
+            self.older = dict(self)
+            self.clear()
+
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
+
 class Encoder:
     """Ids of texts by the tokenizer file whose words have ends: as no merge reaches beyond a piece, distinct pieces are
-    encoded once by the library and kept, up to a bound; texts with a special token's string go to it whole."""
+    encoded once by the library's model and kept, up to a bound; texts with a special token's string go to it whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's; idle threads of the library would spin
@@ -65,55 +96,18 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit numbers."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        parts, size = [], 0
-        for ids, text in zip(out, texts):
-            if any(s in text for s in self.special):
-                ids += self.apart([text])
-                continue
-            for part in stretches(text):
-                parts.append((ids, pieces_of(part)))
-                size += len(part)
-                if size > AT_ONCE:
-                    self.take(parts)
-                    parts, size = [], 0
-        self.take(parts)
-        return [b"".join(ids) for ids in out]
-
-    def apart(self, texts: list[str]) -> list[bytes]:
-        return [np.array(c.ids, "<u4").tobytes() for c in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def together(self, pieces: list[str]) -> list[bytes]:
-        """The same for pieces, as one text, which costs much less; places tell whose a token is."""
-        coded = self.library.encode(" ".join(pieces), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(x) + 1 for x in pieces)])
-        ids, places = np.array(coded.ids, "<u4"), np.fromiter((i for i, _ in coded.offsets), np.int64, len(coded.ids))
-        cuts = (4 * np.searchsorted(places, starts)).tolist()
-        flat = ids.tobytes()
-        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
-
-    def take(self, parts: list[tuple[list[bytes], list[str]]]) -> None:
-        """The ids of pieces go to the list beside them; new pieces are encoded together."""
-        fresh = set().union(*(x for _, x in parts)) - self.known.keys()
-        still = fresh & self.older.keys()
-        self.known.update((x, self.older[x]) for x in still)
-        fresh -= still
-        odd = [x for x in fresh if BEYOND.search(x)]
-        for pieces, coded in (([*fresh.difference(odd)], self.together), (odd, self.apart)):
-            for i in range(0, len(pieces), 10_000):
-                self.known.update(zip(pieces[i : i + 10_000], coded(pieces[i : i + 10_000])))
-        for ids, own in parts:
-            ids.append(b"".join(map(self.known.__getitem__, own)))
-        for x in fresh:
-            if len(x) > LONG_PIECE:
-                del self.known[x]
-        if len(self.known) > CACHED_PIECES:
-            self.known, self.older = {}, self.known
+        self.known = Known(self.library)
+
+    def encode(self, text: str) -> bytes:
+        """A text's ids as little-endian 32-bit numbers."""
+        if any(s in text for s in self.special):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        out = []
+        for part in stretches(text):
+            out.append(b"".join(map(self.known.__getitem__, pieces_of(part))))
+            self.known.age()
+        return b"".join(out)
 
 
 def stretches(text: str) -> Iterator[str]:
@@ -247,12 +241,12 @@ def pack_texts(documents: DataFrame, vocabulary: str, end: int, length: int, mos
         for whole in batches:
             for b in slices(whole, "text"):
                 texts = [x or "" for x in b.column("text").to_pylist()]
-                out = [row for doc, ids in zip(b.column("doc_id").to_pylist(), coder.encode(texts)) for row in packer.add(doc, 0, ids + last, len(ids) // 4 + 1)]
+                out = [row for doc, ids in zip(b.column("doc_id").to_pylist(), map(coder.encode, texts)) for row in packer.add(doc, 0, ids + last, len(ids) // 4 + 1)]
                 if out:
                     yield batch(out, first_id(0, task), False, task)
         if out := [*packer.left()]:
             yield batch(out, first_id(0, task), True, task)
-        coder.known, coder.older = {}, {}  # the worker stays, its next task may be another's
+        coder.known.forget()  # the worker stays, its next task may be another's
 
     return documents.select("doc_id", "text").mapInArrow(tidy(run), ALL)
 
