@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tarnmill.functions import compress, dom, rewrite, text, tokens, tools
 from tarnmill.operators import adapters, history, memory
 from tarnmill.plans import catalog
+from tarnmill.plans.bodies import minify
 from tarnmill.plans.optimize import Config, cumulative, optimize
 from tarnmill.streaming import response
 
@@ -519,6 +520,7 @@ def conversation_blocks(spark, sf_dir):
     return turns(spark, sf_dir).select("request_id", "msg_idx", F.lit(-1).alias("blk_idx"), "role", F.lit("str").alias("type"), "text", *(none.alias(c) for c in ("tool_id", "tool_name", "input_json", "tr_text", "tr_json", "raw_json", "msg_json")))
 
 
+EST = "case when length({0}) = 0 then 0 else greatest(1, length({0}) // 4) end"
 SLIM = "regexp_replace({0}, '^\\n+|\\n+$', '', 'g')".format(BLANKS.format("text"))
 
 
@@ -533,6 +535,37 @@ def optimize_requests(spark, sf_dir):
     return stats.select("request_id", "tokens_in", "tokens_out", "distill_count", "budget_dropped")
 
 
+#: Every conversation as a body in three formats, each of them twice.
+FORMATS = {"anthropic": "/v1/messages", "openai": "/v1/chat/completions", "ollama": "/api/chat"}
+
+
+def conversation_bodies(spark, sf_dir) -> DataFrame:
+    message = F.struct("msg_idx", "role", F.coalesce("text", F.lit("")).alias("content"))
+    b = turns(spark, sf_dir).groupBy("request_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    body = F.to_json(F.named_struct(F.lit("model"), F.lit("any"), F.lit("messages"), F.transform("m", lambda x: F.named_struct(F.lit("role"), x["role"], F.lit("content"), x["content"]))))
+    paths = F.array(*(F.named_struct(F.lit("fmt"), F.lit(f), F.lit("path"), F.lit(p), F.lit("copy"), F.lit(c)) for f, p in FORMATS.items() for c in (0, 1)))
+    return b.select("request_id", body.alias("body"), F.explode(paths).alias("x")).select(F.concat_ws("-", "request_id", "x.fmt", F.col("x.copy").cast("string")).alias("request_id"), "body", "x.path")
+
+
+@query(f"""with src as (select cast(conv_id as varchar) as conv, cast(turn as int) as i, role, coalesce(text, '') as text from conversations), f(fmt, flat) as (values ('anthropic', false), ('openai', true), ('ollama', true)),
+r as (select conv || '-' || fmt as rid, flat, i, role, text from src, f), y as (select rid, string_agg(text, E'\\n\\n' order by i) filter (text <> '') as said from r where flat and role = 'system' group by rid),
+z as (select distinct r.rid, coalesce(said, '') as said, case when said is null then '' else {plain_sql("said")} end as told from r left join y on r.rid = y.rid),
+m as (select rid, text as was, place, n, case when n >= 2 then {SLIM} else text end as text from (select *, row_number() over (partition by rid order by i) - 1 as place, count(*) over (partition by rid) as n from r where not flat or (role <> 'system' and not (role = 'assistant' and text = '')))),
+d as (select *, n >= 2 and place < n - 2 and length(text) > 360 as old, case when n >= 2 and place < n - 2 and length(text) > 360 then {DISTILL} else text end as now from m),
+t as (select *, 4 + {EST.format("was")} as tok_in, 4 + {EST.format("now")} as tok from d), p as (select *, coalesce(sum(tok) over (partition by rid order by place rows between unbounded preceding and 1 preceding), 0) as prefix from t),
+g as (select z.rid, any_value(told) as told, coalesce(max(n), 0) as n, coalesce(sum(tok_in), 0) + any_value({EST.format("said")}) as tokens_in, coalesce(sum(tok), 0) + any_value({EST.format("told")}) as total, count(*) filter (was <> text) as messages_minified, count(*) filter (old) as distill_count from z left join p on z.rid = p.rid group by z.rid),
+l as (select g.rid, min(place) filter (place >= 1 and place <= g.n - 2 and total - prefix <= {BUDGET}) as least, max(place) filter (place >= 1 and place <= g.n - 2) as most from g left join p on g.rid = p.rid group by g.rid),
+k as (select g.*, case when total <= {BUDGET} or n <= 2 then 0 else coalesce(least, most, 0) end as gone from g join l using (rid)),
+o as (select k.rid, any_value(tokens_in) as tokens_in, coalesce(sum(tok) filter (place >= gone), 0) + any_value({EST.format("told")}) as tokens_out, any_value(messages_minified) as messages_minified, any_value(distill_count) as distill_count, any_value(gone) as budget_dropped,
+  count(*) filter (place >= gone) + any_value(case when told <> '' then 1 else 0 end) as n_messages, sha256(any_value(case when told <> '' then told || chr(1) else '' end) || coalesce(string_agg(now || chr(1), '' order by place) filter (place >= gone), '')) as texts from k left join p on k.rid = p.rid group by k.rid)
+select rid || '-' || c as request_id, {", ".join(f"cast({c} as bigint) as {c}" for c in ("tokens_in", "tokens_out", "messages_minified", "distill_count", "budget_dropped", "n_messages"))}, texts from o, (values (0), (1)) v(c)""")
+def minify_bodies(spark, sf_dir):
+    done = minify(conversation_bodies(spark, sf_dir), Config(token_budget=BUDGET, keep_last=KEEP))
+    said = F.from_json("body", "messages array<struct<role:string,content:string>>")["messages"]
+    texts = F.sha2(F.array_join(F.transform(said, lambda x: F.concat(x["content"], F.lit("\u0001"))), "").cast("binary"), 256)
+    return done.select("request_id", "tokens_in", "tokens_out", "messages_minified", "distill_count", "budget_dropped", F.size(said).cast("long").alias("n_messages"), texts.alias("texts"))
+
+
 #: Requests with pairs: of three messages of a conversation in a row the second uses a tool, the third has its result, which
 #: is the same long text in all of a conversation.
 ROWS = "repeat('a row of the result ', 20) || request_id"
@@ -554,9 +587,6 @@ def paired_tables(spark, sf_dir):
     return blocks, systems, tool
 
 
-EST = "case when length({0}) = 0 then 0 else greatest(1, length({0}) // 4) end"
-
-
 @query(f"""with m as (select cast(conv_id as varchar) as request_id, cast(turn as int) as msg_idx, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn) - 1 as place, count(*) over (partition by conv_id) as n from conversations),
 b as (select *, place % 3 as third, {ROWS} as res, max(case when place % 3 = 2 then place end) over (partition by request_id) as last_res, {SLIM} as slim from m),
 s as (select *, third = 0 and n >= 2 and place < n - 2 and length(slim) > 360 as old, third = 2 and place < last_res as stub from b),
