@@ -12,6 +12,7 @@ repeated rows are packed each; other columns of the input may have any names; an
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -32,11 +33,12 @@ LENGTH, OPEN, FAN = 2048, 32, 64
 #: A gap of fewer tokens is padded: a document isn't cut for it.
 SHORTEST = 16
 #: Pieces that a worker keeps, twice, and the longest of them; letters of a text that are split at once.
-CACHED_PIECES, LONG_PIECE, STRETCH = 200_000, 64, 1 << 20
+CACHED_PIECES, LONG_PIECE, STRETCH = 300_000, 64, 1 << 20
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 #: The alternatives of the pre-tokenizer's pattern, below U+0300 but for U+0130, where normal forms change
 #: nothing and lower case is one letter for one.
-PIECES_OF = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
+PIECES_OF = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
+ASCII_PIECES = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9]+")
 BEYOND = re.compile("[\u0130\u0300-\U0010ffff]")
 MIXED = re.compile(rf"[^\x20\x09-\x0D]*{BEYOND.pattern}[^\x20\x09-\x0D]*|'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
 #: sequence_id has the round and the task above these bits.
@@ -48,6 +50,8 @@ ALL = PIECES + ", open boolean, task long"
 def pieces_of(text: str) -> list[str]:
     """The pieces in which the tokenizer's normalizer and pre-tokenizer leave a text, or words that only the library can
     split: those with letters of which Unicode versions or rules of lower case differ."""
+    if text.isascii():
+        return ASCII_PIECES.findall(text.lower())
     if not BEYOND.search(text):
         return PIECES_OF.findall(text.lower())
     return [x if BEYOND.search(x) else x.lower() for x in MIXED.findall(text)]
@@ -64,11 +68,12 @@ class Known(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            if BEYOND.search(piece):
+            if piece.isascii() and piece.isprintable():  # such letters stand for their own bytes
+                found = [t.id for t in self.tokenize(piece)]
+            elif BEYOND.search(piece):
                 found = self.library.encode(piece, add_special_tokens=False).ids
             else:
-                plain = piece.isascii() and piece.isprintable()  # such letters stand for their own bytes
-                found = [t.id for t in self.tokenize(piece if plain else piece.encode().decode("latin-1").translate(self.letters))]
+                found = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
             ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= LONG_PIECE:
             self[piece] = ids
@@ -238,15 +243,19 @@ def pack_texts(documents: DataFrame, vocabulary: str, end: int, length: int, mos
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         coder, packer, last = encoder(vocabulary), Packer(length, most), np.array([end], "<u4").tobytes()
-        for whole in batches:
-            for b in slices(whole, "text"):
-                texts = [x or "" for x in b.column("text").to_pylist()]
-                out = [row for doc, ids in zip(b.column("doc_id").to_pylist(), map(coder.encode, texts)) for row in packer.add(doc, 0, ids + last, len(ids) // 4 + 1)]
-                if out:
-                    yield batch(out, first_id(0, task), False, task)
-        if out := [*packer.left()]:
-            yield batch(out, first_id(0, task), True, task)
-        coder.known.forget()  # the worker stays, its next task may be another's
+        gc.disable()  # millions of pieces, none of which can be in a cycle
+        try:
+            for whole in batches:
+                for b in slices(whole, "text"):
+                    texts = [x or "" for x in b.column("text").to_pylist()]
+                    out = [row for doc, ids in zip(b.column("doc_id").to_pylist(), map(coder.encode, texts)) for row in packer.add(doc, 0, ids + last, len(ids) // 4 + 1)]
+                    if out:
+                        yield batch(out, first_id(0, task), False, task)
+            if out := [*packer.left()]:
+                yield batch(out, first_id(0, task), True, task)
+        finally:
+            gc.enable()
+            coder.known.forget()  # the worker stays, its next task may be another's
 
     return documents.select("doc_id", "text").mapInArrow(tidy(run), ALL)
 
