@@ -26,12 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import free_name, materialise
+from tarnmill.llm.common import forget, free_name, materialise
 
 WIDER, LAST, SALTS = 6, 100, 16
 
 #: Fixed patterns, tried in this order at each place.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 IBAN = r"(?=[A-Z]{2}\d)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -60,6 +60,11 @@ SIGN = rf"[0-9@]|{TITLE}|(?=\p{{Lu}})(?<!\p{{L}})(?:{KNOWN}) \p{{Lu}}"
 #: Letters by script and sort; a letter becomes another of its row, so many places on as the key decides.
 ROWS = ["bcdfghjklmnpqrstvwxz", "aeiouy", "бвгджзклмнпрстфхцчшщ", "аеиоуыэюя", "βγδζθκλμνξπρστφχψ", "αεηιουω"]
 PLAIN = ("áàâäãåéèêëíìîïóòôöõúùûüýÿñçßά έήίόύώё", "aaaaaaeeeeiiiiooooouuuuyyncsα εηιουωе")
+#: Other scripts by the range of letters that stand for each other, all of them assigned: first letter and how many.
+SCRIPTS = {
+    "Han": (0x4E00, 20902), "Hangul": (0xAC00, 11172), "Arabic": (0x0628, 19), "Hebrew": (0x05D0, 27), "Devanagari": (0x0915, 37), "Bengali": (0x0995, 20), "Tamil": (0x0BAE, 12), "Thai": (0x0E01, 46),
+    "Hiragana": (0x3041, 86), "Katakana": (0x30A1, 90), "Armenian": (0x0561, 38), "Georgian": (0x10D0, 33), "Ethiopic": (0x1208, 63),
+}
 
 
 def has_any(text: Column) -> Column:
@@ -94,9 +99,16 @@ def canonical(kind: Column, found: Column) -> Column:
 
 
 def letter(c: str, n: str) -> str:
-    """Another letter of c's script, sort and case; what is no letter of a known script stays."""
+    """Another letter of c's script and case, and of its sort where that is known, or a digit for another number."""
     low = f"translate(lower({c}), '{PLAIN[0]}', '{PLAIN[1]}')"
-    new = f"CASE WHEN {low} = '' THEN ''" + "".join(f" WHEN contains('{row}', {low}) THEN substring('{row}', (instr('{row}', {low}) + {n} % {len(row) - 1}) % {len(row)} + 1, 1)" for row in ROWS) + f" ELSE {low} END"
+    new = f"CASE WHEN {low} = '' THEN ''" + "".join(f" WHEN contains('{row}', {low}) THEN substring('{row}', (instr('{row}', {low}) + {n} % {len(row) - 1}) % {len(row)} + 1, 1)" for row in ROWS)
+    for script, (first, many) in SCRIPTS.items():
+        # As many places on as the key decides, but not all round; a letter outside the range takes any of it.
+        place = f"if(ascii({low}) BETWEEN {first} AND {first + many - 1}, (ascii({low}) - {first} + 1 + {n} % {many - 1}) % {many}, {n} % {many})"
+        new += f" WHEN rlike({low}, r'\\p{{Is{script}}}') THEN decode(unhex(lpad(hex({first} + {place}), 4, '0')), 'UTF-16BE')"
+    for script, row in (("Cyrillic", ROWS[2]), ("Greek", ROWS[4])):
+        new += f" WHEN rlike({low}, r'\\p{{Is{script}}}') THEN substring('{row}', {n} % {len(row)} + 1, 1)"
+    new += f" WHEN rlike({low}, r'\\p{{N}}') THEN cast({n} % 10 as string) ELSE substring('{ROWS[0]}', {n} % {len(ROWS[0])} + 1, 1) END"
     return f"if({c} = lower({c}), {new}, upper({new}))"
 
 
@@ -109,6 +121,19 @@ def stream(kind: str, form: str, key: str) -> str:
     return f"array_join(transform(sequence(0, shiftright(length({form}), 5)), b -> sha2(concat_ws('\\u0001', '{quoted(key)}', {kind}, {form}, cast(tries as string), cast(b as string)), 512)), '')"
 
 
+def blocks(part: str, key: str, of: str) -> str:
+    """The same for a part of a long entity, as an array with the digits of 32 letters in each element; _whole is the digest
+    of the entity's form."""
+    return f"transform(sequence(0, shiftright(length({part}), 5)), b -> sha2(concat_ws('\\u0001', '{quoted(key)}', '{of}', _whole, cast(tries as string), cast(b as string)), 512))"
+
+
+def replaced_by_place(shape: str, digits: str) -> str:
+    """shape with its letters and digits replaced, each by the four digits of its place in blocks()."""
+    n = f"cast(conv(substring(element_at({digits}, cast(shiftright(i, 5) as int) + 1), (i % 32) * 4 + 1, 4), 16, 10) as int)"
+    new = f"CASE WHEN NOT rlike(c, r'[\\p{{L}}\\p{{N}}]') THEN c WHEN c BETWEEN '0' AND '9' THEN cast((cast(c as int) + 1 + {n} % 9) % 10 as string) ELSE {letter('c', n)} END"
+    return f"if({shape} = '', '', array_join(transform(split({shape}, ''), (c, i) -> {new}), ''))"
+
+
 def replaced(shape: str, digits: str, keep_first: str = "0", keep_last: str = "0") -> str:
     """shape with its letters and digits replaced, the j-th by the j-th four digits, all but so many at its ends."""
     plain, n = r"rlike(c, r'[\p{L}\p{N}]')", f"cast(conv(substring({digits}, a.j * 4 + 1, 4), 16, 10) as int)"
@@ -151,18 +176,19 @@ def with_surrogates(e: DataFrame, key: str) -> DataFrame:
     names = e.columns
     add = lambda d, **more: d.selectExpr("*", *(f"{sql} AS {c}" for c, sql in more.items()))
     e = add(
-        e, _hex=stream("kind", "form", key), _title=f"if(kind = 'person', regexp_extract(found, r'^({TITLE})', 1), '')", _domain="if(kind = 'email', substring_index(found, '@', -1), '')",
+        e, _whole="sha2(form, 256)", _hex=stream("kind", "if(kind = 'email', sha2(form, 256), form)", key), _title=f"if(kind = 'person', regexp_extract(found, r'^({TITLE})', 1), '')", _domain="if(kind = 'email', substring_index(found, '@', -1), '')",
         _gender="if(kind = 'person', substring(form, 1, 1), '')",
-        _shape="CASE WHEN kind = 'email' THEN substring_index(found, '@', 1) WHEN kind IN ('ip', 'person') THEN '' ELSE found END",
+        _shape="CASE WHEN kind IN ('email', 'ip', 'person') THEN '' ELSE found END",
+        _local="if(kind = 'email', substring_index(found, '@', 1), '')",
         _first=r"CASE kind WHEN 'card' THEN 1 WHEN 'iban' THEN 2 WHEN 'phone' THEN length(regexp_extract(found, r'^\+(\d{1,3})(?=[ .-])', 1)) ELSE 0 END",
     )
-    e = add(e, _new=replaced("_shape", "_hex", "_first"), _inner=r"regexp_extract(_domain, r'^((?:[^.]+\.)*)[^.]+\.[^.]+$', 1)", _back="reverse(_hex)", _name=f"regexp_replace(found, r'^{TITLE}', '')")
-    e = add(e, _digits=r"regexp_replace(_new, r'\D', '')")
-    e = add(e, _rest=luhn_sum("concat(substring(_digits, 1, length(_digits) - 1), '0')") + " % 10", _good=luhn_sum("form") + " % 10 = 0")
+    e = add(e, _new=replaced("_shape", "_hex", "_first"), _inner="substring(_domain, 1, length(_domain) - length(substring_index(_domain, '.', -2)))", _name=f"regexp_replace(found, r'^{TITLE}', '')")
+    e = add(e, _digits=r"if(kind = 'card', regexp_replace(_new, r'\D', ''), '')", _form="if(kind = 'card', form, '')", _of_local=blocks("_local", key, "local"), _of_inner=blocks("_inner", key, "inner"))
+    e = add(e, _rest=luhn_sum("concat(substring(_digits, 1, length(_digits) - 1), '0')") + " % 10", _good=luhn_sum("_form") + " % 10 = 0", _local_now=replaced_by_place("_local", "_of_local"), _inner_now=replaced_by_place("_inner", "_of_inner"))
     # Mail: inner labels of the domain are replaced, the label before the last becomes the reserved one.
     wide = f"translate(substring(_hex, 1, least(2 * (tries - {WIDER}) + 6, 60)), '0123456789abcdef', '{ROWS[0][:16]}')"
     label = f"if(tries >= {WIDER}, concat({wide}, '.'), '')"
-    mail = f"concat(_new, '@', {replaced('_inner', '_back')}, {label}, 'example.', substring_index(_domain, '.', -1))"
+    mail = f"concat(_local_now, '@', _inner_now, {label}, 'example.', substring_index(_domain, '.', -1))"
     # Network addresses: each number from 1 to 254.
     address = "concat_ws('.', " + ", ".join(f"cast(cast(conv(substring(_hex, {1 + 4 * k}, 4), 16, 10) as int) % 254 + 1 as string)" for k in range(4)) + ")"
     # Cards: the last digit satisfies the check if the original's did.
@@ -180,12 +206,14 @@ def with_surrogates(e: DataFrame, key: str) -> DataFrame:
 
 
 def settled(occurrences: DataFrame, key: str) -> DataFrame:
-    """kind, form, tries of every entity, as a written table: how often each had to try until no surrogate was taken."""
+    """kind, form, tries of every entity, as a written table: how often each had to try until no surrogate was taken. The
+    tables of its rounds are deleted."""
     found = occurrences.groupBy("found").count().drop("count")  # copies meet before types are worked out
     typed = found.withColumn("kind", type_of(F.col("found"))).withColumn("form", canonical(F.col("kind"), F.col("found")))
     now = materialise(typed.groupBy("kind", "form").agg(F.min("found").alias("found")).withColumn("tries", F.lit(0)), "entities")
     real = now.select("kind", F.col("form").alias("new"))
     done: DataFrame | None = None
+    tables = [now]
     for tried in range(LAST):
         # Written out before the joins: the optimizer would carry these long expressions through every constraint.
         made = materialise(with_surrogates(now, key).withColumn("new", canonical(F.col("kind"), F.col("surrogate"))), "made")
@@ -195,8 +223,12 @@ def settled(occurrences: DataFrame, key: str) -> DataFrame:
         first = materialise(first.withColumn("tries", F.lit(tried)), "settled")
         done = first if done is None else done.unionByName(first)
         now = materialise(now.join(first, ["kind", "form"], "left_anti").withColumn("tries", F.lit(tried + 1)), "again")
+        tables += [made, first, now]
         if now.isEmpty():
-            return done.select("kind", "form", "tries")
+            found = materialise(done.select("kind", "form", "tries"), "tries")
+            for t in tables:
+                forget(t)
+            return found
     left = {r["kind"]: r["count"] for r in now.groupBy("kind").count().collect()}
     raise RuntimeError(f"no surrogates of their own after {LAST} tries: {left}")
 
@@ -215,7 +247,10 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     occurrences = materialise(hit.select(F.col(row).alias("row"), F.explode(F.array_distinct(found)).alias("found")), "occurrences")
     each = occurrences.groupBy("found").count().drop("count").withColumn("kind", type_of(F.col("found"))).withColumn("form", canonical(F.col("kind"), F.col("found")))
-    made = materialise(with_surrogates(materialise(each, "each").join(settled(occurrences, key), ["kind", "form"]), key).select("found", "kind", "surrogate"), "made")
+    each, tries = materialise(each, "each"), settled(occurrences, key)
+    made = materialise(with_surrogates(each.join(tries, ["kind", "form"]), key).select("found", "kind", "surrogate"), "made")
+    forget(each)
+    forget(tries)
     salted = made.select("found", F.struct("kind", "surrogate").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     back = occurrences.distinct().withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["found", "salt"])
     of_row = back.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("found", "s"))).alias(of)).withColumnRenamed("row", row)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -414,6 +415,61 @@ def test_pii(spark):
     assert pii.replace_entities(none(spark), "k").count() == 0
 
 
+def mail_by_rule(found, key):
+    """A mail address's surrogate, restated: each letter's place, the keyed digits of it, and another letter of its row."""
+    form = found.lower()
+    whole = hashlib.sha256(form.encode()).hexdigest()
+    local, domain = found.split("@")
+    inner = "".join(x + "." for x in domain.split(".")[:-2])
+
+    def number(of, i):
+        made = hashlib.sha512("\u0001".join([key, of, whole, "0", str(i // 32)]).encode()).hexdigest()
+        return int(made[i % 32 * 4 : i % 32 * 4 + 4], 16)
+
+    def other(c, n):
+        low = c.lower().translate(str.maketrans(*pii.PLAIN))
+        row = next((r for r in pii.ROWS if low in r), None)
+        if "0" <= c <= "9":
+            return str((int(c) + 1 + n % 9) % 10)
+        if row:
+            new = row[(row.index(low) + 1 + n % (len(row) - 1)) % len(row)]
+        elif at := next(((a, m) for script, (a, m) in pii.SCRIPTS.items() if unicodedata.name(low).startswith({"Han": "CJK"}.get(script, script.upper()))), None):
+            first, many = at
+            inside = first <= ord(low) < first + many
+            new = chr(first + ((ord(low) - first + 1 + n % (many - 1)) % many if inside else n % many))
+        elif low.isnumeric():
+            new = str(n % 10)
+        else:
+            row = next((r for name, r in (("CYRILLIC", pii.ROWS[2]), ("GREEK", pii.ROWS[4])) if unicodedata.name(low).startswith(name)), pii.ROWS[0])
+            new = row[n % len(row)]
+        return new if c == c.lower() else new.upper()
+
+    swap = lambda of, t: "".join(other(c, number(of, i)) if unicodedata.category(c)[0] in "LN" else c for i, c in enumerate(t))
+    return f"{swap('local', local)}@{swap('inner', inner)}example.{domain.split('.')[-1]}"
+
+
+def test_pii_of_every_script(spark):
+    rng = random.Random(8)
+    letters = [*"abzAZ09éÉñłžŐßøæđıķ", *"李明谢김철", *"محمدگچ", *"שלום", *"हिन्दी", *"ขอบ", *"жЖіЇ", *"λΩϊ", *"かナヺ", *"აბԱա", *"٣½", *"ሀሁ", *"._%+-", "\u0d05", "\u1e9e", "ﬁ", "𝒜"]
+    mails = ["".join(rng.choices(letters, k=rng.randint(1, 40))) + rng.choice(["@firma.com", "@a1.Sub.firma.co", "@x.y"]) for _ in range(300)]
+    mails += ["李明@firma.com", "محمد@firma.com", "łžő@firma.com", "x" * 100 + "@" + "ab1." * 100 + "de"]
+    rows = [(i, f"to {m} now") for i, m in enumerate(mails)]
+    out = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, m in enumerate(mails):
+        (found,) = out[i].pii
+        assert out[i].text == f"to {found.surrogate} now" and found.kind == "email"
+        local, new = m.split("@")[0], found.surrogate.split("@")[0]
+        assert len(local) == len(new) and all(a != b for a, b in zip(local, new) if a.isalnum()), (m, found)
+        assert found.surrogate == mail_by_rule(m, "k") or mails.count(m) > 1 or len(local) < 4, (m, found, mail_by_rule(m, "k"))
+
+
+def test_pii_of_an_address_of_a_million_labels(spark):
+    """Longer than any stack: no pattern may go one deeper for each label."""
+    text = "to x@" + "ab." * 1_000_000 + "com and y@" + "c-9." * 5_000 + "de"
+    row = pii.replace_entities(spark.createDataFrame([(1, text), (2, "@" * 500_000), (3, "a." * 500_000 + "@"), (4, "1 " * 500_000)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert len(row[0].pii) == 2 and "ab." * 3 not in row[0].text and row[0].text.endswith(".example.de") and [r.text for r in row[1:3]] == ["@" * 500_000, "a." * 500_000 + "@"]
+
+
 def test_pii_gives_more_addresses_than_their_shape_has_surrogates(spark, monkeypatch):
     rows = [(i, f"hr@c{i}.com") for i in range(500)]  # two consonants: 400 surrogates
     docs = spark.createDataFrame(rows, "doc_id long, text string")
