@@ -474,35 +474,44 @@ def stream_filter(spark, sf_dir):
     return whole.select("stream_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text"))
 
 
-#: The sizes of example models, by tier.
-MODELS = [(1, "dense 3B", 4.0, 2.0, 57344, 131072), (2, "MoE 8B-A1B", 4.0, 2.6, 8192, 131072), (3, "dense 8B", 8.0, 4.7, 65536, 131072), (4, "MoE 8B-A1B", 8.0, 5.2, 8192, 131072), (5, "dense 8B", 16.0, 8.0, 20480, 262144), (6, "MoE 35B-A3B", 16.0, 12.74, 5120, 262144), (7, "dense 70B", 16.0, 40.0, 81920, 131072)]
-MODEL_SQL = "m(model_id, name, vram_gb, size_gb, kv_bytes, native_ctx) as (values " + ", ".join(f"({a}, '{b}', {c}::double, {d}::double, {e}, {f})" for a, b, c, d, e, f in MODELS) + ")"
+#: A model for each brand of part, sized by that brand's parts: memory, weights, bytes of cache a token, trained context.
+MODEL_SQL = "brands as (select cast(regexp_replace(p_brand, '[^0-9]', '', 'g') as bigint) as model_id, p_brand as name, max(p_size) as most, count(*) as n, min(p_partkey) as first from part group by p_brand), m as (select model_id, name, case model_id % 3 when 0 then 4e0 when 1 then 8e0 else 16e0 end as vram_gb, cast(most * (1 + n % 3) as double) / 16 as size_gb, 4096 * (1 + first % 20) as kv_bytes, 65536 * (1 + n % 4) as native_ctx from brands)"
+
+
+def brand_models(spark, sf_dir) -> DataFrame:
+    b = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.max("p_size").alias("most"), F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    b = b.withColumn("model_id", F.regexp_replace("name", "[^0-9]", "").cast("long"))
+    tier = F.when(F.col("model_id") % 3 == 0, 4.0).when(F.col("model_id") % 3 == 1, 8.0).otherwise(16.0)
+    size = (F.col("most") * (1 + F.col("n") % 3)).cast("double") / 16
+    return b.select("model_id", "name", tier.alias("vram_gb"), size.alias("size_gb"), (4096 * (1 + F.col("first") % 20)).alias("kv_bytes"), (65536 * (1 + F.col("n") % 4)).alias("native_ctx"))
+
+
 SIZED = f"{MODEL_SQL}, k as (select unnest({catalog.CONTEXTS}) as ctx), u as (select unnest({catalog.BATCHES}) as ub), w as (select *, size_gb * 1.05 as w, vram_gb - size_gb * 1.05 - (0.4 + {{free}}) as free from m), f as (select model_id, max_by(struct_pack(ctx := ctx, ub := ub), ctx::bigint * 10000 + ub) as best from w, k, u where ctx <= native_ctx and ctx::double * kv_bytes / 1073741824.0 + ub * 0.00084 <= free group by model_id), r as (select w.*, case when free > 0 then coalesce(best.ctx, 16384) else 8192 end as ctx, case when free > 0 then coalesce(best.ub, 512) else 512 end as ub, free > 0 as offload from w left join f using (model_id))"
 
 
 @query(f"with {SIZED.format(free=1.0)} select model_id, cast(ctx as int) as ctx, cast(ub as int) as ub, offload from r")
 def recommend(spark, sf_dir):
-    return catalog.recommend(catalog.models(spark, MODELS)).select("model_id", "ctx", "ub", "offload")
+    return catalog.recommend(brand_models(spark, sf_dir)).select("model_id", "ctx", "ub", "offload")
 
 
 @query(f"with {MODEL_SQL} select model_id, name, cast(vram_gb as double) as vram_gb from m where vram_gb = 8")
 def presets(spark, sf_dir):
-    return catalog.models(spark, MODELS).where("vram_gb = 8").select("model_id", "name", "vram_gb")
+    return brand_models(spark, sf_dir).where("vram_gb = 8").select("model_id", "name", "vram_gb")
 
 
 @query(f"with {MODEL_SQL} select cast(vram_gb as double) as tier_gb, string_agg(name, ',' order by model_id) as names from m group by all")
 def presets_by_tier(spark, sf_dir):
-    return catalog.presets_by_tier(catalog.models(spark, MODELS)).select("tier_gb", F.array_join("names", ",").alias("names"))
+    return catalog.presets_by_tier(brand_models(spark, sf_dir)).select("tier_gb", F.array_join("names", ",").alias("names"))
 
 
 @query(f"with {SIZED.format(free=1.0)} select model_id, 'llama-server -m ' || name || ' -c ' || ctx || ' -ngl 999 -fa on -ctk q4_0 -ctv q4_0 -np 1 -b 2048 -ub ' || ub || ' --alias tarnmill --host 127.0.0.1 --port 8080 --kv-unified' || case when offload then '' else ' --no-kv-offload' end as command from r")
 def server_commands(spark, sf_dir):
-    return catalog.recommend(catalog.models(spark, MODELS)).select("model_id", catalog.server_command(F.col("name")).alias("command"))
+    return catalog.recommend(brand_models(spark, sf_dir)).select("model_id", catalog.server_command(F.col("name")).alias("command"))
 
 
 @query(f"with {SIZED.format(free=0.3)}, e as (select *, cast(floor(ctx / (1 - 85.4 / 100)) as bigint) as effective_ctx from r), b as (select *, row_number() over (partition by vram_gb order by effective_ctx desc, model_id) as n from e) select vram_gb as tier_gb, model_id, effective_ctx from b where n = 1")
 def context_presets(spark, sf_dir):
-    sized = catalog.recommend(catalog.models(spark, MODELS), 0.3).withColumn("effective_ctx", catalog.effective_context(F.col("ctx"), F.lit(85.4))).withColumn("tier_gb", F.col("vram_gb"))
+    sized = catalog.recommend(brand_models(spark, sf_dir), 0.3).withColumn("effective_ctx", catalog.effective_context(F.col("ctx"), F.lit(85.4))).withColumn("tier_gb", F.col("vram_gb"))
     return catalog.best_for_tier(sized).select("tier_gb", "model_id", "effective_ctx")
 
 
