@@ -14,6 +14,7 @@ from tarnmill.functions import compress, dom, rewrite, text, tokens, tools
 from tarnmill.operators import adapters, history, memory
 from tarnmill.plans import catalog
 from tarnmill.plans.bodies import minify
+from tarnmill.plans.once import count_once, minify_once, minify_tools_once
 from tarnmill.plans.optimize import Config, cumulative, optimize
 from tarnmill.streaming import response
 
@@ -569,7 +570,16 @@ o as (select k.rid, any_value(tokens_in) as tokens_in, coalesce(sum(tok) filter
   count(*) filter (place >= gone) + any_value(case when told <> '' then 1 else 0 end) as n_messages, sha256(any_value(case when told <> '' then told || chr(1) else '' end) || coalesce(string_agg(now || chr(1), '' order by place) filter (place >= gone), '')) as texts from k left join p on k.rid = p.rid group by k.rid)
 select rid || '-' || c as request_id, {", ".join(f"cast({c} as bigint) as {c}" for c in ("tokens_in", "tokens_out", "messages_minified", "distill_count", "budget_dropped", "n_messages"))}, texts from o, (values (0), (1)) v(c)""")
 def minify_bodies(spark, sf_dir):
-    done = minify(conversation_bodies(spark, sf_dir), Config(token_budget=BUDGET, keep_last=KEEP))
+    return told(minify(conversation_bodies(spark, sf_dir), Config(token_budget=BUDGET, keep_last=KEEP)))
+
+
+@query(ORACLES["minify_bodies"])
+def minify_bodies_once(spark, sf_dir):
+    return told(minify_once(conversation_bodies(spark, sf_dir), Config(token_budget=BUDGET, keep_last=KEEP)))
+
+
+def told(done: DataFrame) -> DataFrame:
+    """Counts of minified bodies, and a digest of their texts."""
     said = F.from_json("body", "messages array<struct<role:string,content:string>>")["messages"]
     texts = F.sha2(F.array_join(F.transform(said, lambda x: F.concat(x["content"], F.lit("\u0001"))), "").cast("binary"), 256)
     return done.select("request_id", "tokens_in", "tokens_out", "messages_minified", "distill_count", "budget_dropped", F.size(said).cast("long").alias("n_messages"), texts.alias("texts"))
@@ -612,3 +622,19 @@ def optimize_with_tools(spark, sf_dir):
     blocks, systems, tool = paired_tables(spark, sf_dir)
     stats = optimize(blocks, Config(token_budget=BUDGET, keep_last=KEEP), systems, tool).stats
     return stats.select("request_id", "tokens_in", "tokens_out", "tools_minified", "system_minified", "dedup_count", "distill_count", "budget_dropped")
+
+
+#: Each line of an order as a request with one of a few tools.
+USE = "'Use this tool to ship line ' || l_linenumber || '. ' || repeat('Status ' || l_linestatus || l_returnflag || '. ', 30)"
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, trim(repeat('Status ' || l_linestatus || l_returnflag || '. ', 30)) as description, '{"type":"object","n":' || l_linenumber || '}' as schema_json from lineitem""")
+def tools_once(spark, sf_dir):
+    schema = F.concat(F.lit('{"type":"object","title":"T","n":'), F.col("l_linenumber").cast("string"), F.lit("}"))
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("ship").alias("name"), F.expr(USE).alias("description"), schema.alias("schema_json"))
+    return minify_tools_once(t).drop("name")
+
+
+@query(f"select doc_id, cast(case when text is null then 0 else {EST.format('text')} end as bigint) as tokens from documents")
+def token_count_once(spark, sf_dir):
+    return count_once(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokens.estimate, "tokens").drop("text")
