@@ -29,6 +29,7 @@ from tarnmill.functions import tools
 from tarnmill.plans.bodies import COUNTS, minify
 from tarnmill.plans.optimize import Config
 from tarnmill.sources.requests import detect_format
+from tarnmill.sources.tables import complete, remove
 
 #: A content is hot if it holds more than one of so many rows; its copies are spread over so many keys.
 HOT_SHARE, SALTS = 1000, 64
@@ -52,16 +53,8 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def files(self, pattern: str):
-        """(file system, paths that match) under the folder."""
-        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        at = jvm.Path(f"{self.path}/{pattern}")
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs, [f.getPath() for f in fs.globStatus(at) or []]
-
     def runs(self, work: str) -> list[str]:
-        """The complete runs: those that Spark's committer has marked."""
-        return sorted(str(p.getParent().toString()) for p in self.files(f"{work}/run-*/_SUCCESS")[1])
+        return complete(self.spark, f"{self.path}/{work}/run-*")
 
     def results(self, work: str) -> DataFrame | None:
         """All kept results of some work, with their digest in _key; one that two runs added stands there twice."""
@@ -78,9 +71,7 @@ class Store:
         if len(runs) < 2:
             return
         self.add(work, self.spark.read.parquet(*runs).dropDuplicates(["_key"]))
-        fs, _ = self.files(work)
-        for r in runs:
-            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(r), True)
+        remove(self.spark, runs)
 
 
 def once(rows: DataFrame, contents: list[str], work: Callable[[DataFrame], DataFrame], store: Store | None = None, name: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from tarnmill.plans import catalog
 from tarnmill.plans.bodies import minify
 from tarnmill.plans.once import count_once, minify_once, minify_tools_once
 from tarnmill.plans.optimize import Config, cumulative, optimize
-from tarnmill.streaming import response
+from tarnmill.streaming import response, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -638,3 +638,22 @@ def tools_once(spark, sf_dir):
 @query(f"select doc_id, cast(case when text is null then 0 else {EST.format('text')} end as bigint) as tokens from documents")
 def token_count_once(spark, sf_dir):
     return count_once(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokens.estimate, "tokens").drop("text")
+
+
+def event_runs(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("ts", F.col("event_id").alias("run_id"), "user_id", "event_type", F.col("event_id").alias("tokens_in"), (F.col("event_id") - F.col("event_id") % 7).alias("tokens_out"))
+
+
+RUN_SUMS = "count(*) as runs, cast(sum(event_id) as bigint) as tokens_in, cast(sum(event_id - event_id % 7) as bigint) as tokens_out, cast(sum(event_id % 7) as bigint) as saved, case when sum(event_id) > 0 then round(sum(event_id % 7) / sum(event_id), 4) else 0e0 end as ratio"
+
+
+@query(f"select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, {RUN_SUMS} from events group by all")
+def usage_windows(spark, sf_dir):
+    hours = usage.windows(event_runs(spark, sf_dir), "1 hour", "10 minutes", ("event_type",))
+    return hours.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+@query(f"select user_id, {RUN_SUMS} from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 60 group by user_id")
+def last_runs(spark, sf_dir):
+    return usage.last_runs(event_runs(spark, sf_dir), "user_id")
