@@ -9,11 +9,13 @@ the runner-up's distance.
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text if nothing can be
 learned; a text with letters but no known n-gram gets the first language by name, with score 0; ties of n-grams go to
 the smaller n-gram, ties of languages to the first by name. Repeated rows stay; other columns are ignored; an empty
-table gives an empty table. Rows without language or text aren't learned from.
+table gives an empty table. Rows without language or text aren't learned from. Very long texts are counted
+whole, in parts cut at blanks, so memory grows with the longest word and not with the text.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import fold, tidy
+from tarnmill.llm.common import fold, slices, tidy
 
 LONGEST, PROFILE, UNKNOWN = 3, 500, "und"
+BLANK = re.compile(r"\s")
 #: Tables over all n-grams of an alphabet have so many places at most; larger alphabets are searched.
 TABLE = 1 << 24
+#: Letters that are looked at together, and n-grams that a task holds before it sends them on.
+PIECE, HELD = 1 << 20, 1 << 18
 
 
 @lru_cache(1)
@@ -43,6 +48,16 @@ def codes(text: str) -> np.ndarray:
     return c[(c > 0) | np.concatenate(([True], c[:-1] > 0))]
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text in parts of about PIECE letters, cut at blanks, over which no n-gram and no rule of lower case reaches."""
+    at = 0
+    while at < len(text):
+        blank = BLANK.search(text, at + PIECE)
+        to = blank.start() if blank else len(text)
+        yield text[at:to]
+        at = to
+
+
 def places(d: np.ndarray, size: int) -> list[np.ndarray]:
     """The places of all n-grams of a text, given as letters from 1 to size - 1 and 0 between words: of one, two and
     three letters, the last two padded with one blank on each side of a word."""
@@ -56,12 +71,19 @@ def gram(place: int, n: int, size: int, alphabet: list[str]) -> str:
 
 
 def count_grams(texts: list[str]) -> Counter[str]:
-    c = codes(" ".join(texts))
+    found: Counter[str] = Counter()
+    for part in pieces(" ".join(texts)):
+        found.update(count_part(part))
+    return found
+
+
+def count_part(text: str) -> Counter[str]:
+    c = codes(text)
     present = np.unique(c)
     size, alphabet = len(present), [" ", *(chr(x) for x in present[1:])]
     found: Counter[str] = Counter()
     for n, x in enumerate(places(np.searchsorted(present, c), size), 1):
-        if size**n <= TABLE:
+        if size**n <= min(TABLE, PIECE + 4 * len(x)):
             counts = np.bincount(x, minlength=size**n)
             at = np.flatnonzero(counts)
             counts = counts[at]
@@ -79,12 +101,18 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, dict[str,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter[str]] = defaultdict(Counter)
         for b in batches:
-            texts: dict[str, list[str]] = defaultdict(list)
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                texts[lang].append(text)
-            for lang, own in texts.items():
-                for i in range(0, len(own), 1000):
-                    found[lang].update(count_grams(own[i : i + 1000]))
+            for piece in slices(b, "text"):
+                texts: dict[str, list[str]] = defaultdict(list)
+                for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").to_pylist()):
+                    texts[lang].append(text)
+                for lang, own in texts.items():
+                    found[lang].update(count_grams(own))
+                if sum(map(len, found.values())) > HELD:
+                    yield from sent(found)
+                    found.clear()
+        yield from sent(found)
+
+    def sent(found: dict[str, Counter[str]]) -> Iterator[pa.RecordBatch]:
         rows = [(lang, g, n) for lang, x in found.items() for g, n in x.items()]
         for i in range(0, len(rows), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 100_000]], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
@@ -123,17 +151,20 @@ class Identifier:
                 self.find.append((np.append(at[order], np.iinfo(np.int64).max), np.append(np.array(ids, np.int32)[order], self.known)))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        c = codes(text) if text and self.langs else np.zeros(1, np.uint32)
-        if not c.any():
+        counts, some = np.zeros(self.known + 1, np.int64), False
+        for part in pieces(text) if text and self.langs else ():
+            c = codes(part)
+            some = some or bool(c.any())
+            for x, (keys, values) in zip(places(self.number[c], self.alphabet), self.find):
+                if keys is None:
+                    ids = values[x]
+                else:
+                    k = np.searchsorted(keys, x)
+                    ids = np.where(keys[k] == x, values[k], self.known)
+                counts += np.bincount(ids, minlength=self.known + 1)
+        if not some:
             return UNKNOWN, 0.0
-        ids = []
-        for x, (keys, values) in zip(places(self.number[c], self.alphabet), self.find):
-            if keys is None:
-                ids.append(values[x])
-            else:
-                k = np.searchsorted(keys, x)
-                ids.append(np.where(keys[k] == x, values[k], self.known))
-        counts = np.bincount(np.concatenate(ids), minlength=self.known + 1)[: self.known]
+        counts = counts[: self.known]
         present = np.flatnonzero(counts)
         if not len(present):
             return self.langs[0], 0.0
