@@ -11,7 +11,8 @@ Defined results: a null html is an empty payload; a null page_id writes an empty
 becomes the record that others refer to; of rows that share both the smallest page_id and the payload the one read first
 is the response and the others revisit it; where no row of a payload has a page_id all are responses; line ends in a url
 are percent-encoded; a null url writes no target; an empty table gives no archive and no rows; other columns are ignored.
-A chain ends where a record's end is not the next one's start; what follows is not read. A record and a line of text have
+A chain ends where a record's end is not the next one's start; what follows is not read. Records of all versions 1.x are
+read, also side by side; a file that doesn't begin with one is an error that names it. A record and a line of text have
 to fit a row of 2 GB. Rows have to come in one order each time they are read, as those of files do.
 """
 
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from tarnmill.llm.common import forget, materialise
 
 #: Fixed values of the format.
-MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
+MAGIC, VERSION, END = b"WARC/1.", b"1\r\n", b"\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_A_FILE = 2000
+#: An error names so many files at most.
+NAMED = 10
 #: Copies of a payload are spread over so many keys, so that no task gets them all.
 SALTS = 32
 
@@ -63,7 +66,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_a_
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     record = F.concat(
-        F.lit(MAGIC.decode()), line("WARC-Type", F.when(whole, "response").otherwise("revisit")), line("WARC-Record-ID", urn(F.col("page_id"))), line("WARC-Date", F.lit(DATE)),
+        F.lit((MAGIC + VERSION).decode()), line("WARC-Type", F.when(whole, "response").otherwise("revisit")), line("WARC-Record-ID", urn(F.col("page_id"))), line("WARC-Date", F.lit(DATE)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), F.coalesce(line("WARC-Refers-To", urn(F.col("refers_to"))), F.lit("")),
         line("X-Payload-Length", F.col("n").cast("string")), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(whole, F.col("n")).otherwise(0).cast("string")), F.lit("\r\n"), F.when(whole, F.col("html")).otherwise(""),
     )
@@ -82,7 +85,8 @@ def candidates(pieces: DataFrame) -> DataFrame:
     headers and digests go on."""
     value = F.col("value")
     header = F.substring_index(value.cast("string"), END.decode(), 1)
-    is_header = F.octet_length(header) + 4 <= F.octet_length(value)
+    # The rest of a version stands first, whichever it is.
+    is_header = (F.octet_length(header) + 4 <= F.octet_length(value)) & header.rlike(r"\A[0-9]+\r\n")
     field = lambda name: F.nullif(F.regexp_extract("header", rf"(?im)^{name}:[ \t]*([^\r\n]*)\r?$", 1), F.lit(""))
     d = pieces.select("file", "part", "row", (F.octet_length(value) + len(MAGIC)).cast("long").alias("size"), F.when(is_header, header).alias("header"), "value")
     d = d.withColumn("head", F.when(F.col("header").isNotNull(), F.octet_length("header") + 4).cast("long")).withColumn("length", F.expr("try_cast(regexp_extract(header, '(?im)^content-length:[ \\\\t]*([0-9]+)[ \\\\t]*\\\\r?$', 1) as bigint)"))
@@ -172,6 +176,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     only if asked for."""
     pieces = chunks(spark, path)
     found = materialise(placed(candidates(pieces)), "candidates")
+    begun = F.max(F.when(F.col("at") == 0, F.col("after").isNotNull()))
+    others = [r.file for r in found.groupBy("file").agg(begun.alias("fine")).where("not coalesce(fine, false)").select("file").limit(NAMED).collect()]
+    if others:
+        raise ValueError(f"these begin with no record of WARC/1.x (at most {NAMED} are named): {', '.join(sorted(others))}")
     records = materialise(verified(found), "records")
     key = ["file", "part", "row"]
     # Payloads that go over several pieces: each piece goes to the record before it.

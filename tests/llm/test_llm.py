@@ -327,6 +327,25 @@ def test_warc(spark, monkeypatch):
     assert {r.record_type for r in warc.read_archives(spark, path).collect()} == {"response"}
 
 
+def test_warc_versions(spark, tmp_path):
+    def record(version, n, payload):
+        head = f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Length: {len(payload)}\r\n\r\n"
+        return head.encode() + payload + b"\r\n\r\n"
+
+    payloads = [b"one", b"WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n", b"", b"on WARC/1. and WARC/1.1\r\n", b"WARC/1.0"]
+    whole = b"".join(record(v, n, p) for n, (v, p) in enumerate(zip(["1.0", "1.1", "1.0", "1.2", "1.0"], payloads)))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(whole)
+    got = warc.read_archives(spark, str(tmp_path / "in")).collect()
+    assert sorted((r.page_id, bytes(r.payload or b"")) for r in got) == [*enumerate(payloads)]
+    (tmp_path / "in" / "empty.warc").write_bytes(b"")
+    assert warc.read_archives(spark, str(tmp_path / "in")).count() == 5
+    for bad in (b"some text", b"\r\n" + whole, b"WARC/1.0\r\nno end", b"WARC/2.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n"):
+        (tmp_path / "in" / "bad.warc").write_bytes(bad)
+        with pytest.raises(ValueError, match="bad.warc"):
+            warc.read_archives(spark, str(tmp_path / "in"))
+
+
 def test_warc_jumps_and_chains():
     """Against walking from one record to the next."""
     random.seed(9)
@@ -366,6 +385,18 @@ def test_langid(spark):
         assert langid.count_grams([t]) == c
 
 
+def test_langid_of_long_texts(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcß ΣσÀ\n\u2003-'.İ", k=rng.randint(0, 400))) for _ in range(60)]
+    want = [langid.count_grams([t]) for t in texts], langid.count_grams(texts)
+    profiles = {"a": {g: i for i, g in enumerate(sorted(want[0][0]))}, "b": {g: i for i, g in enumerate(sorted(want[0][1]))}}
+    answers = [langid.Identifier(profiles)(t) for t in texts]
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert all("".join(langid.pieces(t)) == t for t in texts) and max(map(len, langid.pieces("ab " * 50))) < 11
+    assert ([langid.count_grams([t]) for t in texts], langid.count_grams(texts)) == want
+    assert [langid.Identifier(profiles)(t) for t in texts] == answers
+
+
 def test_langid_distance_by_brute_force():
     random.seed(11)
     alphabet = "abcdéßжя漢"
