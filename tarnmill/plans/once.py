@@ -38,7 +38,8 @@ HOT_SHARE, SALTS = 1000, 64
 def digest(*contents: str) -> Column:
     """A digest of columns that tells apart null from empty, and where one ends."""
     part = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
-    return F.sha2(F.concat(*map(part, contents)).cast("binary"), 256)
+    # Never null, and told so, which spares the plan a filter by which equal exchanges would differ.
+    return F.coalesce(F.sha2(F.concat(*map(part, contents)).cast("binary"), 256), F.lit(""))
 
 
 def work_name(name: str, **parameters) -> str:
@@ -82,8 +83,9 @@ def once(rows: DataFrame, contents: list[str], work: Callable[[DataFrame], DataF
         raise ValueError("contents can't be named _key or _copies")
     # All of a row travels as one value, so that no name in it meets one of ours.
     whole = rows.select(digest(*contents).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_own"))
-    copies = rows.select(digest(*contents).alias("_key"), *contents).groupBy("_key", *contents).agg(F.count("*").alias("_copies"))
-    distinct = copies.select("_key", *contents)
+    # Copies are counted by digest alone, so contents shuffle once.
+    copies = rows.select(digest(*contents).alias("_key")).groupBy("_key").agg(F.count("*").alias("_copies"))
+    distinct = rows.select(digest(*contents).alias("_key"), *contents).distinct()
     if store is None:
         done = work(distinct)
     else:
