@@ -4,8 +4,8 @@ Documents with one set of shingles form a class; everything below works on class
 
 Tiles. Two sets of the wanted similarity share a shingle among the first few of each, in any order of shingles that both
 use: as many as may differ, and one. The order here puts shingles that many documents share last, so tiles stay small.
-What is common is told by a bitmap of fixed size, filled from counts over a share of the texts that suits it; which
-shingles it marks changes the work, not the result. A tile holds the classes that have one such shingle, in order of
+What is common is told by a bitmap of fixed size, filled from counts over all texts; which shingles it marks changes the
+work, not the result. A tile holds the classes that have one such shingle, in order of
 size: a class can only match those whose size is within the band that its own size allows.
 
 Needed tiles. Of the first few of the set whose first few end earlier, the other set has all that both share; as what
@@ -53,10 +53,9 @@ from pyspark.sql import types as T
 from tarnmill.llm.common import ODD, WORD, distinct, forget, free_name, gathered, materialise, mix, partitions, slices, word_hashes, tidy
 from tarnmill.llm.components import components
 
-#: The bitmap of common shingles: its slots, how many of them a count of texts fills at most, and the count that marks one.
-SLOTS, FILLED, OFTEN = 1 << 26, 4, 3
-#: About so many bytes of text have a shingle.
-SHINGLE_BYTES = 5
+#: The bitmap of common shingles: its slots, the blocks of them, and the count that marks one: so many texts, and so many
+#: roots of the count, more than meet a slot by chance.
+SLOTS, BLOCKS, OFTEN, SPREAD = 1 << 23, 1 << 11, 3, 4
 #: The filter of classes that are needed again, which only spares work: its slots.
 FILTER = 1 << 24
 #: Pairs of a tile that are compared at once.
@@ -100,7 +99,7 @@ def first_few(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     """The shingles of a set by which it can be found: common ones last, else by hash."""
     n = len(s) - (percent * len(s) + 99) // 100 + 1
     mixed = mix(s)
-    slot = (s % np.uint64(SLOTS)).astype(np.int64)
+    slot = (s % np.uint64(8 * len(common))).astype(np.int64)
     order = np.lexsort((mixed, (common[slot >> 3] >> (slot & 7)) & 1))
     return s[order[:n]]
 
@@ -122,28 +121,47 @@ def slot_of() -> Column:
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """The bitmap of slots whose shingles many texts have. Its size is fixed, so the share of texts that is counted
-    follows from theirs. Copies of a text are drawn together and count once a task."""
-    expected = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHINGLE_BYTES
-    one_in = 1 << max(0, (expected * FILLED // SLOTS).bit_length())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bitmap of slots whose shingles many texts have, from counts over all texts in a fixed number of slots. A task
+    counts the texts that meet a slot, copies once, and tasks' counts are added up by blocks of slots. What meets a slot by
+    chance is told by the median of its block; as counts are only ever too high, a shingle with a count beyond what marks
+    is always marked."""
+    n_slots, wide = SLOTS, SLOTS // BLOCKS
+    names = ["block", "at", "n"]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        counts = np.zeros((n_slots // wide, wide), np.int32)
+        flat = counts.reshape(-1)
         for whole in batches:
             for b in slices(whole, "text"):
-                slots = []
                 for h, text in zip(b.column("h").to_pylist(), b.column("text")):
                     if h not in seen:
                         seen.add(h)
-                        slots.append((shingles(text.as_py(), width) % np.uint64(SLOTS)).astype(np.int32))
-                x, n = np.unique(np.concatenate(slots), return_counts=True) if slots else (np.empty(0, np.int32), np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n, pa.int64())], ["slot", "n"])
-
-    drawn = docs.select(F.xxhash64("text").alias("h"), "text").where(F.pmod("h", F.lit(one_in)) == 0)
-    often = drawn.mapInArrow(tidy(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    bits = np.zeros(SLOTS, bool)
-    bits[gathered(often, {"slot": "i4"})[0]] = True
-    return np.packbits(bits, bitorder="little")
+                        flat[(shingles(text.as_py(), width) % np.uint64(n_slots)).astype(np.int64)] += 1
+        rows = []
+        for block, x in enumerate(counts):
+            at = np.flatnonzero(x)
+            if len(at):
+                n = x[at]
+                rows.append((block, at.astype(np.uint16).tobytes(), n.astype(np.uint8 if n.max() < 256 else np.int32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows)] or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], names)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, at, n in zip(*(b.column(c).to_pylist() for c in names)):
+                one_byte = len(n) * 2 == len(at)
+                sums.setdefault(block, np.zeros(wide, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint8 if one_byte else np.int32)
+        for block, x in sums.items():
+            chance = np.median(x)
+            bits = np.packbits(x >= OFTEN + chance + SPREAD * math.sqrt(chance), bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
+
+    counts = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(tidy(counted), "block int, at binary, n binary")
+    common = np.zeros((n_slots // wide, wide // 8), np.uint8)
+    for r in counts.repartition(partitions(docs.sparkSession), "block").mapInArrow(tidy(marked), "block int, bits binary").collect():
+        common[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return common.reshape(-1)
 
 
 def classes(docs: DataFrame, width: int, percent: int, *ids: str) -> DataFrame:

@@ -152,6 +152,24 @@ def test_jaccard_join_against_brute_force(spark, width, percent):
     assert Counter(map(tuple, jaccard.join(docs, width, percent).collect())) == components(rows, width, percent)
 
 
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    """A phrase of a few texts is common however little a share of all texts those are, or would be drawn."""
+    monkeypatch.setattr(jaccard, "FILLED", 1 << 34, raising=False)  # once, a count took one text in so many
+    random.seed(2)
+    own = [" ".join(str(random.getrandbits(60)) for _ in range(40)) for _ in range(300)]
+    phrase = "that which is said by many of them"
+    texts = [f"{t} {phrase}" if i % 60 == 0 else t for i, t in enumerate(own)] + [own[1]] * 2 + ["", None]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(7)
+    common = jaccard.common_shingles(docs, 3)
+    n = np.zeros(8 * len(common), int)
+    for t in {*texts}:
+        n[(jaccard.shingles(t, 3) % np.uint64(len(n))).astype(int)] += 1
+    slots = (jaccard.shingles(phrase, 3) % np.uint64(len(n))).astype(int)
+    marked = np.unpackbits(common, bitorder="little").astype(bool)
+    assert len(slots) == 6 and marked[slots].all() and (marked >= (n > 3)).all() and not marked[n == 0].any()
+    assert not jaccard.common_shingles(none(spark), 3).any()
+
+
 def test_jaccard_keeps_one_of_each_group(spark):
     docs = edge_docs(spark)
     kept = Counter(r.doc_id for r in jaccard.keep_one(docs).collect())
