@@ -19,7 +19,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import WORD, materialise
+from tarnmill.llm.common import WORD
 
 LEAST_WORDS, DISTINCT_PCT, CAPITALS_PCT, MARKS = 200, 50, 2, r"[#$%&*|]"
 
@@ -42,26 +42,28 @@ def mask_of(failed: Mapping[str, Column]) -> Column:
     return sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(failed.values())), F.lit(0)).cast("int")
 
 
-def later_copies(rows: DataFrame, key: str, id: str) -> DataFrame:
-    """rows with later_copy: whether a row with the same key has a smaller id. rows are grouped already, so that a hot key
-    is counted on the map side; the join back is by key and id, so it has no hot key either."""
-    least = rows.where(F.col(id).isNotNull()).groupBy(key).agg(F.min(id).alias(id)).withColumn("_least", F.lit(True))
-    joined = rows.join(least, [key, id], "left")
-    return joined.withColumn("later_copy", F.col(id).isNotNull() & F.col("_least").isNull()).drop("_least")
-
-
 def masks(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask, n, good, toxic: how many documents of a part fail just these filters, and how many of them are labelled
-    as good or toxic. The bit after those of text_filters() is that of later copies."""
+    as good or toxic. The bit after those of text_filters() is that of later copies: of a text's documents in a part, all
+    but those of the least id of any part. The texts are read once and nothing is written: what a text has in a part is
+    summed up on the map side, with its least id there, so a window over a text's parts holds no more rows than parts."""
     text = F.coalesce("text", F.lit(""))
     d = documents.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     failed = text_filters(F.col("text"))
     d = d.select("doc_id", "part", mask_of(failed).alias("mask"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"))
-    d = materialise(d.groupBy("doc_id", "part", "key", "mask").agg(F.count("*").alias("n")), "masks")
+    d = d.groupBy("doc_id", "part", "key", "mask").agg(F.count("*").alias("n"))
     flags = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
-    d = later_copies(d, "key", "doc_id").join(flags, "doc_id", "left")
-    mask = F.col("mask") + F.when(F.col("later_copy"), 1 << len(failed)).otherwise(0)
-    return d.groupBy("part", mask.alias("mask")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("toxic"))
+    counts = ("n", "good", "toxic")
+    d = d.join(flags, "doc_id", "left").select("doc_id", "part", "key", "mask", "n", *(F.when(F.col(c), F.col("n")).otherwise(0).alias(c) for c in counts[1:]))
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *counts)))
+    without = F.struct(*(F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col(c))), F.lit(0)).alias(c) for c in counts))
+    d = d.groupBy("key", "part", "mask").agg(least.alias("least"), without.alias("without"), *(F.sum(c).alias(c) for c in counts))
+    d = d.withColumn("is_first", F.col("least.doc_id") == F.min("least.doc_id").over(Window.partitionBy("key")))
+    first = {c: F.col(f"without.{c}") + F.when(F.col("is_first"), F.col(f"least.{c}")).otherwise(0) for c in counts}
+    cell = lambda mask, n: F.struct(mask.alias("mask"), *(n[c].alias(c) for c in counts))
+    cells = F.array(cell(F.col("mask"), first), cell(F.col("mask") + (1 << len(failed)), {c: F.col(c) - first[c] for c in counts}))
+    d = d.select("part", F.explode(cells).alias("cell")).select("part", "cell.*").where("n > 0")
+    return d.groupBy("part", "mask").agg(*(F.sum(c).alias(c) for c in counts))
 
 
 def interactions(cells: DataFrame, filters: Sequence[str]) -> DataFrame:

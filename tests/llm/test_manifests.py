@@ -1,6 +1,7 @@
 """Filter audits, packing and Merkle manifests against brute force, at the edges too."""
 
 import hashlib
+import pathlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -74,6 +75,18 @@ def test_audit_equals_brute_force(spark):
     assert len(some) == 600 and {(r.part, r.good_lost) for r in some} == {("", 0)}
 
 
+def test_audit_writes_nothing_on_the_way(spark):
+    from tarnmill.llm.common import shared_dir
+
+    at = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = {*at.iterdir()}
+    rows = [(7, "same", "b"), (3, "same", "a"), (3, "same", "b"), (3, "same", "b"), (None, "same", "a"), (5, "same", "a")]
+    cells = audit.masks(rows_of(spark, rows), labels_of(spark, [(3, 1, 0), (5, 1, 1)]))
+    assert {tuple(r) for r in cells.collect()} == {("a", 1, 2, 1, 0), ("a", 17, 1, 1, 1), ("b", 1, 2, 2, 0), ("b", 17, 1, 0, 0)}
+    assert audit.audit(rows_of(spark, rows), labels_of(spark, [])).count() == 1200
+    assert {*at.iterdir()} == before
+
+
 def test_audit_counts_add_up(spark):
     """Of any number of filters: what a step removes and keeps is what the one before kept, and totals agree."""
     cells = spark.createDataFrame([("a", m, m + 1, m % 2, 0) for m in range(8)], "part string, mask int, n long, good long, toxic long")
