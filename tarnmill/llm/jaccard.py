@@ -245,7 +245,7 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
     n = partitions(rows.sparkSession)
     met = rows.repartition(n, "key").sortWithinPartitions("key", "size", "class").mapInArrow(tidy(run), "key long, rank long, class long, size long, need long, first boolean")
     of_class = Window.partitionBy("class")
-    have = met.withColumn("have", F.row_number().over(of_class.orderBy("need")))
+    have = met.withColumn("have", F.row_number().over(of_class.orderBy("need")).cast("long"))
     most = F.max(F.when(F.col("need") <= F.col("have"), F.col("have"))).over(of_class)
     return have.withColumn("most", most).where("need <= most").select("key", "rank", "class", "size", "first", F.expr("most * 1000000 div size").alias("met"))
 

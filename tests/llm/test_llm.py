@@ -170,6 +170,14 @@ def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
     assert not jaccard.common_shingles(none(spark), 3).any()
 
 
+@pytest.mark.parametrize(("width", "percent", "n"), [(3, 90, 24_000), (5, 80, 12_000)])
+def test_jaccard_links_near_copies_that_meet_in_thousands_of_tiles(spark, width, percent, n):
+    random.seed(3)
+    text = [str(random.getrandbits(60)) for _ in range(n)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text[:-9], "another", *text[-8:]])), (3, "a few words apart")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs, width, percent).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_jaccard_keeps_one_of_each_group(spark):
     docs = edge_docs(spark)
     kept = Counter(r.doc_id for r in jaccard.keep_one(docs).collect())
