@@ -8,8 +8,8 @@ what stands around it. An insult without a target has its plain weight, as the l
 clause that no insult or threat is in scores 0.
 
 Beside a short fixed list, the insults are learned: words and stems (beginnings of four to eight letters) that training
-documents marked as toxic have and others lack, all that reach EVIDENCE and ODDS. Learning uses a sample of at most about
-SAMPLE labelled rows, chosen by a hash of their id; it bounds what features there are.
+documents marked as toxic have and others lack, all that reach EVIDENCE and ODDS. Learning uses all labelled rows: their
+texts are joined with their labels once, features are counted and the curve is fitted by sums that tasks work out.
 
 Defined results: a null or empty text has no clause and scores as such; a score is from 0 to 1; without labels of both
 kinds the intercept is 0.01 and nothing is predicted; several labels of a document count as toxic if one says so, null
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import fold, forget, materialise, slices, tidy
+from tarnmill.llm.common import fold, forget, gathered, materialise, slices, tidy
 
-#: At most about so many labelled rows are learned from.
-SAMPLE = 20_000
+#: The filter of rows that may have a label, which only spares the shuffle of others: its slots.
+FILTER = 1 << 24
 #: A feature is kept with at least this much evidence (the likelihood ratio of its counts) and log odds.
 EVIDENCE, ODDS = 21.0, 2.0
 #: Features that a task holds before it sends their counts on.
@@ -141,15 +141,24 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * x + c * y))))
 
 
-def fit_curve(points: list[tuple[float, float]], labels: list[int]) -> tuple[float, float, float]:
-    """Logistic regression with a little shrinkage, by Newton's method."""
-    x = np.column_stack([np.ones(len(points)), np.array(points).reshape(-1, 2)])
-    y = np.array(labels, float)
+def fit_curve(points: DataFrame) -> tuple[float, float, float]:
+    """Logistic regression with a little shrinkage, by Newton's method, from toxic, x, y and n, the number of documents
+    that are so. A step takes sums of the gradient and the curvature over all of them, which come from the tasks."""
     w = np.zeros(3)
     pull = np.diag([1e-3, 0.05, 0.05])
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + pull, x.T @ (y - p) - pull @ w)
+
+        def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = w.copy()) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                toxic, x, y, n = (np.asarray(b.column(c)).astype(float) for c in ("toxic", "x", "y", "n"))
+                z = np.column_stack([np.ones(len(x)), x, y])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+                found = np.concatenate((((z * (n * (p * (1 - p) + 1e-6))[:, None]).T @ z).ravel(), z.T @ (n * (toxic - p))))
+                yield pa.RecordBatch.from_arrays([pa.array([found.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        # Exact sums of the parts don't depend on their order.
+        total = np.array([math.fsum(c) for c in zip(*(r.sums for r in points.mapInArrow(sums, "sums array<double>").collect()))])
+        step = np.linalg.solve(total[:9].reshape(3, 3) + pull, total[9:] - pull @ w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
@@ -165,25 +174,32 @@ def evidence(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Co
     return (terms[0] + terms[1] + terms[2] + terms[3]) * 2
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model that labelled documents give. The sample's ids are broadcast, as their number is bounded; texts aren't
-    shuffled; features are counted in the tasks first."""
-    spark = docs.sparkSession
-    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = marked.count()
-    share = min(1.0, sample / max(1, n))
-    drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("toxic", F.col("toxic").cast("boolean"))
-    chosen = {r.doc_id: r.toxic for r in drawn.collect()}
-    if len({*chosen.values()}) < 2:
-        return Model()
-    shared = spark.sparkContext.broadcast(chosen)
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """toxic and text of every row of docs that has a label. A filter of fixed size keeps most other texts unshuffled."""
+    marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).cast("int").alias("slot")
+    marks = np.zeros(FILTER, bool)
+    marks[gathered(marked.select(slot).distinct(), {"slot": "i4"})[0]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks, bitorder="little"))
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.asarray(b.column("slot"))
+            yield b.filter(pa.array((shared.value[at >> 3] >> (at & 7)) & 1 == 1)).select(["doc_id", "text"])
+
+    some = docs.select("doc_id", "text", slot).mapInArrow(may, docs.select("doc_id", "text").schema)
+    return some.join(marked, "doc_id").select((F.col("toxic") != 0).cast("int").alias("toxic"), "text")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model that all labelled documents give. Their texts are shuffled once, to their labels; features are counted in
+    the tasks first."""
+    train = materialise(labelled(docs, labels), "train")
 
     def rows_of(whole: pa.RecordBatch) -> Iterator[tuple[int, str]]:
         for b in slices(whole, "text"):
-            texts = b.column("text")
-            for i, k in enumerate(b.column("doc_id").to_pylist()):
-                if k in shared.value:
-                    yield int(shared.value[k]), texts[i].as_py() or ""
+            for mark, text in zip(b.column("toxic").to_pylist(), b.column("text")):
+                yield mark, text.as_py() or ""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -204,9 +220,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     yield from out()
         yield from out()
 
-    counts = materialise(docs.select("doc_id", "text").mapInArrow(tidy(count), "feature string, stem boolean, toxic long, clean long").groupBy("feature", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > clean or feature = ''"), "features")
+    counts = materialise(train.mapInArrow(tidy(count), "feature string, stem boolean, toxic long, clean long").groupBy("feature", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > clean or feature = ''"), "features")
     totals = counts.where("feature = ''").first()
     if totals is None or not totals.toxic or not totals.clean:
+        forget(counts)
+        forget(train)
         return Model()
     odds = F.ln((F.col("toxic") + 0.5) / (totals.toxic + 1)) - F.ln((F.col("clean") + 0.5) / (totals.clean + 1))
     told = counts.where("feature <> ''").select("feature", "stem", odds.alias("odds"), evidence(F.col("toxic"), F.col("clean"), totals.toxic, totals.clean).alias("evidence"))
@@ -219,9 +237,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             got = [(mark, *model.features(text)) for mark, text in rows_of(b)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), *(pa.array([g[k] for g in got], pa.float64()) for k in (1, 2))], ["toxic", "x", "y"])
 
-    points = docs.select("doc_id", "text").mapInArrow(tidy(measure), "toxic int, x double, y double").toPandas()
-    model.curve = fit_curve([*zip(points.x, points.y)], [*points.toxic])
-    shared.unpersist()
+    points = materialise(train.mapInArrow(tidy(measure), "toxic int, x double, y double").groupBy("toxic", "x", "y").agg(F.count("*").alias("n")).sortWithinPartitions("toxic", "x", "y"), "points")
+    model.curve = fit_curve(points)
+    forget(points)
+    forget(train)
     return model
 
 

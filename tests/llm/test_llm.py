@@ -658,6 +658,21 @@ def test_toxicity_learns_what_a_plain_count_finds(spark, monkeypatch):
         assert {(w, stem): round(x, 9) for stem, own in ((False, m.words), (True, m.stems)) for w, x in own.items()} == want
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Insults that few of many labelled rows have, and a curve that is the same each time and fits all of them."""
+    n, few = 60_000, [*range(7, 60_000, 5000)]
+    text = F.when(F.col("id") % 5000 == 7, "you are a vorbulant").when(F.col("id") % 1000 == 3, "a vile blanstrope").otherwise(F.concat(F.lit("plain word "), F.col("id") % 9))
+    docs = spark.range(n).repartition(5).select(F.col("id").alias("doc_id"), text.alias("text"))
+    marks = spark.range(n).select(F.col("id").cast("int").alias("doc_id"), ((F.col("id") % 5000 == 7) | (F.col("id") % 1000 == 3)).cast("int").alias("toxic"))
+    m = toxicity.learn(docs, marks)
+    told = lambda a: math.log((a + 0.5) / (len(few) + 60 + 1)) - math.log(0.5 / (n - len(few) - 60 + 1))
+    assert len(few) == 12 and m.words["vorbulant"] == pytest.approx(told(12)) and m.words["blanstrope"] == pytest.approx(told(60))
+    assert toxicity.learn(docs, marks).curve == m.curve
+    # At the best curve, what is expected is what there is, but for the shrinkage.
+    p = [m.score(x) for x in ("you are a vorbulant", "a vile blanstrope", "plain word 1")]
+    assert 12 * p[0] + 60 * p[1] + (n - 72) * p[2] == pytest.approx(72 - 1e-3 * m.curve[0], abs=1e-3)
+
+
 def test_fingerprints(spark):
     random.seed(6)
     rows = [(i, "".join(random.choices("abcdefgh é", k=random.randint(0, 3000)))) for i in range(100, 160)] + EDGES
