@@ -43,7 +43,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids, and the number of them."""
     import public_tokenizers
 
-    coded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"), decoded=None, columns=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

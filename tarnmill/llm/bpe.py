@@ -4,6 +4,9 @@ A sequence of tokens is what BPE makes of its bytes exactly if BPE makes each ad
 So each distinct word gets its greedy longest-match tokens first; one vectorised pass then tests all adjacent pairs of
 all new words, and only words with a failing pair are merged step by step.
 
+Memory: words are taken up by pieces of some PIECE characters, long texts cut before white space, where the pre-tokenizer
+always begins a word; words that were seen are kept up to a number of them and of their characters.
+
 Defined results: null and empty texts have no tokens; a text of any length is one row; repeated rows are encoded each;
 other columns of the input pass through encode_documents() untouched, but for clashes with its two output columns,
 which are replaced. An empty table gives an empty table.
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import slices, tidy
+from tarnmill.llm.common import give_back, slices, tidy
 
 #: Below this code point all Unicode versions agree on what is a letter, a number or white space, so a pattern of plain
 #: ranges splits words; texts that go beyond are split by the tokenizer library's own pre-tokenizer.
@@ -43,7 +46,12 @@ def ranges(general: str) -> str:
 SPACE, LETTERS, NUMBERS = r"\t-\r \x85\xa0", ranges("L"), ranges("N")
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BEYOND = re.compile(f"[{chr(AGREED)}-\U0010ffff]")
+CUT = re.compile(rf"(?<=\S)(?=[{SPACE}])")
+#: Characters that are split into words at once: each word is an object of some 60 bytes, and more where it is new.
+PIECE = 1 << 19
+#: Words that a worker keeps, and their characters.
 CACHED_WORDS = 200_000
+CACHED_LETTERS = 1 << 22
 LONG_WORD = 48
 #: The rank of a pair that no merge has.
 NEVER = 1 << 50
@@ -94,7 +102,12 @@ class Codec:
         self.prefixes = {t[:k]: -1 for t in self.proposals for k in range(1, len(t))} | self.proposals
         self.letter_id = {c: vocab[c] for c in letters if c in vocab}
         self.special_cache = {(t,): i.to_bytes(4, "little") for t, i in self.specials.items()}
-        self.cache: dict[str | tuple[str], bytes] = dict(self.special_cache)
+        self.cache: dict[str | tuple[str], bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words that were kept."""
+        self.cache, self.cached_letters = dict(self.special_cache), 0
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact BPE of one word: again and again the leftmost pair of the lowest rank, found by a heap."""
@@ -193,11 +206,18 @@ class Codec:
             a, b, at = np.where(undo_a, self.right[a], a)[on], np.where(undo_a, b, self.left[b])[on], at[on]
         return good
 
-    def learn(self, words: set[str]) -> None:
-        """Encode distinct new words into the cache, as little-endian 32-bit ids."""
-        if not words:
+    def learn(self, words: set[str | tuple[str]]) -> None:
+        """Have the cache hold distinct words, as little-endian 32-bit ids; where the new ones don't fit, only these."""
+        fresh = words - self.cache.keys()
+        size = sum(map(len, fresh))
+        if len(self.cache) + len(fresh) > CACHED_WORDS or self.cached_letters + size > CACHED_LETTERS:
+            self.forget()
+            fresh = words - self.cache.keys()
+            size = sum(map(len, fresh))
+        if not fresh:
             return
-        words = list(words)
+        self.cached_letters += size
+        words = list(fresh)
         letters = [w.encode().decode("latin-1").translate(self.to_letters) for w in words]
         ids = [[self.proposals[w]] if w in self.proposals else self.greedy(w) for w in letters]
         ends = np.cumsum([len(x) for x in ids])
@@ -213,8 +233,6 @@ class Codec:
             redo = np.array([i for i, x in enumerate(ids) if len(x) > 1], np.int64)
         for i, exact in zip(redo.tolist(), self.merge_all([letters[i] for i in redo.tolist()])):
             ids[i] = exact
-        if len(self.cache) + len(words) > CACHED_WORDS:
-            self.cache = dict(self.special_cache)
         self.cache.update((w, np.array(x, "<i4").tobytes()) for w, x in zip(words, ids))
 
     def words(self, text: str) -> list[str]:
@@ -222,22 +240,43 @@ class Codec:
             return WORDS.findall(text)
         return [text[i:j] for _, (i, j) in _splitter().pre_tokenize_str(text)]
 
+    def pieces(self, text: str) -> Iterator[list[str | tuple[str]]]:
+        """The words of a text, those of some PIECE characters at once; special tokens are tuples."""
+        at = 0
+        for m in self.special.finditer(text) if self.special else ():
+            yield from self.plain(text, at, m.start())
+            yield [(m[0],)]
+            at = m.end()
+        yield from self.plain(text, at, len(text))
+
+    def plain(self, text: str, at: int, end: int) -> Iterator[list[str]]:
+        while end - at > PIECE and (cut := CUT.search(text, at + PIECE, end)):
+            yield self.words(text[at : cut.start()])
+            at = cut.start()
+        if at < end:
+            yield self.words(text[at:end])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        split: list[list[str | tuple[str]]] = []
-        for text in texts:
-            parts: list[str | tuple[str]] = []
-            at = 0
-            for m in self.special.finditer(text) if self.special else ():
-                parts += self.words(text[at : m.start()])
-                parts.append((m[0],))
-                at = m.end()
-            parts += self.words(text[at:] if at else text)
-            split.append(parts)
-        words = set().union(*split)
-        fresh = words - self.cache.keys()
-        self.learn(words - self.special_cache.keys() if len(self.cache) + len(fresh) > CACHED_WORDS else fresh)
-        return [b"".join(map(self.cache.__getitem__, parts)) for parts in split]
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str | tuple[str]]]] = []
+
+        def flush() -> None:
+            self.learn(set().union(*(words for _, words in held)))
+            for i, words in held:
+                out[i].append(b"".join(map(self.cache.__getitem__, words)))
+            held.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            for words in self.pieces(text):
+                held.append((i, words))
+                size += sum(map(len, words))
+                if size >= PIECE:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -253,27 +292,33 @@ def _splitter():
 @lru_cache(2)
 def codec(path: str) -> Codec:
     """One for each Python worker."""
-    return Codec(path)
+    made = Codec(path)
+    give_back()  # what was read takes as much again
+    return made
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """docs with an array of token ids and the text decoded from them. No shuffle; memory is a few texts a task."""
-    keep = [f for f in docs.schema.fields if f.name not in (ids, decoded)]
-    schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False)])
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", columns: list[str] | None = None) -> DataFrame:
+    """docs, or those columns of it, with an array of token ids and the text decoded from them, unless that has no name. No
+    shuffle; memory is a few texts a task."""
+    keep = [f for f in docs.schema.fields if f.name not in (ids, decoded) and (columns is None or f.name in columns)]
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.StringType(), False)] if decoded else [])]
+    schema = T.StructType([*keep, *made])
+    read = [f.name for f in keep] + [text] * (text not in [f.name for f in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for whole in batches:
-            for b in slices(whole, text):
+            for b in slices(whole, text, PIECE):
                 coded = c.encode([x or "" for x in b.column(text).to_pylist()])
                 ends = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype("i4")
                 flat = np.frombuffer(b"".join(coded), "<i4")
-                back = [c.decode(flat[i:j].tolist()) for i, j in zip(ends, ends[1:])]
-                arrays = [b.column(f.name) for f in keep]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(back, pa.string())], [*(f.name for f in keep), ids, decoded])
-        c.cache = dict(c.special_cache)  # the worker stays, its next task may be another's
+                arrays = [*(b.column(f.name) for f in keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    arrays.append(pa.array([c.decode(flat[i:j].tolist()) for i, j in zip(ends, ends[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
+        c.forget()  # the worker stays, its next task may be another's
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in keep)).mapInArrow(tidy(run), schema)
+    return docs.select(*(F.col(f"`{x}`") for x in read)).mapInArrow(tidy(run), schema)
 
 
 def digests(coded: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -53,6 +53,42 @@ def test_bpe_equals_the_library(spark):
     assert bpe.digests(bpe.encode_documents(none(spark), VOCABULARY)).count() == 0
 
 
+def test_bpe_memory_of_long_texts():
+    """Words of a long text are taken up by and by, not as a list of all of them."""
+    import tracemalloc
+
+    c = bpe.codec(VOCABULARY)
+    text = "some words and more of them\n" * 150_000
+    tracemalloc.start()
+    ids = c.encode([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.decode(np.frombuffer(ids, "<i4").tolist()) == text
+    assert peak < 20 * len(text) // 2
+
+
+def test_bpe_pieces_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(VOCABULARY), bpe.Codec(VOCABULARY)
+    monkeypatch.setattr(bpe, "PIECE", 7)
+    monkeypatch.setattr(bpe, "CACHED_LETTERS", 100)
+    random.seed(2)
+    texts = ["", *("".join(random.choices(["a", "b", "1", " ", "\n", "\t", "\x1c", "\xa0", "\u2003", "\u3000", "'s", "é", "漢", ".", "<|endoftext|>"], weights=[4, 4, 2, 9, 2, 1, 1, 1, 2, 1, 1, 1, 1, 2, 1], k=random.randint(1, 80))) for _ in range(500)), "x" * 300 + " y"]
+    for n in (1, 50):
+        for i in range(0, len(texts), n):
+            assert [np.frombuffer(x, "<i4").tolist() for x in c.encode(texts[i : i + n])] == [t.encode(x, add_special_tokens=False).ids for x in texts[i : i + n]]
+            assert sum(map(len, c.cache)) <= max(100, sum(map(len, texts[i : i + n]))) + len(c.special_cache)
+
+
+def test_bpe_of_some_columns(spark):
+    docs = edge_docs(spark)
+    got = bpe.encode_documents(docs, VOCABULARY, decoded=None, columns=["doc_id", "lang"])
+    assert got.columns == ["doc_id", "lang", "ids"]
+    count = lambda d: Counter((r.doc_id, tuple(r.ids)) for r in d.select("doc_id", "ids").collect())
+    assert count(got) == count(bpe.encode_documents(docs, VOCABULARY))
+
+
 def test_secrets(spark):
     token = "aB3dE5gH7jK9mN1pQ3sT"
     rows = [(10, f'user = "bob42" then {token} at https://x.y/z'), (11, f"{token} alone"), (12, 'secret: "abc" password=abcdef token=token=abc12345 AKIA' + "A" * 16 + " " + "0a" * 16 + '🙂passwd:"zzzzzz"'), (13, "AKIAABC deadbeef"), (14, f"user: bob42 {'x ' * 200} {token}")]
